@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterator
+from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -91,3 +93,27 @@ def partition_starts(totals: DataFrame, partition: str, order: list[str], value:
         .withColumn(out, F.col("_in") + F.col("_b"))
         .drop("_in", "_p", "_b")
     )
+
+
+def put_file(folder: str, name: str, data: bytes) -> None:
+    """Writes a whole file below a shared folder: under a hidden name first, then renamed.
+
+    Equal tasks write equal bytes, so a task that runs twice replaces the file by itself; what
+    a lost one leaves has a hidden name, which Spark's readers skip.
+    """
+    hidden = f".{name}.{uuid.uuid4().hex}"
+    place = urlparse(folder)
+    if place.scheme in ("", "file"):
+        path = unquote(place.path)
+        os.makedirs(path, exist_ok=True)
+        with open(f"{path}/{hidden}", "wb") as f:
+            f.write(data)
+        os.replace(f"{path}/{hidden}", f"{path}/{name}")
+        return
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(folder)
+    store.create_dir(path, recursive=True)
+    with store.open_output_stream(f"{path}/{hidden}") as f:
+        f.write(data)
+    store.move(f"{path}/{hidden}", f"{path}/{name}")

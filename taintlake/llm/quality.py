@@ -161,15 +161,25 @@ def quality(docs: DataFrame, rules: LineRules = LineRules(), with_text: bool = T
 
 
 def keep_good(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
-    """The documents that the rules keep, whole rows, decided row by row (no join back)."""
-    schema = docs.schema
+    """The documents that the rules keep, decided row by row; failed lines are gone from their text."""
     at = docs.columns.index("text")
+    size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or b"" for t in utf8(batch.column(at))]
-            keep = [row[6] for row in _judge(texts, rules, False)]
-            if any(keep):
-                yield batch.filter(pa.array(keep))
-
-    return docs.mapInArrow(run, schema)
+            judged = list(_judge(texts, rules, True))
+            keep = [row[6] for row in judged]
+            if not any(keep):
+                continue
+            own = batch.filter(pa.array(keep))
+            if any(row[6] and row[7] for row in judged):
+                columns = list(own.columns)
+                clean = [row[8] for row in judged if row[6]]
+                columns[at] = pa.array(clean, own.schema.field(at).type)
+                if size is not None:
+                    columns[size] = pa.array([len(t) for t in clean]).cast(own.schema.field(size).type)
+                own = pa.RecordBatch.from_arrays(columns, schema=own.schema)
+            yield own
+
+    return docs.mapInArrow(run, docs.schema)

@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import digest, langid, licenses, packing, quality, simhash, tokenbin, tokencount, warc
+from . import digest, langid, licenses, mixing, packing, quality, simhash, tokenbin, tokencount, warc
 from .common import documents
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_words(documents(spark, sf_dir))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -49,6 +53,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_mix_sources,
         op2_simhash_near_dedup,
         op3_language_id,
         op4_warc,

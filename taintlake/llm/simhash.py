@@ -13,7 +13,8 @@ number of differing bits of their codes. Copies are one point; a point has some
 
 Defined results: null text and text without a word have fingerprint zero and link like any
 other; rows with null ``doc_id`` take part, and are their component's name never (null if it has
-no other rows); repeated rows give repeated results; an empty table gives no row.
+no other rows); rows with equal ``doc_id`` are one document; repeated rows give repeated results;
+an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -129,12 +130,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def clusters(fps: DataFrame) -> DataFrame:
-    """fp, component_id of every distinct fingerprint of ``fps`` (doc_id, fp)."""
+    """fp, component_id and group (component_id, or a name in its place) of every distinct fingerprint of ``fps`` (doc_id, fp)."""
     nameless = F.lit(_NAMELESS).bitwiseOR(F.shiftrightunsigned("fp", 2))
     groups = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("first")).select("fp", F.coalesce("first", nameless).alias("node")))
     found = components(near_pairs(groups))
-    whole = groups.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("c"))
-    return whole.select("fp", F.when(F.col("c") < _NAMELESS, F.col("c")).alias("component_id"))
+    whole = groups.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("group"))
+    return whole.select("fp", F.when(F.col("group") < _NAMELESS, F.col("group")).alias("component_id"), "group")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -142,3 +143,31 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     fps = fingerprints(docs, width)
     joined = fps.join(clusters(fps), "fp")
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
+    """The documents, whole rows, but of each component only the one with the smallest ``doc_id``.
+
+    Rows without ``doc_id`` stay only where their component has no other: one of them.
+    """
+    fps = fingerprints(docs, width)
+    groups = checkpointed(clusters(fps))
+    first = groups.where("component_id is not null").select(F.col("component_id").alias("_keep")).distinct()
+    named = docs.join(first, F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
+    lone = groups.where("component_id is null").select("fp", "group")
+    if lone.isEmpty():
+        return named
+    one = fingerprint_rows(docs.where("doc_id is null"), width)
+    return named.unionByName(one.join(lone, F.col("_fp") == F.col("fp")).dropDuplicates(["group"]).select(docs.columns))
+
+
+def fingerprint_rows(docs: DataFrame, width: int) -> DataFrame:
+    """The rows with their fingerprint as ``_fp``."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([fingerprint(t or b"", width) for t in utf8(batch.column(at))], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], names=[*batch.schema.names, "_fp"])
+
+    return docs.mapInArrow(run, docs.withColumn("_fp", F.lit(0).cast("bigint")).schema)

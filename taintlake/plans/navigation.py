@@ -314,10 +314,10 @@ def source_lines(spark, d):
     return code_views.lines_of(_files(spark, d))
 
 
-_NOTES = with_sql("x_flows", "x_sources", "x_symbols") + """, at AS (SELECT tid, split_part(evidence_loc, ':', 1) AS file, split_part(evidence_loc, ':', 2)::INT AS line FROM x_sources),
-  f AS (SELECT file, line, cwe, list(fid ORDER BY fid) AS f FROM x_flows JOIN at USING (tid) WHERE n2 = 1 GROUP BY ALL),
+_NOTES = with_sql("x_flows", "x_sources", "x_symbols") + """, places AS (SELECT tid, split_part(evidence_loc, ':', 1) AS file, split_part(evidence_loc, ':', 2)::INT AS line FROM x_sources),
+  f AS (SELECT file, line, cwe, list(fid ORDER BY fid) AS f FROM x_flows JOIN places USING (tid) WHERE n2 = 1 GROUP BY ALL),
   n AS (SELECT file, range_start AS line, 0 AS part, '[' || id || '] symbol ' || display_name AS note FROM x_symbols
-    UNION ALL SELECT file, line, 1, '[' || min(tid) || '] SOURCE' || CASE WHEN count(*) > 1 THEN ' (+' || (count(*) - 1) || ' more)' ELSE '' END FROM at GROUP BY file, line
+    UNION ALL SELECT file, line, 1, '[' || min(tid) || '] SOURCE' || CASE WHEN count(*) > 1 THEN ' (+' || (count(*) - 1) || ' more)' ELSE '' END FROM places GROUP BY file, line
     UNION ALL SELECT file, line, 2, unnest(CASE WHEN len(f) <= 3 THEN [('FLOW ' || z || ' (' || coalesce(cwe, 'None') || ')') FOR z IN f] ELSE ['FLOW ' || array_to_string(f[1:3], ', ') || ' (+' || (len(f) - 3) || ' more) [' || coalesce(cwe, 'None') || ']'] END) FROM f) """
 
 

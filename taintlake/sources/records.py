@@ -56,8 +56,12 @@ def sarif_rows(documents: DataFrame, project: str, root: str, engine: str, ref:
     return {"taint_sources": sources.dropDuplicates(["tid"]), "taint_sinks": sinks.dropDuplicates(["sid"]), "flows": flows.dropDuplicates(["fid"])}
 
 
-def graph_flow_rows(rows: DataFrame, root: str) -> dict[str, DataFrame]:
-    """The same of graph-engine flows; ids don't hold the project, paths are put under its root."""
+def graph_flow_rows(rows: DataFrame, root: str, distinct: bool = True) -> dict[str, DataFrame]:
+    """The same of graph-engine flows; ids don't hold the project, paths are put under its root.
+
+    A stream asks for ``distinct=False``: there a later row of the same id is an update.
+    """
+    once = (lambda df, key: df.dropDuplicates([key])) if distinct else (lambda df, key: df)
     under = lambda c: F.when(F.startswith(c, F.lit("/")), F.col(c)).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), c))
     r = rows.withColumn("sf", under("source_file")).withColumn("kf", under("sink_file"))
     r = r.withColumn("tid", ids.stable_id("src", "sf", "source_line", "source_name")).withColumn("sid", ids.stable_id("sink", "kf", "sink_line", "sink_name"))
@@ -65,9 +69,9 @@ def graph_flow_rows(rows: DataFrame, root: str) -> dict[str, DataFrame]:
     step = lambda f, l: F.struct(F.col(f).alias("file"), F.col(l).alias("start"), F.col(l).alias("end"), null.alias("snippet"))
     fid = F.coalesce("fid", ids.graph_flow_id("source_file", "source_line", "sink_file", "sink_line", "cwe"))
     return {
-        "taint_sources": r.select("tid", null.alias("symbol_id"), F.lit("joern").alias("class"), F.col("source_name").alias("key"), F.concat_ws(":", "sf", "source_line").alias("evidence_loc")).dropDuplicates(["tid"]),
-        "taint_sinks": r.select("sid", null.alias("symbol_id"), F.col("sink_class").alias("class"), F.col("sink_name").alias("lib"), "parameterization", F.array().cast("array<string>").alias("tainted_slots")).dropDuplicates(["sid"]),
-        "flows": r.select(fid.alias("fid"), "tid", "sid", "cwe", F.lit("joern").alias("engine"), F.array(step("sf", "source_line"), step("kf", "sink_line")).alias("steps"), F.lit("").alias("sarif_ref"), F.lit("inferred").alias("confidence")).dropDuplicates(["fid"]),
+        "taint_sources": once(r.select("tid", null.alias("symbol_id"), F.lit("joern").alias("class"), F.col("source_name").alias("key"), F.concat_ws(":", "sf", "source_line").alias("evidence_loc")), "tid"),
+        "taint_sinks": once(r.select("sid", null.alias("symbol_id"), F.col("sink_class").alias("class"), F.col("sink_name").alias("lib"), "parameterization", F.array().cast("array<string>").alias("tainted_slots")), "sid"),
+        "flows": once(r.select(fid.alias("fid"), "tid", "sid", "cwe", F.lit("joern").alias("engine"), F.array(step("sf", "source_line"), step("kf", "sink_line")).alias("steps"), F.lit("").alias("sarif_ref"), F.lit("inferred").alias("confidence")), "fid"),
     }
 
 

@@ -13,7 +13,7 @@ from ..sources.records import from_lines, graph_flow_rows
 
 def graph_flows(spark: SparkSession, path: str, root: str) -> DataFrame:
     """Flows of JSON Lines files as they come; broken lines are skipped."""
-    return graph_flow_rows(from_lines(spark.readStream.text(path), GRAPH_FLOWS), root)["flows"]
+    return graph_flow_rows(from_lines(spark.readStream.text(path), GRAPH_FLOWS), root, distinct=False)["flows"]
 
 
 def first_of_each(stream: DataFrame, key: list[str], time: str, late: str = "1 hour") -> DataFrame:

@@ -8,6 +8,12 @@ in the cell of each of its halves, and on one side of the join also in the cells
 which meets every pair within distance 1 once. Pairs from a cell must pass the Manhattan bound
 over all coordinates, then the exact count of differing bits, both inside the join.
 
+Three bits of 64 find copies with hardly an edit. ``similar_groups`` finds those with more: eight
+fingerprints of a text, by as many hashes of its two-word shingles, are each joined on the grid
+of its own, and of the pairs that one of them brings near, those stay whose 512 bits
+together differ in at most ``MOST_APART`` places, which is where five-word shingles agree by 0.8
+or more (the README has the measured shares).
+
 Counts are kept in unary (00, 01, 11), so that the Manhattan distance of two points is the
 number of differing bits of their codes. Copies are one point; a point has some 26 rows of three longs.
 
@@ -33,25 +39,42 @@ SEED = 42
 #: The bound that the two halves of the grid are made for: 3 = 1 + 2.
 MOST_BITS = 3
 _LOW = 0x5555555555555555
+#: For texts that are similar by five-word shingles: hashes, words of a shingle, and differing bits of all.
+HASHES, WIDTH, MOST_APART = 8, 2, 54
 #: Names of groups without a ``doc_id`` start here.
 _NAMELESS = 1 << 62
 
 
 def fingerprint(text: bytes, width: int = 3) -> int:
     """Of a text in UTF-8; a bit is set if over half of the shingles' hashes have it."""
+    return fingerprint_set(text, width, 1)[0]
+
+
+def fingerprint_set(text: bytes, width: int, hashes: int) -> list[int]:
+    """Fingerprints by several hashes of the shingles; the first is ``fingerprint``."""
     words = text.translate(LOWER_ASCII).split()
     if not words:
-        return 0
-    if len(words) <= width:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+        return [0] * hashes
     of = xxhash.xxh64_intdigest
-    ones, n = np.zeros(64, dtype=np.int64), len(words) - width + 1
+    ones, n = np.zeros((hashes, 64), dtype=np.int64), max(1, len(words) - width + 1)
     for start in range(0, n, 1 << 15):
         part = words[start : start + (1 << 15) + width - 1]
-        shingles = map(b" ".join, zip(*(part[i:] for i in range(width))))
-        h = np.fromiter((of(x, SEED) for x in shingles), dtype=np.uint64, count=len(part) - width + 1)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+        shingles = map(b" ".join, zip(*(part[i:] for i in range(width)))) if len(part) > width else [b" ".join(part)]
+        h = np.fromiter((of(x, SEED) for x in shingles), dtype=np.uint64)
+        for k in range(hashes):
+            bits = np.unpackbits(_again(h, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones[k] += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8")[:, 0].tolist()
+
+
+def _again(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th hash, from the first."""
+    if not k:
+        return h
+    h = h + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -77,13 +100,16 @@ def _popcounts(fp: Column) -> Column:
 def near_pairs(points: DataFrame) -> DataFrame:
     """(a, b) of every two rows of ``points`` (node, fp; fp distinct) that differ in at most ``MOST_BITS`` bits.
 
-    A pair can appear once for each half.
+    With a column ``hash`` (under 2**29), only rows of the same hash meet, and fp is distinct within one.
+    A pair can appear once for each half and hash.
     """
+    if "hash" not in points.columns:
+        points = points.withColumn("hash", F.lit(0).cast("bigint"))
     halves = [(F.col("u").bitwiseAND(F.lit(0xFFFFFFFF)), 0), (F.shiftrightunsigned("u", 32), 1)]
     grid = points.withColumn("u", _popcounts(F.col("fp")))
 
     def key(cell: Column, half: int) -> Column:
-        return cell.bitwiseOR(F.lit(half << 32))
+        return cell.bitwiseOR(F.lit(half << 32)).bitwiseOR(F.shiftleft(F.col("hash").cast("bigint"), 33))
 
     exact = grid.select("node", "fp", F.explode(F.array(*[key(c, h) for c, h in halves])).alias("cell"))
     steps = []
@@ -145,29 +171,53 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
-    """The documents, whole rows, but of each component only the one with the smallest ``doc_id``.
+def similar_groups(docs: DataFrame, width: int = WIDTH, hashes: int = HASHES, most_apart: int = MOST_APART) -> DataFrame:
+    """fps (all fingerprints of a text), component_id and group of every distinct set of fingerprints."""
+    spark = docs.sparkSession
 
-    Rows without ``doc_id`` stay only where their component has no other: one of them.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([fingerprint_set(t or b"", width, hashes) for t in utf8(batch.column(1))], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(found), pa.list_(pa.int64()))], names=["doc_id", "fps"])
+
+    place = shared_dir(spark, "simhash")
+    ddl = "doc_id bigint, fps array<bigint>"
+    docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, ddl).write.parquet(place)
+    nameless = F.lit(_NAMELESS).bitwiseOR(F.shiftrightunsigned(F.xxhash64("fps"), 2))
+    sets = spark.read.schema(ddl).parquet(place).groupBy("fps").agg(F.min("doc_id").alias("first"))
+    sets = checkpointed(sets.select("fps", F.coalesce("first", nameless).alias("node")))
+    each = sets.select("node", F.posexplode("fps").alias("hash", "fp"))
+    points = checkpointed(each.groupBy("hash", "fp").agg(F.min("node").alias("node")))
+    #: Sets that share one of their fingerprints meet at the smallest of them.
+    shared = each.join(points.withColumnRenamed("node", "b"), ["hash", "fp"]).where("node != b").select(F.col("node").alias("a"), "b")
+    near = near_pairs(points).unionByName(shared)
+    pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda n, f: sets.select(F.col("node").alias(n), F.col("fps").alias(f))
+    apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    links = pairs.join(side("a", "fa"), "a").join(side("b", "fb"), "b").where(apart <= most_apart).select("a", "b")
+    found = components(links)
+    whole = sets.join(found, "node", "left").select("fps", F.coalesce("component", "node").alias("group"))
+    return whole.select("fps", F.when(F.col("group") < _NAMELESS, F.col("group")).alias("component_id"), "group")
+
+
+def keep_one(docs: DataFrame, width: int = WIDTH, hashes: int = HASHES, most_apart: int = MOST_APART) -> DataFrame:
+    """The documents, whole rows, but of each group of similar ones only that with the smallest ``doc_id``.
+
+    Rows without ``doc_id`` stay only where their group has no other: one of them.
     """
-    fps = fingerprints(docs, width)
-    groups = checkpointed(clusters(fps))
+    groups = checkpointed(similar_groups(docs, width, hashes, most_apart))
     first = groups.where("component_id is not null").select(F.col("component_id").alias("_keep")).distinct()
     named = docs.join(first, F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
-    lone = groups.where("component_id is null").select("fp", "group")
+    lone = groups.where("component_id is null").select("fps", "group")
     if lone.isEmpty():
         return named
-    one = fingerprint_rows(docs.where("doc_id is null"), width)
-    return named.unionByName(one.join(lone, F.col("_fp") == F.col("fp")).dropDuplicates(["group"]).select(docs.columns))
-
-
-def fingerprint_rows(docs: DataFrame, width: int) -> DataFrame:
-    """The rows with their fingerprint as ``_fp``."""
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t or b"", width) for t in utf8(batch.column(at))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], names=[*batch.schema.names, "_fp"])
+            found = np.array([fingerprint_set(t or b"", width, hashes) for t in utf8(batch.column(at))], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(found), pa.list_(pa.int64()))], names=[*batch.schema.names, "_fps"])
 
-    return docs.mapInArrow(run, docs.withColumn("_fp", F.lit(0).cast("bigint")).schema)
+    bare = docs.where("doc_id is null")
+    marked = bare.mapInArrow(run, bare.withColumn("_fps", F.array(F.lit(0).cast("bigint"))).schema)
+    return named.unionByName(marked.join(lone, F.col("_fps") == F.col("fps")).dropDuplicates(["group"]).select(docs.columns))

@@ -92,13 +92,28 @@ def test_long_chains(spark):
 
 def test_one_of_each_group_stays(spark):
     data = near_rows()
-    kept = simhash.keep_one(documents(spark, data), width=3).collect()
+    kept = simhash.keep_one(documents(spark, data), width=3, hashes=1, most_apart=3).collect()
     fps = [(d, fp_by_hand(t)) for d, t, *_ in data]
     names = groups_by_hand(fps)
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted({c for c in names if c is not None})
     assert sum(r.doc_id is None for r in kept) == len({f for (d, f), c in zip(fps, names) if c is None})
 
 
+def test_edited_copies_are_similar(spark):
+    """Copies that agree by 0.8 or more of their five-word shingles meet; unlike texts stay."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(3000)]
+    unlike = [" ".join(rng.choice(words, 400)) for _ in range(30)]
+    data = [(i, t, "en", "a") for i, t in enumerate(unlike)]
+    for i, t in enumerate(unlike[:15]):
+        own = t.split()
+        for e in range(6):
+            own[int(rng.integers(len(own)))] = f"new{e}"
+        data.append((100 + i, " ".join(own), "en", "a"))
+    kept = {r.doc_id for r in simhash.keep_one(documents(spark, data)).collect()}
+    assert set(range(30)) <= kept and len(kept - set(range(30))) <= 1
+
+
 PAGES = [(1, "http://a.example/x y", "<p>one</p>"), (2, "http://b.example", "<p>one</p>"), (3, None, None), (4, "u", ""), (5, "http://c.example/é", "日本\r\n\r\nWARC/1.1\n" * 9), (None, "n", "<p>one</p>"), (None, "m", "only here"), (7, "big", "x" * 300_000), (-9, "neg", "minus"), (8, "t", "minus"), (1, "http://a.example/again", "<p>one</p>")]
 
 

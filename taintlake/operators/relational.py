@@ -49,11 +49,17 @@ def replace_project(old: DataFrame, new: DataFrame, project: str) -> DataFrame:
 
 
 def not_in(rows: DataFrame, column: str, others: DataFrame, other: str) -> DataFrame:
-    """SQL's NOT IN, nulls and all: one null among the others empties the result."""
-    spark = rows.sparkSession
+    """SQL's NOT IN, nulls and all: one null among the others empties the result.
+
+    The engine would broadcast the others for this; here they meet the rows in an equi-join of any size, and
+    two scalar subqueries tell whether they are empty or hold a null.
+    """
     rows.createOrReplaceTempView("_not_in_rows")
     others.select(F.col(other).alias("_v")).createOrReplaceTempView("_not_in_others")
-    return spark.sql(f"SELECT * FROM _not_in_rows WHERE `{column}` NOT IN (SELECT _v FROM _not_in_others)")
+    return rows.sparkSession.sql(
+        f"SELECT r.* FROM _not_in_rows r LEFT ANTI JOIN _not_in_others o ON r.`{column}` = o._v "
+        f"WHERE (SELECT count(*) FROM _not_in_others) = 0 OR r.`{column}` IS NOT NULL AND (SELECT count_if(_v IS NULL) FROM _not_in_others) = 0"
+    )
 
 
 def nearest(left: DataFrame, right: DataFrame, on: list[str], left_at: str, right_at: str, left_key: list[str], right_order: list[str], within: int, self_too: Column | None = None) -> DataFrame:

@@ -64,6 +64,13 @@ def test_append_replaces_a_project(spark):
     assert {tuple(r) for r in relational.replace_project(old, new, "p").collect()} == {("b", 2), ("a", 3)}
 
 
+@pytest.mark.parametrize("others, left", [([], {1, 2, None}), ([2], {1}), ([2, None], set()), ([None], set())])
+def test_not_in(spark, others, left):
+    rows = spark.createDataFrame([(1,), (2,), (None,)], "k int")
+    got = relational.not_in(rows, "k", spark.createDataFrame([(o,) for o in others], "v int"), "v")
+    assert {r.k for r in got.collect()} == left
+
+
 def test_nearest_across_bands(spark):
     left = spark.createDataFrame([(1, "f", 200), (2, "f", 1000), (3, "g", 5)], "id int, file string, line int")
     right = spark.createDataFrame([(7, "f", 199), (8, "f", 201), (9, "f", 801), (10, "f", 1200)], "rid int, file string, line int")

@@ -66,7 +66,7 @@ ENTRYPOINTS: dict[str, tuple[tuple[str, ...], list[tuple[str, str, str | None]]]
         ],
     ),
     "csharp": (
-        (".cs", ".cshtml", ".razor"),
+        tuple(".cs .cshtml .razor".split()),
         [
             ("http_route", rf"^\[(?:AcceptVerbs|ApiController|Route|Http{_any('Delete Get Head Options Patch Post Put')})\b", None),
             ("http_route", _call("api app builder endpoints group grp router", "MapDelete MapGet MapGroup MapHead MapMethods MapPatch MapPost MapPut"), None),
@@ -75,7 +75,7 @@ ENTRYPOINTS: dict[str, tuple[tuple[str, ...], list[tuple[str, str, str | None]]]
     ),
     "kotlin": ((".kt", ".kts"), [("http_route", rf"(?i)^{_any(_VERBS)}\s*\(\s*['\"]", None), ("http_route", r"(?i)^routing\s*\{", None), *_JVM]),
     "bash": ((".bash", ".sh"), [("cli", r"^(?:read\s+-[pr]|getopts)\b", None), ("cli", r"^(?:bash\s+-c|source|eval|\.\s)\b", None)]),
-    "yaml": ((".yaml", ".yml"), [("http_route", r"(?i)^on:\s+", None), ("cli", r"(?i)^run:\s+", None), ("cli", r"^\$\{\{\s*github\.event\.", None)]),
+    "yaml": ((".yaml", ".yml"), [("http_route", r"(?i)^on:\s+", None), ("cli", r"(?i)^run:\s+", None), ("cli", r"^[$][{]{2}\s*github[.]event[.]", None)]),
     "js": (
         (),
         [

@@ -129,4 +129,5 @@ def sql_columns(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 #: Group 2 is the SQL between a pair of equal quotes.
-SELECT_LITERAL = r"(?i)(['\"`])(\s*SELECT\b[^'\"`]*?)\1"
+_MARKS = "'\"`"
+SELECT_LITERAL = rf"(?i)([{_MARKS}])(\s*select\b[^{_MARKS}]*?)\1"

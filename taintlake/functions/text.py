@@ -46,20 +46,11 @@ def human_size(size: Column) -> Column:
     return out.otherwise(F.format_string("%.1f TB", size / scale))
 
 
-FENCES = {
-    "typescript": (".ts", ".tsx", ".mts", ".cts"),
-    "javascript": (".cjs", ".js", ".jsx", ".mjs"),
-    "python": (".py", ".pyi"),
-    "java": (".java",),
-    "kotlin": (".kt", ".kts"),
-    "go": (".go",),
-    "ruby": (".rake", ".rb"),
-    "php": (".php", ".phtml"),
-    "csharp": (".cs", ".cshtml", ".razor"),
-    "bash": (".bash", ".sh"),
-    "yaml": (".yaml", ".yml"),
-    "html": (".htm", ".html"),
-}
+_ENDINGS = (
+    "typescript .ts .tsx .mts .cts; javascript .cjs .js .jsx .mjs; python .py .pyi; java .java; kotlin .kt .kts; go .go; ruby .rake .rb; "
+    "php .php .phtml; csharp .cs .cshtml .razor; bash .bash .sh; yaml .yaml .yml; html .htm .html"
+)
+FENCES = {lang: tuple(ends) for lang, *ends in map(str.split, _ENDINGS.split(";"))}
 
 
 def language_fence(file: Column) -> Column:
@@ -97,7 +88,8 @@ def key_pattern(storage_id: Column) -> Column:
     return F.concat(F.lit("(?i)"), F.array_join(parts, r"[^`'\"\s]*"))
 
 
-DYNAMIC = "|".join((r"\.format\(", r"\+\s*[A-Za-z_]", r"\$\{[^}]", r"`[^`]*\$", r"[\"'][^\"']*[\"']\s*%", r"\bf[\"'][^\"']*\{[^}]+\}"))
+_Q, _NQ = "[\"']", "[^\"']*"
+DYNAMIC = "|".join((r"[.]format[(]", r"[+]\s*[A-Za-z_]", r"[$][{][^}]", "`[^`]*[$]", rf"{_Q}{_NQ}{_Q}\s*%", rf"\bf{_Q}{_NQ}[{{][^}}]+[}}]"))
 
 
 def is_dynamic(code: Column) -> Column:

@@ -144,7 +144,7 @@ def entrypoints(xrefs: DataFrame, order: str = "ord") -> DataFrame:
     return first.select(F.col("f.caller_id").alias("symbol_id"), F.col("ep_kind").alias("kind"), F.col("f.callee_text").alias("signature"), "file", "line")
 
 
-ENTRY_ORDER = ("http_route", "listener", "cron", "cli", "message_consumer")
+ENTRY_ORDER = tuple("http_route listener cron cli message_consumer".split())
 
 
 def ordered_entrypoints(found: DataFrame) -> DataFrame:
@@ -157,10 +157,11 @@ def ordered_entrypoints(found: DataFrame) -> DataFrame:
 def file_entrypoints(symbols: DataFrame) -> DataFrame:
     """Routes by file layout: page and app routers, and exported loaders or actions."""
     f = F.col("file")
-    pages = F.rlike(f, F.lit(r"(?:^|/)pages/api/.*\.(?:cjs|js|jsx|mjs|ts|tsx)$")) | F.rlike(f, F.lit(r"(?:^|/)app/.*?/route\.(?:cjs|js|mjs|ts)$"))
+    under = lambda folder, rest, ends: F.rlike(f, F.lit(rf"(^|/){folder}/{rest}[.]({'|'.join(ends.split())})$"))
+    pages = under("pages/api", ".*", "cjs js jsx mjs ts tsx") | under("app", ".*/route", "cjs js mjs ts")
     base = F.substring_index(f, "/", -1)
     nxt = symbols.where(pages).groupBy("file").agg(F.min_by("id", "ord").alias("symbol_id")).select("symbol_id", F.lit("http_route").alias("kind"), F.concat(F.lit("next:"), base).alias("signature"), "file", F.lit(1).alias("line"))
-    loaders = symbols.where(F.rlike(f, F.lit(r"(?:^|/)app/routes/.+\.(?:js|jsx|ts|tsx)$")) & F.col("display_name").isin("action", "loader"))
+    loaders = symbols.where(under("app/routes", ".+", "js jsx ts tsx") & F.col("display_name").isin("action", "loader"))
     rmx = loaders.groupBy("file").agg(F.min_by("range_start", "ord").alias("line")).select(
         F.lit(None).cast("string").alias("symbol_id"), F.lit("http_route").alias("kind"), F.concat(F.lit("remix:"), base).alias("signature"), "file", F.coalesce("line", F.lit(1)).alias("line")
     )

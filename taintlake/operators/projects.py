@@ -10,41 +10,47 @@ from .relational import outermost
 
 #: kind -> manifests, the preferred first; ``*`` stands for any name.
 MANIFESTS: dict[str, tuple[str, ...]] = {
-    "node": ("package.json",),
-    "python": ("pyproject.toml", "setup.py", "setup.cfg", "requirements.txt"),
-    "java": ("pom.xml", "build.gradle", "build.gradle.kts", "settings.gradle", "settings.gradle.kts"),
-    "go": ("go.mod", "go.work"),
-    "ruby": ("Gemfile", "*.gemspec"),
-    "php": ("composer.json", "wp-config.php"),
-    "csharp": ("*.csproj", "*.sln", "Directory.Build.props", "Directory.Packages.props", "global.json"),
+    kind: tuple(names.split())
+    for kind, names in {
+        "node": "package.json",
+        "python": "pyproject.toml setup.py setup.cfg requirements.txt",
+        "java": "pom.xml build.gradle build.gradle.kts settings.gradle settings.gradle.kts",
+        "go": "go.mod go.work",
+        "ruby": "Gemfile *.gemspec",
+        "php": "composer.json wp-config.php",
+        "csharp": "*.csproj *.sln Directory.Build.props Directory.Packages.props global.json",
+    }.items()
 }
 #: kind -> (file, package manager), the preferred first.
 LOCKS: dict[str, tuple[tuple[str, str], ...]] = {
-    "node": (("pnpm-lock.yaml", "pnpm"), ("yarn.lock", "yarn"), ("bun.lock", "bun"), ("bun.lockb", "bun"), ("package-lock.json", "npm"), ("npm-shrinkwrap.json", "npm")),
-    "python": (("poetry.lock", "poetry"), ("uv.lock", "uv"), ("Pipfile.lock", "pipenv"), ("Pipfile", "pipenv"), ("pdm.lock", "pdm"), ("requirements.txt", "pip")),
-    "java": (("pom.xml", "maven"), ("build.gradle", "gradle"), ("build.gradle.kts", "gradle")),
-    "go": (("go.mod", "go"), ("go.work", "go")),
-    "ruby": (("Gemfile.lock", "bundler"), ("Gemfile", "bundler")),
-    "php": (("composer.lock", "composer"), ("composer.json", "composer")),
-    "csharp": (("global.json", "dotnet"), ("Directory.Packages.props", "dotnet")),
+    kind: tuple(tuple(p.split("=")) for p in pairs.split())
+    for kind, pairs in {
+        "node": "pnpm-lock.yaml=pnpm yarn.lock=yarn bun.lock=bun bun.lockb=bun package-lock.json=npm npm-shrinkwrap.json=npm",
+        "python": "poetry.lock=poetry uv.lock=uv Pipfile.lock=pipenv Pipfile=pipenv pdm.lock=pdm requirements.txt=pip",
+        "java": "pom.xml=maven build.gradle=gradle build.gradle.kts=gradle",
+        "go": "go.mod=go go.work=go",
+        "ruby": "Gemfile.lock=bundler Gemfile=bundler",
+        "php": "composer.lock=composer composer.json=composer",
+        "csharp": "global.json=dotnet Directory.Packages.props=dotnet",
+    }.items()
 }
 #: (kind, dependency, framework): equal names for the first kinds, parts of the manifest's text for the others.
 EXACT_KINDS = ("node", "python", "ruby")
-FRAMEWORKS: tuple[tuple[str, str, str], ...] = (
-    *(("node", d, f) for d, f in sorted({
-        "@angular/core": "angular", "@hapi/hapi": "hapi", "@nestjs/core": "nest", "@remix-run/server-runtime": "remix", "@sveltejs/kit": "sveltekit", "@vue/runtime-core": "vue",
-        "astro": "astro", "express": "express", "fastify": "fastify", "hapi": "hapi", "koa": "koa", "next": "nextjs", "react": "react", "react-dom": "react", "remix": "remix", "svelte": "svelte", "vue": "vue"}.items())),
-    *(("python", d, d) for d in ("aiohttp", "bottle", "celery", "django", "fastapi", "flask", "quart", "starlette", "tornado")),
-    *(("ruby", d, d) for d in ("grape", "hanami", "rails", "sidekiq", "sinatra")),
-    *(("java", d, f) for d, f in (("spring-boot", "spring-boot"), ("quarkus", "quarkus"), ("micronaut", "micronaut"), ("ktor", "ktor"), ("jakarta.ws.rs", "jax-rs"))),
-    *(("go", d, f) for d, f in (("gin-gonic/gin", "gin"), ("go-chi/chi", "chi"), ("gofiber/fiber", "fiber"), ("gorilla/mux", "gorilla"), ("labstack/echo", "echo"))),
-    *(("php", d, f) for d, f in (("laravel/framework", "laravel"), ("slim/slim", "slim"), ("symfony/", "symfony"))),
-    *(("csharp", d, f) for d, f in (("Microsoft.AspNetCore", "aspnetcore"), ("Microsoft.Azure.Functions", "azure-functions"), ("Microsoft.NET.Sdk.Web", "aspnetcore"))),
-)
-LANGUAGES = {
-    "typescript": (".ts", ".tsx"), "javascript": (".cjs", ".js", ".jsx", ".mjs"), "python": (".py",), "java": (".java",), "kotlin": (".kt",), "go": (".go",),
-    "ruby": (".rb",), "php": (".php",), "csharp": (".cs",), "bash": (".bash", ".sh"), "html": (".htm", ".html"), "yaml": (".yaml", ".yml"),
-}
+_BY_FRAMEWORK = {
+    "node": "angular: @angular/core; astro: astro; express: express; fastify: fastify; hapi: @hapi/hapi hapi; koa: koa; nest: @nestjs/core; nextjs: next; react: react react-dom; "
+    "remix: @remix-run/server-runtime remix; svelte: svelte; sveltekit: @sveltejs/kit; vue: @vue/runtime-core vue",
+    "python": "aiohttp: aiohttp; bottle: bottle; celery: celery; django: django; fastapi: fastapi; flask: flask; quart: quart; starlette: starlette; tornado: tornado",
+    "ruby": "grape: grape; hanami: hanami; rails: rails; sidekiq: sidekiq; sinatra: sinatra",
+    "java": "jax-rs: jakarta.ws.rs; ktor: ktor; micronaut: micronaut; quarkus: quarkus; spring-boot: spring-boot",
+    "go": "chi: go-chi/chi; echo: labstack/echo; fiber: gofiber/fiber; gin: gin-gonic/gin; gorilla: gorilla/mux",
+    "php": "laravel: laravel/framework; slim: slim/slim; symfony: symfony/",
+    "csharp": "aspnetcore: Microsoft.AspNetCore Microsoft.NET.Sdk.Web; azure-functions: Microsoft.Azure.Functions",
+}
+FRAMEWORKS = tuple((kind, dep, name) for kind, own in _BY_FRAMEWORK.items() for name, _, deps in (x.partition(": ") for x in own.split("; ")) for dep in deps.split())
+_ENDINGS = (
+    "typescript .ts .tsx; javascript .cjs .js .jsx .mjs; python .py; java .java; kotlin .kt; go .go; ruby .rb; php .php; csharp .cs; bash .bash .sh; html .htm .html; yaml .yaml .yml"
+)
+LANGUAGES = {lang: tuple(ends) for lang, *ends in map(str.split, _ENDINGS.split(";"))}
 
 
 def _is(name: Column, pattern: str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,20 +41,17 @@ def artefact_counts(nominations: DataFrame, findings: DataFrame) -> DataFrame:
     return n.withColumn("_k", F.lit(1)).join(f.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
-PHASES = ("prep", "nominate", "gate-1", "analyze", "gate-2", "validate", "gate-3", "report")
+PHASES = tuple("prep nominate gate-1 analyze gate-2 validate gate-3 report".split())
 
 
-def select_phases(phases: str = "", start_at: str = "", stop_at: str = "", known: tuple[str, ...] = PHASES) -> list[str]:
-    """The phases of a run, in order: those named, or those between two."""
-    if phases:
-        wanted = [p.strip() for p in phases.split(",") if p.strip()]
-        if gone := [p for p in wanted if p not in known]:
-            raise ValueError(f"unknown phases: {', '.join(gone)}")
-        return [p for p in known if p in wanted]
-    for p in (start_at, stop_at):
-        if p and p not in known:
-            raise ValueError(f"unknown phase: {p}")
-    low, high = known.index(start_at) if start_at else 0, known.index(stop_at) if stop_at else len(known) - 1
+def select_phases(names: str = "", first: str = "", last: str = "", known: tuple[str, ...] = PHASES) -> list[str]:
+    """The phases of a run, in order: those named (by commas), or those from one to another."""
+    named = re.findall(r"[^,\s]+", names)
+    if odd := {*named, *filter(None, (first, last))} - set(known):
+        raise ValueError(f"unknown phases: {', '.join(sorted(odd))}")
+    if named:
+        return sorted(set(named), key=known.index)
+    low, high = known.index(first or known[0]), known.index(last or known[-1])
     if low > high:
         raise ValueError("the first phase comes after the last")
     return list(known[low : high + 1])

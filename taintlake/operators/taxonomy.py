@@ -14,9 +14,11 @@ def read_yaml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(classes, members of groups) of a taxonomy file: some dozens of entries, read on the driver."""
     import yaml
 
-    raw = yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
-    groups = raw.pop("groups", {}) or {}
-    rows = [(k, i, v.get("group"), v.get("cwes") or [], v.get("codeql_tags") or [], v.get("aliases") or [], bool(v.get("needs_semantic")), v.get("validation_hints") or []) for i, (k, v) in enumerate(raw.items())]
+    with Path(path).open(encoding="utf-8") as source:
+        raw = yaml.safe_load(source)
+    own = {k: v for k, v in (raw or {}).items() if k != "groups"}
+    groups = (raw or {}).get("groups") or {}
+    rows = [(k, i, v.get("group"), v.get("cwes") or [], v.get("codeql_tags") or [], v.get("aliases") or [], bool(v.get("needs_semantic")), v.get("validation_hints") or []) for i, (k, v) in enumerate(own.items())]
     members = [(g, m) for g, own in groups.items() for m in own]
     return spark.createDataFrame(rows, CLASS_DDL), spark.createDataFrame(members, "group_name STRING, member STRING")
 

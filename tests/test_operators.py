@@ -192,22 +192,16 @@ def test_proposals_merge_first_and_sure(spark):
     assert {(r.storage_id, r.kind) for r in storage.merge_proposals(old, p).collect()} == {("s0", "x"), ("s1", "cache_key")}
 
 
-PLACE = lambda uri, a, b=None: {"physicalLocation": {"artifactLocation": {"uri": uri}, "region": {"startLine": a} | ({"endLine": b} if b else {})}}
+def place(uri, a, b=None):
+    return dict(physicalLocation=dict(artifactLocation=dict(uri=uri), region=dict(startLine=a) | (dict(endLine=b) if b else {})))
 
 
 def test_sarif(spark, tmp_path):
-    doc = {
-        "runs": [
-            {
-                "tool": {"driver": {"name": "x", "rules": [{"id": "js/sqli", "properties": {"tags": ["external/cwe/cwe-089"]}}]}},
-                "results": [
-                    {"ruleId": "js/sqli", "message": {"text": "m"}, "locations": [PLACE("a.js", 9)], "codeFlows": [{"threadFlows": [{"locations": [{"location": PLACE("a.js", 2)}, {"location": PLACE("file:///abs/b.js", 9, 11)}]}]}]},
-                    {"ruleId": "pattern/CWE-79", "message": {"text": "m"}, "locations": [PLACE("c.js", 5)]},
-                    {"ruleId": "nothing", "message": {"text": "m"}, "locations": []},
-                ],
-            }
-        ]
-    }
+    rule = dict(id="js/sqli", properties=dict(tags=["external/cwe/cwe-089"]))
+    thread = dict(locations=[dict(location=place("a.js", 2)), dict(location=place("file:///abs/b.js", 9, 11))])
+    result = lambda rule_id, where, **more: dict(ruleId=rule_id, message=dict(text="m"), locations=where, **more)
+    found = [result("js/sqli", [place("a.js", 9)], codeFlows=[dict(threadFlows=[thread])]), result("pattern/CWE-79", [place("c.js", 5)]), result("nothing", [])]
+    doc = dict(runs=[dict(tool=dict(driver=dict(name="x", rules=[rule])), results=found)])
     (tmp_path / "x.sarif").write_text(json.dumps(doc))
     got = records.sarif_rows(records.sarif(spark, str(tmp_path / "x.sarif")), "p", "/root", "codeql")
     flows = sorted(got["flows"].collect(), key=lambda r: r.cwe)
@@ -227,7 +221,7 @@ def test_json_lines_of_all_kinds(spark, tmp_path):
     (tmp_path / "m.jsonl").write_text('{"cwe": "CWE-1", "source": {"file": "a", "line": 1, "class": "c"}, "sink": {"file": "b", "line": 2, "class": "d"}, "steps": [{"file": "a", "line": 1}]}')
     (model,) = records.model_flow_rows(records.jsonl(spark, str(tmp_path / "m.jsonl"), schemas.MODEL_FLOWS))["flows"].collect()
     assert model.engine == "llm-heavy" and model.confidence == "inferred" and model.steps[0].start == 1
-    ast = [{"type": "file", "file": "a.ts", "lang": "ts", "lineCount": 3}, {"type": "symbol", "file": "a.ts", "kind": "function", "name": "f", "range": [1, 2], "syntheticId": "s1"}, {"type": "symbol", "file": "a.ts", "name": "lost"}, {"type": "xref", "file": "a.ts", "kind": "call", "line": 2, "calleeText": "app.get"}, {"type": "done"}]
+    ast = [dict(type="file", file="a.ts", lang="ts", lineCount=3), dict(type="symbol", file="a.ts", kind="function", name="f", range=[1, 2], syntheticId="s1"), dict(type="symbol", file="a.ts", name="lost"), {"type": "xref", "file": "a.ts", "kind": "call", "line": 2, "calleeText": "app.get"}, {"type": "done"}]
     (tmp_path / "a.jsonl").write_text("\n".join(map(json.dumps, ast)))
     made = records.ast_rows(records.jsonl(spark, str(tmp_path / "a.jsonl"), schemas.AST), "p", records.scip_symbols(spark.createDataFrame([("a.ts", [0, 1, 1, 4], "better")], "file string, range array<int>, symbol string")))
     assert [r.id for r in made["symbols"].collect()] == ["better"] and [r.callee_text for r in made["xrefs"].collect()] == ["app.get"]
@@ -289,9 +283,9 @@ def test_read_only_surface(spark):
 
 
 def test_phases():
-    assert reports.select_phases(start_at="analyze", stop_at="validate") == ["analyze", "gate-2", "validate"]
+    assert reports.select_phases(first="analyze", last="validate") == ["analyze", "gate-2", "validate"]
     assert reports.select_phases("report,prep") == ["prep", "report"]
-    for bad in ({"phases": "x"}, {"start_at": "x"}, {"start_at": "report", "stop_at": "prep"}):
+    for bad in ({"names": "x"}, {"first": "x"}, {"first": "report", "last": "prep"}):
         with pytest.raises(ValueError):
             reports.select_phases(**bad)
 

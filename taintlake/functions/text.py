@@ -37,13 +37,13 @@ def dot_id(prefix: str, raw: Column) -> Column:
 
 
 def human_size(size: Column) -> Column:
-    """1023 B, 1.0 KB, ... TB."""
+    """1023 B, 1.0 KB, ... TB; halves go to the even digit."""
     out, scale = None, 1024.0
     out = F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B")))
     for unit in ("KB", "MB", "GB"):
-        out = out.when(size < scale * 1024, F.format_string(f"%.1f {unit}", size / scale))
+        out = out.when(size < scale * 1024, F.format_string(f"%.1f {unit}", F.bround(size / scale, 1)))
         scale *= 1024
-    return out.otherwise(F.format_string("%.1f TB", size / scale))
+    return out.otherwise(F.format_string("%.1f TB", F.bround(size / scale, 1)))
 
 
 _ENDINGS = (

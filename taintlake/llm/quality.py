@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import SPACE_BYTES, utf8
+from .common import SPACE_BYTES, pieces_of, utf8
 
 SCHEMA = (
     "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
@@ -149,7 +149,7 @@ def quality(docs: DataFrame, rules: LineRules = LineRules(), with_text: bool = T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", *(x.split()[0] for x in SCHEMA.split(", ")[1:])]
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces_of(whole, 1)):
             texts = [t or b"" for t in utf8(batch.column(1))]
             out = list(zip(*_judge(texts, rules, with_text)))
             if not out:
@@ -166,7 +166,7 @@ def keep_good(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces_of(whole, at)):
             texts = [t or b"" for t in utf8(batch.column(at))]
             judged = list(_judge(texts, rules, True))
             keep = [row[6] for row in judged]

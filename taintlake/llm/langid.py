@@ -29,13 +29,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .common import checkpointed, pieces_of
+
 UND = "und"
 ORDERS = (5, 4, 3, 2, 1)
 _WORDS = re.compile(r"[^\W\d_]+").findall
 #: A word with more letters than this is scored by its grams alone, so that no key is long.
 LONGEST_WORD = 40
+#: What can stand around a word without changing which words a chunk has.
+_MARKS = ".,!?;:()[]{}\"'|%&*$#<>"
 #: Scores of distinct chunks that a worker keeps before it starts anew.
-CACHE = 200_000
+CACHE = 250_000
 
 
 @dataclass(frozen=True)
@@ -58,7 +62,7 @@ def grams(word: str, n: int) -> list[str]:
 def fit(docs: DataFrame, sample_docs: int = 1500, max_entries: int = 60_000, smooth: float = 0.5) -> Model:
     """Learns from ``text`` and ``lang`` of the rows that are not held out."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang")
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
@@ -89,8 +93,8 @@ def fit(docs: DataFrame, sample_docs: int = 1500, max_entries: int = 60_000, smo
             if found:
                 yield rows_of(found)
 
-    counted = rows.where(drawn).select("text", "lang").mapInArrow(count, "lang string, n int, entry string, c bigint")
-    counted = counted.groupBy("lang", "n", "entry").agg(F.sum("c").alias("c"))
+    counted = rows.where(drawn & F.col("text").isNotNull()).select("text", "lang").mapInArrow(count, "lang string, n int, entry string, c bigint")
+    counted = checkpointed(counted.groupBy("lang", "n", "entry").agg(F.sum("c").alias("c")))
     wide = counted.groupBy("n", "entry").agg(F.sum("c").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("by"))
     wide = wide.where((F.col("n") > 0) | (F.col("all") > 1))
     top = W.partitionBy("n").orderBy(F.desc("all"), "entry")
@@ -118,7 +122,7 @@ def word_scores(model: Model, word: str) -> np.ndarray:
     for n in ORDERS:
         known = [i for g in grams(word, n) if (i := model.tables[n].get(g)) is not None]
         if known:
-            return model.scores[n][known].mean(axis=0) * min(1.0, len(known) / max(1, len(word) + 2 - n))
+            return model.scores[n][known].mean(axis=0)
     return np.zeros(len(model.langs))
 
 
@@ -145,7 +149,7 @@ def keep_known(docs: DataFrame, model: Model, min_score: float = 0.4) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _Predictor(shared.value)
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces_of(whole, at)):
             found = [best(t) for t in batch.column(at).to_pylist()]
             keep = [k != UND and s >= min_score for k, s in found]
             if any(keep):
@@ -155,21 +159,30 @@ def keep_known(docs: DataFrame, model: Model, min_score: float = 0.4) -> DataFra
 
 
 class _Predictor:
-    """Scores texts; keeps the score vectors of distinct chunks between white space, as rows of one array."""
+    """Scores texts; keeps the score vectors of distinct chunks between white space, as rows of one array.
+
+    The first rows are the model's words, so a chunk that is one of them, with or without marks,
+    needs no arithmetic.
+    """
 
     def __init__(self, model: Model):
         self.model, self.size = model, len(model.langs)
+        self.words = model.tables.get(0, {})
         self.seen: dict[str, int] = {}
-        self.rows = np.zeros((CACHE + 1, self.size + 1))
+        first = len(self.words)
+        self.rows = np.ones((first + CACHE, self.size + 1))
+        if first:
+            self.rows[:first, :-1] = model.scores[0]
+        self.free = first
 
     def _row(self, chunk: str) -> int:
-        at = len(self.seen)
+        at = self.words.get(chunk.strip(_MARKS))
+        if at is None:
+            at, words = self.free, _WORDS(chunk)
+            self.free += 1
+            self.rows[at, :-1] = sum((word_scores(self.model, w) for w in words), np.zeros(self.size)) if len(words) != 1 else word_scores(self.model, words[0])
+            self.rows[at, -1] = len(words)
         self.seen[chunk] = at
-        words = _WORDS(chunk)
-        self.rows[at] = 0
-        for word in words:
-            self.rows[at, : self.size] += word_scores(self.model, word)
-        self.rows[at, self.size] = len(words)
         return at
 
     def __call__(self, text: str | None) -> tuple[str, float]:
@@ -179,14 +192,15 @@ class _Predictor:
         chunks = text.lower().split()
         for start in range(0, len(chunks), 4096):
             part = chunks[start : start + 4096]
-            if len(self.seen) + len(part) > CACHE:
+            if len(self.seen) > CACHE or self.free + len(part) > len(self.rows):
                 self.seen.clear()
+                self.free = len(self.words)
             get, row = self.seen.get, self._row
             total += self.rows[[i if (i := get(c)) is not None else row(c) for c in part]].sum(axis=0)
-        n = total[self.size]
+        n = total[-1]
         if not n:
             return UND, 0.0
-        mean = total[: self.size] / n
+        mean = total[:-1] / n
         best = int(np.argmax(mean))
         #: As if the text had ten words at most, so that long texts keep a graded score.
         odds = np.exp((mean - mean[best]) * min(n, 10.0))

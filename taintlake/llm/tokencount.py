@@ -8,8 +8,7 @@ share it, and stores the count of pieces where a pre-token ends.
 
 Characters that no piece holds cost ``UNK_PENALTY`` more than the worst piece (but for those
 with a score under ``BARRED``, which models use to bar a piece) and count one piece for each
-UTF-8 byte (byte fallback). Ties go to the longer last piece, as in the
-sentencepiece library, which the tests compare with.
+UTF-8 byte (byte fallback). Ties go to the longer last piece.
 
 One pass over the rows without a shuffle. A worker keeps counts of at most ``CACHE``
 pre-tokens and builds tries of at most ``TRIE_CHARS`` characters. Defined results: null counts as empty
@@ -84,9 +83,14 @@ class Unigram:
     def __init__(self, pieces: dict[str, float]):
         if any(BLANK in p.lstrip(BLANK) for p in pieces):
             raise ValueError("a piece runs from a non-blank into a blank; pre-tokens can't be split there")
-        self.pieces = pieces
-        self.longest = max(map(len, pieces), default=1)
         self.unknown = min((s for s in pieces.values() if s > BARRED), default=0.0) - UNK_PENALTY
+        #: The pieces from their last character to the first: [next characters, score of the piece that ends here].
+        self.backwards: list = [{}, None]
+        for piece, score in pieces.items():
+            node = self.backwards
+            for c in reversed(piece):
+                node = node[0].setdefault(c, [{}, None])
+            node[1] = score
 
     def counts(self, words: Iterable[str]) -> dict[str, int]:
         """Pieces of each pre-token; every shared prefix is scored once."""
@@ -94,46 +98,46 @@ class Unigram:
         for word in words:
             node = root
             for c in word:
-                node = node.setdefault(c, {})
+                below = node.get(c)
+                if below is None:
+                    below = node[c] = {}
+                node = below
             node[""] = word
         out: dict[str, int] = {}
         #: Depth first; path, best and n hold the prefix of the node at hand, so each is as long as the deepest word.
-        path: list[str] = []
-        best, n = [0.0], [0]
+        path, best, n = [""], [0.0], [0]
+        unknown, pieces = self.unknown, self.backwards
         stack: list[tuple[int, str, dict]] = [(0, "", root)]
         while stack:
             depth, c, node = stack.pop()
             if depth:
-                del path[depth - 1 :], best[depth:], n[depth:]
+                del path[depth:], best[depth:], n[depth:]
                 path.append(c)
-                self._extend(path, best, n)
+                #: Pieces that end here, the shortest first; of equal scores the longest wins.
+                piece, at, top, pieces_so_far = pieces, depth, None, 0
+                while at:
+                    piece = piece[0].get(path[at])
+                    if piece is None:
+                        break
+                    at -= 1
+                    score = piece[1]
+                    if score is not None:
+                        score += best[at]
+                        if top is None or score >= top:
+                            top, pieces_so_far = score, n[at] + 1
+                if pieces[0].get(c) is None or pieces[0][c][1] is None:  # no piece for the character alone
+                    score = unknown + best[depth - 1]
+                    if top is None or score > top:
+                        top, pieces_so_far = score, n[depth - 1] + len(c.encode())
+                best.append(top)
+                n.append(pieces_so_far)
             if "" in node:
                 out[node[""]] = n[depth]
-            stack += [(depth + 1, k, below) for k, below in node.items() if k]
+            for k, below in node.items():
+                if k:
+                    stack.append((depth + 1, k, below))
         return out
 
-    def _extend(self, path: list[str], best: list[float], n: list[int]) -> None:
-        """The forward score and the count of pieces of the prefix that ``path`` has become."""
-        end = len(path)
-        tail = "".join(path[-self.longest :])
-        size = len(tail)
-        top, top_n = None, 0
-        get = self.pieces.get
-        for k in range(size):
-            score = get(tail[k:])
-            at = end - size + k
-            if score is None:
-                if k < size - 1:
-                    continue
-                score, add = self.unknown, len(path[-1].encode())
-            else:
-                add = 1
-            score += best[at]
-            if top is None or score > top:
-                top, top_n = score, n[at] + add
-        best.append(top)
-        n.append(top_n)
-
 
 def pretokens(text: str) -> list[str]:
     return _PRETOKENS(BLANK + text.replace(" ", BLANK)) if text else []

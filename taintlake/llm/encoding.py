@@ -1,11 +1,10 @@
-"""Token ids of whole texts by the tokenizers library, each distinct chunk encoded once.
-
-Both tokenizers that are used here split texts before they merge, and never keep together
-what stands before and after a place where white space follows another character. Texts are
-cut at such places; the ids of a text are the ids of its chunks in order. A chunk that is one
-word of Latin letters, with or without marks behind it, is split by that; all others by the
-library's own normalizer and splitter. The library's model then merges each distinct piece.
-The tests compare with the library on whole texts.
+"""Token ids of whole texts by the tokenizers library, each distinct piece merged once.
+
+Texts of ASCII and Latin letters alone, the most, are split by the tokenizers' own patterns, spelt for
+these characters. Other texts are cut where white space follows another character, places
+that both tokenizers never merge across, and the library's own normalizer and splitter take
+the chunks apart. The library's model then merges each distinct piece; the ids of a text are
+the ids of its pieces in order. The tests compare with the library on whole texts.
 """
 
 from __future__ import annotations
@@ -14,24 +13,24 @@ import os
 import re
 import sys
 from array import array
-
-import numpy as np
+from collections.abc import Callable
 
 #: White space in any sense that a splitting pattern could have, other than the first four.
 _ODD = "\x0b\x0c\x1c-\x1f\x85\xa0  -     　"
 #: White space, then all up to where plain white space follows a character that is none.
 _WITH_SPACE = re.compile(f"[ \t\n\r]*(?:[^ \t\n\r{_ODD}]+|[{_ODD}][ \t\n\r{_ODD}]*)+|[ \t\n\r]+$")
-_PLAIN_WITH_SPACE = re.compile("[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+$")
-_HAS_ODD = re.compile(f"[{_ODD}]")
 #: For tokenizers that drop white space.
 _BETWEEN = re.compile("[^ \t\n\r]+")
 
-#: One word of Latin letters, the same to every version of Unicode and composed, and marks that
-#: stand together after it and belong to no word with it.
-_WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,!?;:)|%&*$#]*)").fullmatch
+#: Letters that are letters to every version of Unicode, composed, and lowered one by one (so without the dotted I).
+_L = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
+_SIMPLE = re.compile(f"[\t\n\r -~{_L}]*").fullmatch
+_ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
+_SPACED = re.compile(rf"{_ENDINGS}| ?[{_L}]+| ?[0-9]+| ?[^\s0-9{_L}]+|\s+(?!\S)|\s+").findall
+_DROPPED = re.compile(rf"{_ENDINGS}|[{_L}]+|[0-9]|[^\s0-9{_L}]+").findall
 
-#: Distinct chunks, and pieces, that a worker keeps; longer ones than LONG are never kept.
-KEEP, LONG, GROUP_CHARS = 400_000, 64, 4_000_000
+#: Distinct pieces of a generation that a worker keeps; longer ones than LONG are never kept.
+KEEP, LONG, STEP = 400_000, 64, 1 << 20
 
 
 def _byte_letters() -> dict[int, str]:
@@ -44,8 +43,30 @@ def _byte_letters() -> dict[int, str]:
 _LETTERS = _byte_letters()
 
 
+class _Kept(dict):
+    """What ``make`` gave for each key, in two generations: when one is full, it becomes the old one, and
+    keys that are asked for again come back from there."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= LONG:
+            self[key] = found
+        return found
+
+    def turn(self) -> None:
+        if len(self) > KEEP:
+            self.old = dict(self)
+            self.clear()
+
+
 class Encoder:
-    """``space``: whether white space belongs to the tokens after it (byte-level) or is dropped."""
+    """``space``: whether white space belongs to the tokens after it (byte-level) or is dropped (lower-case)."""
 
     def __init__(self, path: str, space: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -53,70 +74,40 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model, self.space = self.tokenizer.model, space
+        self.merge, self.space = self.tokenizer.model.tokenize, space
         if sys.byteorder != "little" or array("I").itemsize != 4:
             raise RuntimeError("ids are kept as this machine's unsigned ints, which must be little-endian and of 32 bits")
-        self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def chunks(self, text: str) -> list[str]:
-        if not self.space:
-            return _BETWEEN.findall(text)
-        return (_WITH_SPACE if _HAS_ODD.search(text) else _PLAIN_WITH_SPACE).findall(text)
-
-    def _keep(self, key: str, piece: str) -> bytes:
-        """Ids of what the splitter leaves whole, in the letters of its bytes."""
-        found = array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
-        if len(piece) <= LONG:
-            if len(self.pieces) >= KEEP:
-                self.pieces.clear()
-            self.pieces[key] = found
-        return found
+        self.pieces, self.chunks, self.letters = _Kept(self._piece), _Kept(self._chunk), _Kept(self._merged)
+
+    def _merged(self, letters: str) -> bytes:
+        """Ids of what the splitter leaves whole, given as the letters of its bytes."""
+        return array("I", [t.id for t in self.merge(letters)]).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """The same, given as it stands in the text."""
+        if piece.isascii() and piece.isprintable():
+            return self._merged(piece.replace(" ", "Ġ"))
+        return self._merged(piece.encode().decode("latin-1").translate(_LETTERS))
 
     def _chunk(self, chunk: str) -> bytes:
-        get, match = self.pieces.get, _WORD(chunk)
-        if match:
-            word, marks = match.groups()
-            if not self.space:
-                word = word.lower()
-            if (ids := get(word)) is None:
-                ids = self._keep(word, word.replace(" ", "Ġ") if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS))
-            if not marks:
-                return ids
-            return ids + (found if (found := get(marks)) is not None else self._keep(marks, marks))
         plain = self.tokenizer.normalizer.normalize_str(chunk) if self.tokenizer.normalizer else chunk
-        parts = (p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(plain))
-        #: Letters of bytes could be those of another word, so these have keys of their own.
-        return b"".join(found if (found := get("\0" + p)) is not None else self._keep("\0" + p, p) for p in parts)
+        return b"".join(self.letters[p] for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(plain))
+
+    def split(self, text: str) -> tuple[_Kept, list[str]]:
+        """The parts of a text, and what knows their ids."""
+        if _SIMPLE(text):
+            return self.pieces, _SPACED(text) if self.space else _DROPPED(text.lower())
+        return self.chunks, (_WITH_SPACE if self.space else _BETWEEN).findall(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        out: list[bytes] = []
-        start = 0
-        while start < len(texts):
-            stop, size = start, 0
-            while stop < len(texts) and (stop == start or size + len(texts[stop]) <= GROUP_CHARS):
-                size += len(texts[stop])
-                stop += 1
-            out += self._group(texts[start:stop])
-            start = stop
-        return out
-
-    def _group(self, texts: list[str]) -> list[bytes]:
-        parts = [self.chunks(t) for t in texts]
-        known = self.known
-        wanted: set[str] = set()
-        for p in parts:
-            wanted.update(p)
-        fresh = wanted - known.keys()
-        if len(known) + len(fresh) > KEEP:
-            self.known = known = {w: known[w] for w in wanted - fresh}
-        for w in fresh:
-            known[w] = self._chunk(w)
-        out = [b"".join(map(known.__getitem__, p)) for p in parts]
-        for w in fresh:
-            if len(w) > LONG:
-                del known[w]
+        out = []
+        for text in texts:
+            kept, parts = self.split(text)
+            ids = kept.__getitem__
+            out.append(b"".join(map(ids, parts)) if len(parts) <= STEP else b"".join(b"".join(map(ids, parts[i : i + STEP])) for i in range(0, len(parts), STEP)))
+            for kept in (self.pieces, self.chunks, self.letters):
+                kept.turn()
         return out
 
 

@@ -8,11 +8,13 @@ in the cell of each of its halves, and on one side of the join also in the cells
 which meets every pair within distance 1 once. Pairs from a cell must pass the Manhattan bound
 over all coordinates, then the exact count of differing bits, both inside the join.
 
-Three bits of 64 find copies with hardly an edit. ``similar_groups`` finds those with more: eight
-fingerprints of a text, by as many hashes of its two-word shingles, are each joined on the grid
-of its own, and of the pairs that one of them brings near, those stay whose 512 bits
-together differ in at most ``MOST_APART`` places, which is where five-word shingles agree by 0.8
-or more (the README has the measured shares).
+Three bits of 64 find copies with hardly an edit. ``alike_groups`` finds every two texts whose sets of
+five-word shingles (64-bit hashes of them) have a Jaccard similarity of 0.8 or more, exactly. Under any
+one order of all shingles, the first n - ceil(0.8 n) + 1 of the n of such texts have one in common, so
+texts meet by those (the order puts what a sample knows as common last, which only saves work), and
+their whole sets are compared. To spare the pairs inside a large group, all texts of a shingle
+are first compared with two of them; then only those that are not yet in one group. ``similar_groups``
+estimates from the bits of several fingerprints instead.
 
 Counts are kept in unary (00, 01, 11), so that the Manhattan distance of two points is the
 number of differing bits of their codes. Copies are one point; a point has some 26 rows of three longs.
@@ -39,8 +41,12 @@ SEED = 42
 #: The bound that the two halves of the grid are made for: 3 = 1 + 2.
 MOST_BITS = 3
 _LOW = 0x5555555555555555
-#: For texts that are similar by five-word shingles: hashes, words of a shingle, and differing bits of all.
+#: For estimates: hashes, words of a shingle, and differing bits of all.
 HASHES, WIDTH, MOST_APART = 8, 2, 54
+#: For exact sets: words of a shingle; the least Jaccard similarity is 4 / 5.
+ALIKE_WIDTH = 5
+#: One text in so many is sampled for common shingles; those in COMMON_LEAST of the sample are, COMMON_MOST at most.
+SAMPLE, COMMON_LEAST, COMMON_MOST = 32, 3, 100_000
 #: Names of groups without a ``doc_id`` start here.
 _NAMELESS = 1 << 62
 
@@ -200,24 +206,144 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, hashes: int = HASHES, mo
     return whole.select("fps", F.when(F.col("group") < _NAMELESS, F.col("group")).alias("component_id"), "group")
 
 
-def keep_one(docs: DataFrame, width: int = WIDTH, hashes: int = HASHES, most_apart: int = MOST_APART) -> DataFrame:
+def shingle_set(text: bytes, width: int = ALIKE_WIDTH) -> np.ndarray:
+    """Distinct hashes of the shingles, sorted; a text of fewer words is one shingle, one without a word has none."""
+    words = text.translate(LOWER_ASCII).split()
+    if not words:
+        return np.zeros(0, dtype=np.int64)
+    of, found = xxhash.xxh64_intdigest, []
+    for start in range(0, max(1, len(words) - width + 1), 1 << 15):
+        part = words[start : start + (1 << 15) + width - 1]
+        shingles = map(b" ".join, zip(*(part[i:] for i in range(width)))) if len(part) > width else [b" ".join(part)]
+        found.append(np.fromiter((of(x, SEED) for x in shingles), dtype=np.uint64))
+    return np.unique(np.concatenate(found).view(np.int64))
+
+
+def _set_id(own: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view(np.int64))
+
+
+def first_shingles(own: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Those of a set that every set of similarity 0.8 shares one with: ``common`` (sorted) comes last, by ``rank``."""
+    need = len(own) - (4 * len(own) + 4) // 5 + 1
+    if not len(common):
+        return own[:need]
+    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+    known = common[at] == own
+    rare = own[~known]
+    if len(rare) >= need:
+        return rare[:need]
+    late = at[known]
+    return np.concatenate([rare, common[late[np.argsort(rank[late], kind="stable")]]])[:need]
+
+
+def _common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a sample of the distinct texts often has, sorted, and the rank of each by its count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in utf8(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, width))], names=["token"])
+
+    sample = docs.select("text", F.xxhash64("text").alias("h")).where(F.pmod("h", F.lit(SAMPLE)) == 0).dropDuplicates(["h"]).where("text is not null")
+    counts = sample.select("text").mapInArrow(run, "token bigint").groupBy("token").count().where(F.col("count") >= COMMON_LEAST)
+    top = counts.orderBy(F.desc("count"), "token").limit(COMMON_MOST).toArrow()
+    tokens, n = top["token"].to_numpy(), top["count"].to_numpy()
+    order = np.argsort(tokens)
+    rank = np.empty(len(tokens), dtype=np.int64)
+    rank[np.lexsort((tokens, n))] = np.arange(len(tokens))
+    return tokens[order], rank[order]
+
+
+def _alike(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets in ``whole`` (node, own) agree by 4 / 5."""
+    side = lambda n, f: whole.select(F.col("node").alias(n), F.col("own").alias(f))
+    both = F.size(F.array_intersect("fa", "fb"))
+    return pairs.join(side("a", "fa"), "a").join(side("b", "fb"), "b").where(9 * both >= 4 * (F.size("fa") + F.size("fb"))).select("a", "b")
+
+
+def alike_groups(docs: DataFrame, width: int = ALIKE_WIDTH) -> DataFrame:
+    """node (a hash of a text's set of shingles), component_id and group of every distinct set."""
+    spark = docs.sparkSession
+    known = spark.sparkContext.broadcast(_common_shingles(docs, width))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t or b"", width) for t in utf8(batch.column(1))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(map(_set_id, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array([first_shingles(x, *known.value) for x in sets], pa.list_(pa.int64()))],
+                names=["doc_id", "node", "n", "first"],
+            )
+
+    place = shared_dir(spark, "shingles")
+    ddl = "doc_id bigint, node bigint, n bigint, first array<bigint>"
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    rows.mapInArrow(run, ddl).write.parquet(place)
+    marked = spark.read.schema(ddl).parquet(place)
+    sets = checkpointed(marked.groupBy("node").agg(F.min("doc_id").alias("least")))
+    tokens = marked.select("node", "n", F.explode("first").alias("token"))
+    shared = tokens.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high")
+    shared = checkpointed(shared)
+    members = checkpointed(tokens.join(shared.select("token"), "token", "left_semi").distinct())
+
+    def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t or b"", width) for t in utf8(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(map(_set_id, found), pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["node", "own"])
+
+    used = members.select("node").distinct()
+    named = used.join(sets, "node").select(F.col("least").alias("_doc")).distinct()
+    texts = rows.join(named, F.col("doc_id") == F.col("_doc"), "left_semi").unionByName(rows.where("doc_id is null"))
+    whole = checkpointed(texts.select("text").mapInArrow(whole_sets, "node bigint, own array<bigint>").join(used, "node", "left_semi").dropDuplicates(["node"]))
+
+    def close(x: str, y: str) -> Column:
+        return 5 * F.least(x, y) >= 4 * F.greatest(x, y)
+
+    hubs = members.join(shared, "token").select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a != b")
+    hubs = checkpointed(hubs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    links = checkpointed(_alike(hubs, whole))
+    inside = components(links)
+    placed = checkpointed(members.join(inside, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("part")))
+    mixed = placed.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select("token")
+    apart = placed.join(mixed, "token", "left_semi")
+    left = apart.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
+    right = apart.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
+    met = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & close("na", "nb"))
+    rest = _alike(met.select("a", "b").distinct().join(hubs, ["a", "b"], "left_anti"), whole)
+    #: Rows with equal doc_id are one document.
+    again = sets.where("least is not null").groupBy("least").agg(F.min("node").alias("b"), F.max("node").alias("high")).where("b != high").select("least", "b")
+    again = sets.join(again, "least").where("node != b").select(F.col("node").alias("a"), "b")
+    found = components(links.unionByName(rest).unionByName(again))
+    labelled = sets.join(found, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    names = labelled.groupBy("part").agg(F.min("least").alias("component_id"))
+    nameless = F.lit(_NAMELESS).bitwiseOR(F.shiftrightunsigned("part", 2))
+    return labelled.select("node", "part").join(names, "part").select("node", "component_id", F.coalesce("component_id", nameless).alias("group"))
+
+
+def keep_one(docs: DataFrame, width: int = ALIKE_WIDTH, hashes: int = 0, most_apart: int = MOST_APART) -> DataFrame:
     """The documents, whole rows, but of each group of similar ones only that with the smallest ``doc_id``.
 
+    Similar are texts whose sets of shingles agree by 0.8; with ``hashes``, those whose fingerprints are near.
     Rows without ``doc_id`` stay only where their group has no other: one of them.
     """
-    groups = checkpointed(similar_groups(docs, width, hashes, most_apart))
+    kind = "array<bigint>" if hashes else "bigint"
+    groups = checkpointed(similar_groups(docs, width, hashes, most_apart).withColumnRenamed("fps", "_own") if hashes else alike_groups(docs, width).withColumnRenamed("node", "_own"))
     first = groups.where("component_id is not null").select(F.col("component_id").alias("_keep")).distinct()
     named = docs.join(first, F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
-    lone = groups.where("component_id is null").select("fps", "group")
+    lone = groups.where("component_id is null").select(F.col("_own").alias("_of"), F.col("group").alias("_group"))
     if lone.isEmpty():
         return named
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint_set(t or b"", width, hashes) for t in utf8(batch.column(at))], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(found), pa.list_(pa.int64()))], names=[*batch.schema.names, "_fps"])
+            texts = [t or b"" for t in utf8(batch.column(at))]
+            if hashes:
+                found = pa.array(list(np.array([fingerprint_set(t, width, hashes) for t in texts], dtype=np.uint64).view(np.int64)), pa.list_(pa.int64()))
+            else:
+                found = pa.array([_set_id(shingle_set(t, width)) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "_own"])
 
     bare = docs.where("doc_id is null")
-    marked = bare.mapInArrow(run, bare.withColumn("_fps", F.array(F.lit(0).cast("bigint"))).schema)
-    return named.unionByName(marked.join(lone, F.col("_fps") == F.col("fps")).dropDuplicates(["group"]).select(docs.columns))
+    marked = bare.mapInArrow(run, bare.withColumn("_own", F.lit(None).cast(kind)).schema)
+    return named.unionByName(marked.join(lone, F.col("_own") == F.col("_of")).dropDuplicates(["_group"]).select(docs.columns))

@@ -164,6 +164,26 @@ def test_groups_by_exact_shingles(spark):
     assert sum(r.doc_id is None for r in kept) == len({find(i) for i in range(len(data))} - set(least))
 
 
+def test_texts_under_the_bound_stay(spark):
+    """Few bits apart but under 0.8: not one of a chain of links is taken on the word of the bits."""
+    data, want = [], set()
+    for i in range(40):
+        own = prose(60 + i, 3 + i).split()
+        own = [f"{w}{i}x{k}" for k, w in enumerate(own)]
+        for c in range(3):
+            other = list(own)
+            for e in range(c * 2):
+                other[(17 * e + 11 * c) % len(other)] = f"edit{i}x{c}x{e}"
+            data.append((10 * i + c, " ".join(other), "en", "a"))
+    docs = documents(spark, data)
+    sets = {d: shingles_by_hand(t) for d, t, *_ in data}
+    alike = [(a, b) for a in sets for b in sets if a < b and 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))]
+    want = set(sets) - {b for _, b in alike}
+    kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    assert want <= kept, sorted(want - kept)
+    assert len(simhash.keep_one(docs, width=2, hashes=8, most_apart=54).collect()) < len(kept)
+
+
 PAGES = [(1, "http://a.example/x y", "<p>one</p>"), (2, "http://b.example", "<p>one</p>"), (3, None, None), (4, "u", ""), (5, "http://c.example/é", "日本\r\n\r\nWARC/1.1\n" * 9), (None, "n", "<p>one</p>"), (None, "m", "only here"), (7, "big", "x" * 300_000), (-9, "neg", "minus"), (8, "t", "minus"), (1, "http://a.example/again", "<p>one</p>")]
 
 

@@ -1,7 +1,7 @@
 """Signatures of licences, in order: label | priority | keyword | pattern.
 
 A pattern is matched against a text's words (ASCII lower case, marks dropped, one blank
-between words). The keyword is a substring that any match holds; patterns whose keyword a
+between words). The keyword is a substring that any match holds, whichever way the pattern goes; patterns whose keyword a
 text lacks are not tried. A higher priority wins where detections overlap; among equals the
 longer one, then the earlier rule.
 """
@@ -24,7 +24,7 @@ apache-2.0|60|asl 2|\basl 2 0\b
 apache-1.1|90|apache|apache software license version 1 1
 apache-1.1|80|apache 1 1|spdx license identifier apache 1 1
 apache-1.0|90|apache 1 0|spdx license identifier apache 1 0
-apache|40|apache license|(?:the )?apache (?:software )?license
+apache|40|apache|(?:the )?apache (?:software )?license
 mit|90|mit license|(?:released|licensed|distributed|available|provided) under the (?:terms of the )?mit license
 mit|85|identifier mit|spdx license identifier mit\b(?! 0)
 mit|80|permission is hereby|permission is hereby granted free of charge to any person obtaining a copy of this software
@@ -43,7 +43,7 @@ bsd-2-clause|80|2 clause bsd|2 clause bsd
 bsd-2-clause|70|freebsd license|freebsd license
 bsd-3-clause|96|neither the name|neither the name of(?: the)? (?:\w+ ){1,12}nor the names of its contributors
 bsd-3-clause|90|bsd 3|spdx license identifier bsd 3 clause
-bsd-3-clause|80|3 clause bsd|(?:new|modified|revised|3 clause) bsd
+bsd-3-clause|80|bsd|(?:new|modified|revised|3 clause) bsd
 bsd-3-clause|80|new bsd|new bsd license
 bsd-3-clause|80|modified bsd|modified bsd license
 bsd-4-clause|96|advertising materials|all advertising materials mentioning features or use of this software
@@ -51,7 +51,7 @@ bsd-4-clause|90|bsd 4|spdx license identifier bsd 4 clause
 bsd-4-clause|80|original bsd|original bsd license
 bsd-0-clause|90|0bsd|spdx license identifier 0bsd
 bsd-0-clause|80|zero clause|zero clause bsd
-bsd|30|bsd license|bsd (?:style )?license
+bsd|30|bsd|bsd (?:style )?license
 bsd|30|bsd style|bsd style license
 gpl-3.0|95|general public license|gnu general public license (?:as published by the free software foundation )?(?:either )?version 3(?: 0)?(?! or later)
 gpl-3.0|90|gpl 3|spdx license identifier gpl 3 0(?: only)?(?! or later)
@@ -108,31 +108,31 @@ cc-by-3.0|80|licenses by 3|creativecommons org licenses by 3 0
 cc-by-sa-4.0|92|cc by sa 4|\bcc by sa 4 0\b
 cc-by-sa-3.0|92|cc by sa 3|\bcc by sa 3 0\b
 cc-by-sa-2.5|92|cc by sa 2|\bcc by sa 2 5\b
-cc-by-sa-4.0|94|sharealike 4|creative commons attribution share ?alike 4 0
-cc-by-sa-3.0|94|sharealike 3|creative commons attribution share ?alike 3 0
+cc-by-sa-4.0|94|alike 4|creative commons attribution share ?alike 4 0
+cc-by-sa-3.0|94|alike 3|creative commons attribution share ?alike 3 0
 cc-by-sa-4.0|82|by sa 4|creativecommons org licenses by sa 4 0
 cc-by-sa-3.0|82|by sa 3|creativecommons org licenses by sa 3 0
 cc-by-sa|50|cc by sa|\bcc by sa\b
 cc-by-nc-4.0|92|cc by nc 4|\bcc by nc 4 0\b
 cc-by-nc-3.0|92|cc by nc 3|\bcc by nc 3 0\b
 cc-by-nc-2.5|92|cc by nc 2|\bcc by nc 2 5\b
-cc-by-nc-4.0|94|noncommercial 4|creative commons attribution non ?commercial 4 0
-cc-by-nc-3.0|94|noncommercial 3|creative commons attribution non ?commercial 3 0
+cc-by-nc-4.0|94|commercial 4|creative commons attribution non ?commercial 4 0
+cc-by-nc-3.0|94|commercial 3|creative commons attribution non ?commercial 3 0
 cc-by-nc-4.0|82|by nc 4|creativecommons org licenses by nc 4 0
 cc-by-nc|50|cc by nc|\bcc by nc\b
 cc-by-nd-4.0|92|cc by nd 4|\bcc by nd 4 0\b
 cc-by-nd-3.0|92|cc by nd 3|\bcc by nd 3 0\b
 cc-by-nd|50|cc by nd|\bcc by nd\b
-cc-by-nd-4.0|94|noderiv|creative commons attribution no ?deriv(?:ative)?s 4 0
+cc-by-nd-4.0|94|deriv|creative commons attribution no ?deriv(?:ative)?s 4 0
 cc-by-nc-sa-4.0|96|cc by nc sa 4|\bcc by nc sa 4 0\b
 cc-by-nc-sa-3.0|96|cc by nc sa 3|\bcc by nc sa 3 0\b
 cc-by-nc-sa|55|cc by nc sa|\bcc by nc sa\b
-cc-by-nc-sa-4.0|96|noncommercial share|attribution non ?commercial share ?alike 4 0
-cc-by-nc-sa-3.0|96|noncommercial share|attribution non ?commercial share ?alike 3 0
+cc-by-nc-sa-4.0|96|commercial share|attribution non ?commercial share ?alike 4 0
+cc-by-nc-sa-3.0|96|commercial share|attribution non ?commercial share ?alike 3 0
 cc-by-nc-nd-4.0|96|cc by nc nd 4|\bcc by nc nd 4 0\b
 cc-by-nc-nd-3.0|96|cc by nc nd 3|\bcc by nc nd 3 0\b
 cc-by-nc-nd|55|cc by nc nd|\bcc by nc nd\b
-cc-by-nc-nd-4.0|96|noncommercial no|attribution non ?commercial no ?deriv(?:ative)?s 4 0
+cc-by-nc-nd-4.0|96|commercial no|attribution non ?commercial no ?deriv(?:ative)?s 4 0
 cc0-1.0|90|cc0|\bcc0(?: 1 0)?\b
 cc0-1.0|85|publicdomain zero|creativecommons org publicdomain zero 1 0
 cc0-1.0|85|creative commons zero|creative commons zero
@@ -220,7 +220,7 @@ openssl|85|openssl license|openssl license
 openssl|80|openssl project|this product includes software developed by the openssl project
 curl|80|curl license|\bcurl license
 w3c|80|w3c software|w3c software (?:notice|license)
-unicode-dfs|80|unicode license|unicode(?: inc)? license agreement data files
+unicode-dfs|80|unicode|unicode(?: inc)? license agreement data files
 unicode-3.0|80|unicode license|unicode license v3
 icu|75|icu license|\bicu license
 ijg|75|independent jpeg|independent jpeg group

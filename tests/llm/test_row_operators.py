@@ -140,6 +140,54 @@ def test_rules_are_many_and_their_keywords_can_match():
             assert rule.pattern.search(body.encode()) and rule.keyword.decode() in body, rule
 
 
+def expansions(parsed):
+    """Texts that a parsed pattern matches: each branch and letter, each repeat at its least and at its most (2 at most)."""
+    out = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            own = [chr(arg)]
+        elif name == "SUBPATTERN":
+            own = expansions(arg[-1])
+        elif name == "BRANCH":
+            own = [x for branch in arg[1] for x in expansions(branch)]
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            own = [x * n for x in expansions(arg[2]) for n in sorted({arg[0], min(arg[1], max(arg[0], 2))})]
+        elif name == "IN":
+            own = [chr(v) if str(k) == "LITERAL" else {"CATEGORY_DIGIT": "7", "CATEGORY_WORD": "w"}[str(v)] for k, v in arg]
+        elif name == "ANY":
+            own = ["w"]
+        else:
+            assert name in ("AT", "ASSERT", "ASSERT_NOT"), name
+            continue
+        out = [a + b for a in out for b in own]
+    return out
+
+
+def test_each_expansion_of_a_pattern_has_its_keyword():
+    for rule in license_rules():
+        body = rule.pattern.pattern.decode()[len("(?<![^ ])") : -len("(?![^ ])")]
+        for text in expansions(re._parser.parse(body)):
+            assert rule.keyword.decode() in text, (rule.keyword, text)
+
+
+@pytest.mark.parametrize(
+    "text, label",
+    [
+        ("Creative Commons Attribution-Share Alike 4.0", "cc-by-sa-4.0"),
+        ("Creative Commons Attribution-Non-Commercial 3.0", "cc-by-nc-3.0"),
+        ("Creative Commons Attribution-No Derivatives 4.0", "cc-by-nd-4.0"),
+        ("Attribution-Non-Commercial-Share Alike 4.0", "cc-by-nc-sa-4.0"),
+        ("Revised BSD", "bsd-3-clause"),
+        ("Apache Software License", "apache"),
+        ("Unicode, Inc. License Agreement - Data Files", "unicode-dfs"),
+    ],
+)
+def test_spellings_of_licences(text, label):
+    words = " ".join(re.findall("[a-z0-9]+", text.lower())).encode()
+    assert label in licenses.scan_words(words)[4].split(",")
+
+
 def test_digest_properties():
     a, b = prose(400, 3).encode(), prose(400, 8).encode()
     assert digest.digest(a) == digest.digest(bytes(a)) and digest.likeness(digest.digest(a), digest.digest(a)) == 1

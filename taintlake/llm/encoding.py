@@ -25,6 +25,9 @@ _BETWEEN = re.compile("[^ \t\n\r]+")
 #: Letters that are letters to every version of Unicode, composed, and lowered one by one (so without the dotted I).
 _L = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 _SIMPLE = re.compile(f"[\t\n\r -~{_L}]*").fullmatch
+#: Those of them whose lower case is one, too: other texts can't be split after lowering.
+_LOWERED = "".join(c for c in map(chr, range(0x80, 0x250)) if re.fullmatch(f"[{_L}]", c) and re.fullmatch(f"[{_L}]", c.lower()))
+_SIMPLE_LOWERED = re.compile(f"[\t\n\r -~{_LOWERED}]*").fullmatch
 _ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 _SPACED = re.compile(rf"{_ENDINGS}| ?[{_L}]+| ?[0-9]+| ?[^\s0-9{_L}]+|\s+(?!\S)|\s+").findall
 _DROPPED = re.compile(rf"{_ENDINGS}|[{_L}]+|[0-9]|[^\s0-9{_L}]+").findall
@@ -95,7 +98,7 @@ class Encoder:
 
     def split(self, text: str) -> tuple[_Kept, list[str]]:
         """The parts of a text, and what knows their ids."""
-        if _SIMPLE(text):
+        if (_SIMPLE if self.space else _SIMPLE_LOWERED)(text):
             return self.pieces, _SPACED(text) if self.space else _DROPPED(text.lower())
         return self.chunks, (_WITH_SPACE if self.space else _BETWEEN).findall(text)
 

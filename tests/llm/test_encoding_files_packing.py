@@ -42,6 +42,15 @@ def test_ids_of_any_text(text):
         assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == ref(text)
 
 
+@pytest.mark.parametrize("path, space", [(BYTE, True), (WORD, False)])
+def test_ids_of_each_latin_letter(path, space):
+    """Capitals whose lower case lies outside the Latin blocks of the fast path, too."""
+    own, ref = Encoder(path, space), whole(path)
+    texts = ["ƏLAVƏ MƏLUMAT", "Ɔkasa"] + [f"{c}LA{c} x{c} 1{c}" for c in map(chr, range(0xC0, 0x250))]
+    wrong = [t for t, found in zip(texts, own.encode(texts)) if np.frombuffer(found, "<u4").tolist() != ref(t)]
+    assert not wrong, (len(wrong), wrong[:30])
+
+
 _CACHE: dict = {}
 
 

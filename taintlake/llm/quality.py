@@ -27,6 +27,8 @@ SCHEMA = (
 WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
 _NOT_LEAD = bytes(range(0x80, 0xC0))
+_CAPITALS = bytes(range(0x41, 0x5B))
+_LETTERS = _CAPITALS + bytes(range(0x61, 0x7B))
 
 _BOILERPLATE = re.compile(
     rb"all rights reserved|cookie (?:policy|settings|preferences)|accept (?:all )?cookies|privacy policy|"
@@ -51,7 +53,7 @@ class LineRules:
     upper_share: float = 0.7  #: capital letters among ASCII letters from which a line shouts
     boiler_words: int = 15  #: a boilerplate phrase condemns lines up to this many words
     open_words: int = 12  #: a line without final punctuation fails from this many words on if it also repeats
-    distinct_share: float = 0.35  #: distinct words per word below which such a line repeats
+    distinct_share: float = 0.6  #: distinct words per word below which such a line repeats
     most_lost: float = 0.5  #: share of the word characters whose loss rejects the document
 
 
@@ -66,7 +68,8 @@ def line_fault(line: bytes, words: list[bytes], rules: LineRules = LineRules())
     runs = len(_RUN_MARK.findall(line))
     if n >= 3 and runs >= rules.mark_share * n:
         return "marks"
-    if n >= 5 and runs and line.upper() == line and line.lower() != line:
+    letters = len(line) - len(line.translate(None, _LETTERS))
+    if n >= 5 and letters and len(line) - len(line.translate(None, _CAPITALS)) >= rules.upper_share * letters:
         return "shouting"
     if n <= rules.boiler_words and _BOILERPLATE.search(line):
         return "boilerplate"

@@ -95,6 +95,20 @@ def test_quality_verdict(spark):
     assert set(kept) == {1, 5, 6} and kept[5].text == good and kept[5].n_chars == len(good)
 
 
+@pytest.mark.parametrize(
+    "line, fault",
+    [
+        ("BUY THIS NOW IT IS THE BEST thing", "shouting"),
+        ("Buy This Now It Is The Best thing", None),
+        ("dota dota que que casa casa por por la la rua rua", "open"),
+        ("dota dota que que casa casa por por la la rua rua.", None),
+        ("a plain line of prose that is cut off before it came to its", None),
+    ],
+)
+def test_faults_of_lines(line, fault):
+    assert quality.line_fault(line.encode(), line.encode().split()) == fault
+
+
 def licence_base(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     places, labels = [], set()

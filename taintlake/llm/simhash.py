@@ -46,7 +46,7 @@ HASHES, WIDTH, MOST_APART = 8, 2, 54
 #: For exact sets: words of a shingle; the least Jaccard similarity is 4 / 5.
 ALIKE_WIDTH = 5
 #: One text in so many is sampled for common shingles; those in COMMON_LEAST of the sample are, COMMON_MOST at most.
-SAMPLE, COMMON_LEAST, COMMON_MOST = 32, 3, 100_000
+SAMPLE, COMMON_LEAST, COMMON_MOST = 8, 3, 100_000
 #: Names of groups without a ``doc_id`` start here.
 _NAMELESS = 1 << 62
 
@@ -281,35 +281,41 @@ def alike_groups(docs: DataFrame, width: int = ALIKE_WIDTH) -> DataFrame:
     rows.mapInArrow(run, ddl).write.parquet(place)
     marked = spark.read.schema(ddl).parquet(place)
     sets = checkpointed(marked.groupBy("node").agg(F.min("doc_id").alias("least")))
-    tokens = marked.select("node", "n", F.explode("first").alias("token"))
-    shared = tokens.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high")
-    shared = checkpointed(shared)
-    members = checkpointed(tokens.join(shared.select("token"), "token", "left_semi").distinct())
+    tokens = marked.select("node", "n", F.posexplode("first").alias("pos", "token"))
+    shared = tokens.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("token")
+    members = checkpointed(tokens.join(shared, "token", "left_semi").distinct())
 
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_set(t or b"", width) for t in utf8(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(map(_set_id, found), pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["node", "own"])
 
-    used = members.select("node").distinct()
-    named = used.join(sets, "node").select(F.col("least").alias("_doc")).distinct()
-    texts = rows.join(named, F.col("doc_id") == F.col("_doc"), "left_semi").unionByName(rows.where("doc_id is null"))
-    whole = checkpointed(texts.select("text").mapInArrow(whole_sets, "node bigint, own array<bigint>").join(used, "node", "left_semi").dropDuplicates(["node"]))
-
-    def close(x: str, y: str) -> Column:
-        return 5 * F.least(x, y) >= 4 * F.greatest(x, y)
-
-    hubs = members.join(shared, "token").select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a != b")
-    hubs = checkpointed(hubs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = checkpointed(_alike(hubs, whole))
-    inside = components(links)
-    placed = checkpointed(members.join(inside, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("part")))
+    def whole(pairs: DataFrame) -> DataFrame:
+        used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        named = used.join(sets, "node").select(F.col("least").alias("_doc")).distinct()
+        texts = rows.join(named, F.col("doc_id") == F.col("_doc"), "left_semi").unionByName(rows.where("doc_id is null"))
+        return checkpointed(texts.select("text").mapInArrow(whole_sets, "node bigint, own array<bigint>").join(used, "node", "left_semi").dropDuplicates(["node"]))
+
+    def can_agree(x: str, y: str) -> Column:
+        """Whether sets can agree by 4 / 5 that have their first common shingle here: so many come after it at most."""
+        n, m, at, other = (F.col(f"{side}.{f}") for f in ("n", "pos") for side in (x, y))
+        return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * F.least(n - at, m - other) >= 4 * (n + m))
+
+    def pairs_of(met: DataFrame) -> DataFrame:
+        met = met.where((F.col("x.node") != F.col("y.node")) & can_agree("x", "y"))
+        return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+    one = F.struct("node", "n", "pos")
+    ends = members.groupBy("token").agg(F.min(one).alias("low"), F.max(one).alias("high"))
+    hubs = checkpointed(pairs_of(members.select("token", one.alias("x")).join(ends, "token").select("x", F.explode(F.array("low", "high")).alias("y"))))
+    links = checkpointed(_alike(hubs, whole(hubs)))
+    placed = checkpointed(members.join(components(links), "node", "left").withColumn("part", F.coalesce("component", "node")))
     mixed = placed.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select("token")
     apart = placed.join(mixed, "token", "left_semi")
-    left = apart.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
-    right = apart.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
-    met = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & close("na", "nb"))
-    rest = _alike(met.select("a", "b").distinct().join(hubs, ["a", "b"], "left_anti"), whole)
+    left = apart.select("token", one.alias("x"), F.col("part").alias("p"))
+    right = apart.select("token", one.alias("y"), F.col("part").alias("q"))
+    rest = checkpointed(pairs_of(left.join(right, "token").where("p < q")).join(hubs, ["a", "b"], "left_anti"))
+    rest = _alike(rest, whole(rest))
     #: Rows with equal doc_id are one document.
     again = sets.where("least is not null").groupBy("least").agg(F.min("node").alias("b"), F.max("node").alias("high")).where("b != high").select("least", "b")
     again = sets.join(again, "least").where("node != b").select(F.col("node").alias("a"), "b")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
@@ -22,16 +25,23 @@ SPACE_BYTES = b" \t\n\x0b\x0c\r"
 LOWER_ASCII = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+def shared_base(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a local one only where driver and executors are one process."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (named or LOCAL_FALLBACK).rstrip("/")
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the one that ``spark.checkpoint.dir`` names, as a URI or path."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FALLBACK
-    return f"{base.rstrip('/')}/taintlake-{name}-{uuid.uuid4().hex}"
+    """A fresh folder below the shared one, as a URI or path."""
+    return f"{shared_base(spark)}/taintlake-{name}-{uuid.uuid4().hex}"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Lets ``checkpoint()`` work where the session names no folder; leaves a named one alone."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FALLBACK)
+        spark.sparkContext.setCheckpointDir(shared_base(spark))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -67,6 +77,27 @@ def pieces_of(batch: pa.RecordBatch, column: int, rows: int = 512, size: int = 4
         yield batch.slice(start)
 
 
+def give_back() -> None:
+    """Returns to the system what a task freed, so that reused workers don't add up what their stages needed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def map_slices(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, column: int) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` over small slices (by ``pieces_of`` the text in ``column``) instead of whole batches."""
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(part for whole in batches for part in pieces_of(whole, column))
+        finally:
+            give_back()
+
+    return df.mapInArrow(sliced, schema)
+
+
 def batches_of(rows: Iterator[tuple], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:
     """Record batches of at most ``size`` rows from an iterator of tuples."""
     held: list[tuple] = []

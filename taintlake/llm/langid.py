@@ -12,8 +12,9 @@ that is broadcast has a proven size. Prediction is one pass over the rows withou
 
 Defined results: null text, or text without a letter, is ``und`` with score 0; without any
 labelled row every text is ``und``. Rows with null ``doc_id`` are never held out nor learned
-from. Repeated rows give repeated results. ``lang``, ``source`` and ``doc_id`` are no inputs
-of a prediction.
+from. Repeated rows give repeated results. Languages of equal score go by name. A very long text is scored in sections, a very
+long word by its grams. ``lang``, ``source`` and ``doc_id`` are no inputs of a prediction; other columns, of whatever name, are
+not read, and ``keep_known`` returns them as they are. An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +31,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import checkpointed, pieces_of
+from .common import checkpointed, map_slices
 
 UND = "und"
 ORDERS = (5, 4, 3, 2, 1)
-_WORDS = re.compile(r"[^\W\d_]+").findall
+_WORD = re.compile(r"[^\W\d_]+").findall
 #: A word with more letters than this is scored by its grams alone, so that no key is long.
 LONGEST_WORD = 40
 #: What can stand around a word without changing which words a chunk has.
@@ -50,6 +52,14 @@ class Model:
     scores: dict[int, np.ndarray]
 
 
+def words_of(text: str) -> list[str]:
+    """The runs of letters; the pattern also takes numerals such as ``\u00bd`` and ``\u2167``, which part words."""
+    found = _WORD(text)
+    if all(map(str.isalpha, found)):
+        return found
+    return ["".join(run) for word in found for letters, run in groupby(word, str.isalpha) if letters]
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
@@ -81,7 +91,7 @@ def fit(docs: DataFrame, sample_docs: int = 1500, max_entries: int = 60_000, smo
         for batch in batches:
             by_lang: dict[str, Counter] = {}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                by_lang.setdefault(lang, Counter()).update(_WORDS(text.lower()))
+                by_lang.setdefault(lang, Counter()).update(words_of(text.lower()))
             found: Counter = Counter()
             for lang, words in by_lang.items():
                 for word, c in words.items():
@@ -93,7 +103,7 @@ def fit(docs: DataFrame, sample_docs: int = 1500, max_entries: int = 60_000, smo
             if found:
                 yield rows_of(found)
 
-    counted = rows.where(drawn & F.col("text").isNotNull()).select("text", "lang").mapInArrow(count, "lang string, n int, entry string, c bigint")
+    counted = map_slices(rows.where(drawn & F.col("text").isNotNull()).select("text", "lang"), count, "lang string, n int, entry string, c bigint", 0)
     counted = checkpointed(counted.groupBy("lang", "n", "entry").agg(F.sum("c").alias("c")))
     wide = counted.groupBy("n", "entry").agg(F.sum("c").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("by"))
     wide = wide.where((F.col("n") > 0) | (F.col("all") > 1))
@@ -140,7 +150,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    return slim.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
+    return map_slices(slim, run, "doc_id bigint, held_out boolean, lang_pred string, score double", 2)
 
 
 def keep_known(docs: DataFrame, model: Model, min_score: float = 0.4) -> DataFrame:
@@ -149,13 +159,13 @@ def keep_known(docs: DataFrame, model: Model, min_score: float = 0.4) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _Predictor(shared.value)
-        for batch in (part for whole in batches for part in pieces_of(whole, at)):
+        for batch in batches:
             found = [best(t) for t in batch.column(at).to_pylist()]
             keep = [k != UND and s >= min_score for k, s in found]
             if any(keep):
                 yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_slices(docs, run, docs.schema, at)
 
 
 class _Predictor:
@@ -178,7 +188,7 @@ class _Predictor:
     def _row(self, chunk: str) -> int:
         at = self.words.get(chunk.strip(_MARKS))
         if at is None:
-            at, words = self.free, _WORDS(chunk)
+            at, words = self.free, words_of(chunk)
             self.free += 1
             self.rows[at, :-1] = sum((word_scores(self.model, w) for w in words), np.zeros(self.size)) if len(words) != 1 else word_scores(self.model, words[0])
             self.rows[at, -1] = len(words)

@@ -7,7 +7,9 @@ inside another of higher standing is suppressed. The labels of the four base phr
 counted by themselves and always stay.
 
 One pass over the rows without a shuffle. Defined results: null counts as empty (no word,
-no place, empty labels, score 0); repeated rows give repeated results.
+no place, empty labels, score 0); repeated rows and rows with null ``doc_id`` give results each by itself; a very long text is scanned
+whole, in time that grows as its length and detections do; detections of equal standing rank by length, start and rule; other columns, of
+whatever name, are not read; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import map_slices, utf8
 from .license_rules import BASE, Rule, rules
 
 SCHEMA = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double"
@@ -48,10 +50,23 @@ def detections(words: bytes) -> list[tuple[int, int, Rule]]:
     by_word, _ = _compiled()
     found = [(m.start(), m.end(), rule) for keyword, own in by_word.items() if keyword in words for rule in own for m in rule.pattern.finditer(words)]
     found.sort(key=lambda x: (-x[2].priority, x[0] - x[1], x[0], x[2].order))
+    #: furthest[i]: the furthest end of what is kept and starts at one of the places that node i of a Fenwick tree covers.
+    places = sorted({start for start, _, _ in found})
+    number = {start: i for i, start in enumerate(places, 1)}
+    furthest = [0] * (len(places) + 1)
     kept: list[tuple[int, int, Rule]] = []
     for start, end, rule in found:
-        if not any(s <= start and end <= e for s, e, _ in kept):
-            kept.append((start, end, rule))
+        i, most = number[start], 0
+        while i:
+            most = max(most, furthest[i])
+            i &= i - 1
+        if most >= end:
+            continue
+        kept.append((start, end, rule))
+        i = number[start]
+        while i <= len(places):
+            furthest[i] = max(furthest[i], end)
+            i += i & -i
     return sorted(kept, key=lambda x: (x[0], x[1]))
 
 
@@ -98,4 +113,4 @@ def scan(docs: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], names=names)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return map_slices(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, SCHEMA, 1)

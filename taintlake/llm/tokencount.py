@@ -12,7 +12,8 @@ UTF-8 byte (byte fallback). Ties go to the longer last piece.
 
 One pass over the rows without a shuffle. A worker keeps counts of at most ``CACHE``
 pre-tokens and builds tries of at most ``TRIE_CHARS`` characters. Defined results: null counts as empty
-text (0 tokens); a very long pre-token is walked like any other; repeated rows repeat.
+text (0 tokens); a pre-token of more than ``LONG`` characters is scored by itself, with the same result, holding no
+more than the longest piece needs; repeated rows repeat; other columns, of whatever name, are not read; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -26,11 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_slices
+
 BLANK = "▁"
 UNK_PENALTY = 10.0
 BARRED = -1e6
 CACHE = 600_000
 TRIE_CHARS = 1 << 18
+#: Pre-tokens of more characters share no prefix worth a trie's memory.
+LONG = 1024
 _PRETOKENS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+$").findall
 
 SCHEMA = "doc_id bigint, n_tokens bigint, n_pretokens bigint, n_chars bigint"
@@ -86,16 +91,45 @@ class Unigram:
         self.unknown = min((s for s in pieces.values() if s > BARRED), default=0.0) - UNK_PENALTY
         #: The pieces from their last character to the first: [next characters, score of the piece that ends here].
         self.backwards: list = [{}, None]
+        self.longest = max(map(len, pieces), default=1)
         for piece, score in pieces.items():
             node = self.backwards
             for c in reversed(piece):
                 node = node[0].setdefault(c, [{}, None])
             node[1] = score
 
+    def count(self, word: str) -> int:
+        """Pieces of one pre-token, by the same scores; only those of the last ``longest`` prefixes are held."""
+        keep = self.longest + 1
+        best, n = [0.0] * keep, [0] * keep
+        for depth in range(1, len(word) + 1):
+            piece, at, top, pieces_so_far = self.backwards, depth, None, 0
+            while at:
+                piece = piece[0].get(word[at - 1])
+                if piece is None:
+                    break
+                at -= 1
+                score = piece[1]
+                if score is not None:
+                    score += best[at % keep]
+                    if top is None or score >= top:
+                        top, pieces_so_far = score, n[at % keep] + 1
+            c = word[depth - 1]
+            if self.backwards[0].get(c) is None or self.backwards[0][c][1] is None:
+                score = self.unknown + best[(depth - 1) % keep]
+                if top is None or score > top:
+                    top, pieces_so_far = score, n[(depth - 1) % keep] + len(c.encode())
+            best[depth % keep], n[depth % keep] = top, pieces_so_far
+        return n[len(word) % keep]
+
     def counts(self, words: Iterable[str]) -> dict[str, int]:
         """Pieces of each pre-token; every shared prefix is scored once."""
         root: dict = {}
+        out: dict[str, int] = {}
         for word in words:
+            if len(word) > LONG:
+                out[word] = self.count(word)
+                continue
             node = root
             for c in word:
                 below = node.get(c)
@@ -103,7 +137,6 @@ class Unigram:
                     below = node[c] = {}
                 node = below
             node[""] = word
-        out: dict[str, int] = {}
         #: Depth first; path, best and n hold the prefix of the node at hand, so each is as long as the deepest word.
         path, best, n = [""], [0.0], [0]
         unknown, pieces = self.unknown, self.backwards
@@ -186,4 +219,4 @@ def token_counts(docs: DataFrame, model_path: str) -> DataFrame:
                 [batch.column(0), *(pa.array([x[i] for x in out], pa.int64()) for i in range(3))], names=["doc_id", "n_tokens", "n_pretokens", "n_chars"]
             )
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return map_slices(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, SCHEMA, 1)

@@ -36,6 +36,23 @@ def test_shared_prefixes_change_nothing(words):
     assert model.counts(words) == {w: brute(pieces, model.unknown, w) for w in words}
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="abcé▁", min_size=1, max_size=40))
+def test_long_pretokens_have_the_same_counts(word):
+    pieces = {"a": -1.0, "b": -2.0, "ab": -2.5, "abc": -6.0, "bc": -3.0, "▁": -2.0, "▁a": -2.0, "▁ab": -4.0}
+    model = tokencount.Unigram(pieces)
+    assert model.count(word) == brute(pieces, model.unknown, word)
+
+
+def test_a_very_long_pretoken():
+    model = tokencount._model(PATH)
+    for part in ("ab", "日本", "word"):
+        word = tokencount.BLANK + part * 2000
+        short = tokencount.BLANK + part * 200
+        assert model.counts([word, short]) == {word: model.count(word), short: model.count(short)}
+        assert model.counts([short])[short] == brute(tokencount.read_pieces(PATH), model.unknown, short)
+
+
 def test_counts_of_the_vocabulary():
     pieces = tokencount.read_pieces(PATH)
     model = tokencount._model(PATH)

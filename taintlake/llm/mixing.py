@@ -14,13 +14,16 @@ are laid out by (source, hashed bucket) with buckets of some ``per_bucket`` rows
 with a third of all rows is split; drawn blocks are spread by (source, block).
 
 Defined results: null text has size 0 and is never taken; null source is a source of its own, the last;
-rows with equal ``doc_id`` are laid out and taken each by itself; an empty table gives no row.
+rows with equal or null ``doc_id`` are laid out and taken each by itself, those with equal hashes by ``doc_id`` and place; a very long text
+lies in as many blocks as it needs; other columns, of whatever name, come back as they are from ``mix_documents`` (but ``n_chars``, the size
+of the text); an empty table gives no row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import e, lgamma, log, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import shared_dir, utf8
+from .common import map_slices, shared_dir, utf8
 
 WEIGHTS = (5, 2, 1)
 
@@ -141,22 +144,45 @@ class Plan:
 
 
 def _hypergeometric(rng: np.random.Generator, colours: np.ndarray, room: int) -> np.ndarray:
-    """How many of each colour a draw of ``room`` without return has; a normal law beyond what the library takes."""
+    """How many of each colour a draw of ``room`` without return has."""
     out, rest = np.zeros_like(colours), int(colours.sum())
     for i, c in enumerate(colours.tolist()):
         rest -= c
-        least, most = max(0, room - rest), min(c, room)
-        if c + rest < 1_000_000_000:
-            out[i] = rng.hypergeometric(c, rest, room) if c and room else 0
-        else:
-            n = c + rest
-            mean = room * c / n
-            sd = (mean * (1 - c / n) * (n - room) / max(1, n - 1)) ** 0.5
-            out[i] = min(most, max(least, round(rng.normal(mean, sd))))
+        out[i] = _of_one_colour(rng, c, rest, room) if c and room else 0
         room -= int(out[i])
     return out
 
 
+def _of_one_colour(rng: np.random.Generator, good: int, bad: int, room: int) -> int:
+    """A hypergeometric draw of any size; the library's sampler ends at 1e9, and the same rejection from a ratio of uniforms goes on."""
+    if good + bad < 1_000_000_000:
+        return int(rng.hypergeometric(good, bad, room))
+    few, most, whole = min(good, bad), max(good, bad), good + bad
+    drawn = min(room, whole - room)
+    if not drawn or not few:
+        k = 0
+    else:
+        fact = lambda x: lgamma(x + 1)
+        spread = sqrt((whole - drawn) * drawn / (whole - 1) * (few / whole) * (most / whole) + 0.5)
+        middle, width = drawn * few / whole + 0.5, 2 * sqrt(2 / e) * spread + 3 - 2 * sqrt(3 / e)
+        top = (drawn + 1) * (few + 1) // (whole + 2)
+        log_law = lambda x: fact(x) + fact(few - x) + fact(drawn - x) + fact(most - drawn + x)
+        least, limit = max(0, drawn - most), min(min(drawn, few) + 1, int(middle + 16 * spread))
+        best = log_law(top)
+        while True:
+            u, v = rng.random(), rng.random()
+            x = middle + width * (v - 0.5) / u if u else -1.0
+            if not least <= x < limit:
+                continue
+            k = int(x)
+            t = best - log_law(k)
+            if u * (4 - u) - 3 <= t or (u * (u - t) < 1 and 2 * log(u) <= t):
+                break
+    if good > bad:
+        k = drawn - k
+    return k if drawn == room else good - k
+
+
 def plan(sizes: dict[str | None, int], weights=WEIGHTS, share: float = 1.0, most_repeats: float = 3.0, block_words: int = 256, shard_slots: int = 4096, seed: int = 17) -> Plan:
     """Weights repeat over the sources by code point, null last."""
     sources = sorted(sizes, key=lambda s: (s is None, s or ""))
@@ -194,9 +220,11 @@ class Mix:
     def __init__(self, docs: DataFrame, max_sources: int = 100_000, per_bucket: int = 20_000, carry: bool = False, **options):
         spark = docs.sparkSession
         self.spark, place = spark, shared_dir(spark, "mix")
-        names = [c for c in docs.columns if c not in ("uid", "size")] if carry else []
-        self.carried = names
-        given = docs.select(F.col("doc_id").cast("bigint").alias("_doc_id"), F.col("source").cast("string").alias("_source"), F.col("text").alias("_text"), *names)
+        #: Columns of the documents go by number, so that no name of theirs can clash with one here.
+        self.carried, self.columns = ([f"c{i}" for i in range(len(docs.columns))] if carry else []), docs.columns
+        doc_id, source, text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "source", "text"))
+        given = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+        given = given.select(doc_id.cast("bigint").alias("_doc_id"), source.cast("string").alias("_source"), text.alias("_text"), *self.carried)
         ddl = "uid bigint, size bigint, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name != "_text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +238,7 @@ class Mix:
                 )
                 uid += len(sizes)
 
-        given.mapInArrow(run, ddl).write.parquet(place)
+        map_slices(given, run, ddl, 2).write.parquet(place)
         self.rows = spark.read.schema(ddl).parquet(place)
         slim = self.rows.select("uid", "size", F.col("_doc_id").alias("doc_id"), F.col("_source").alias("source"))
         self.plan = p = plan(_source_rows(slim, max_sources), **options)
@@ -258,7 +286,7 @@ class Mix:
         """doc_id, source, size, source_size, target, taken of each document."""
         drawn = self.slots().groupBy("src", "block", "words").agg(F.count("*").alias("n"))
         drawn = drawn.groupBy("src", "block").agg(F.collect_list(F.struct("words", "n")).alias("draws"))  # two at most: whole, and the source's last
-        parts = self.pieces().join(drawn, ["src", "block"], "left")
+        parts = self.pieces().join(drawn.hint("merge"), ["src", "block"], "left")  # both grow with the input
         words = F.aggregate("draws", F.lit(0).cast("bigint"), lambda acc, d: acc + d["n"] * F.greatest(F.least(F.col("b"), d["words"].cast("bigint")) - F.col("a"), F.lit(0)))
         per = parts.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("src").alias("src"), F.sum(F.coalesce(words, F.lit(0))).alias("taken"))
         return per.join(self.sources, "src").select("doc_id", "source", "size", "source_size", "target", "taken")
@@ -270,13 +298,13 @@ class Mix:
         takes part of its blocks, gives the words of those in order, joined by blanks.
         """
         last = self.slots().join(self.sources.select("src", "passes"), "src").where(F.col("pass") == F.col("passes")).select("src", "block", "words")
-        parts = self.pieces().join(last, ["src", "block"], "left")
+        parts = self.pieces().join(last.hint("merge"), ["src", "block"], "left")
         end = F.least(F.col("b"), F.col("words").cast("bigint"))
         piece = F.when(F.col("words").isNotNull() & (end > F.col("a")), F.struct("at", (F.col("at") + end - F.col("a")).alias("to")))
         per = parts.groupBy("uid").agg(F.first("src").alias("src"), F.array_sort(F.collect_list(piece)).alias("ranges"))
         per = per.join(self.sources.select("src", "passes"), "src").where((F.col("passes") > 0) | (F.size("ranges") > 0)).select("uid", "passes", "ranges")
-        joined = self.rows.join(per, "uid")
-        names, at = self.carried, self.carried.index("text")
+        joined = self.rows.join(per.hint("merge"), "uid").select(f"c{self.columns.index('text')}", *[c for c in self.carried if c != f"c{self.columns.index('text')}"], "size", "passes", "ranges")
+        names, at = self.carried, self.columns.index("text")
         schema = self.rows.select(*names).schema
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,8 +325,11 @@ class Mix:
                     columns = [text if i == at else c for i, c in enumerate(part.columns)]
                     yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
 
-        out = joined.mapInArrow(run, schema)
-        return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in names else out
+        out = map_slices(joined, run, schema, 0)
+        if "n_chars" in self.columns:
+            size = f"c{self.columns.index('n_chars')}"
+            out = out.withColumn(size, F.length(f"c{at}").cast(schema[size].dataType))
+        return out.toDF(*self.columns)
 
 
 def mix_words(docs: DataFrame, **options) -> DataFrame:
@@ -313,7 +344,7 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
 def block_texts(mix: Mix) -> DataFrame:
     """The mix as blocks: shard, slot, source, words and the text of each slot (needs ``carry``)."""
-    parts = mix.pieces().where("b > a").join(mix.rows.select("uid", "text"), "uid")
+    parts = mix.pieces().where("b > a").join(mix.rows.select("uid", F.col(f"c{mix.columns.index('text')}").alias("text")), "uid")
     words = F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), (F.col("at") + 1).cast("int"), (F.col("b") - F.col("a")).cast("int"))
     blocks = parts.groupBy("src", "block").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("a", words.alias("w")))), lambda x: x["w"])).alias("all"))
     joined = mix.slots().join(blocks, ["src", "block"]).join(mix.sources.select("src", "source"), "src")

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from taintlake.llm import mixing
 
@@ -62,22 +63,38 @@ def test_mix_words(spark):
 
 def test_mix_as_documents_and_blocks(spark):
     docs = documents(spark, [r for r in rows() if r[0] not in (24,)])
+    for name in ("uid", "passes", "ranges", "src", "_text", "c0"):  # what the operator calls its own columns
+        docs = docs.withColumn(name, F.lit("x"))
     options = {"block_words": 16, "shard_slots": 32}
     words = {}
     for r in mixing.mix_words(docs, **options).collect():
         words[r.source] = words.get(r.source, 0) + r.taken
     out = mixing.mix_documents(docs, **options)
-    assert out.columns == [c for c in docs.columns if c not in ("uid", "size")]
+    assert out.columns == docs.columns
     have = defaultdict(int)
     known = {r[1] for r in rows()}
     whole = 0
     for r in out.collect():
         have[r.source] += size(r.text)
         whole += r.text in known
-        assert r.n_chars == len(r.text)
+        assert r.n_chars == len(r.text) and r.uid == r.passes == r.size == "x"
     assert dict(have) == {s: n for s, n in words.items() if n} and whole
     blocks = defaultdict(int)
     for r in mixing.block_texts(mixing.Mix(docs, carry=True, **options)).collect():
         assert size(r.text) == r.words
         blocks[r.source] += r.words
     assert dict(blocks) == dict(have)
+
+
+def test_draws_beyond_the_librarys_sampler():
+    """Means and spreads of the law, on both sides of the library's limit of 1e9."""
+    for good, bad, room in ((10, 999_999_000, 5_000_000), (600_000_000, 500_000_000, 1000), (3_000_000_000, 1_000_000_000, 3_999_999_000), (5, 2_000_000_000, 2_000_000_005), (40_000_000_000, 30_000_000_000, 35_000_000_000)):
+        rng = np.random.default_rng(3)
+        got = np.array([mixing._of_one_colour(rng, good, bad, room) for _ in range(2000)], dtype=float)
+        whole = good + bad
+        mean, var = room * good / whole, room * (good / whole) * (bad / whole) * (whole - room) / (whole - 1)
+        assert max(0, room - bad) <= got.min() and got.max() <= min(good, room)
+        assert abs(got.mean() - mean) <= 5 * (var / 2000) ** 0.5 + 1e-6 * max(1, mean)
+        assert abs(got.var() - var) <= 0.2 * var + 0.05
+    drawn = mixing._hypergeometric(np.random.default_rng(1), np.array([2_000_000_000, 3, 0, 5_000_000_000]), 4_000_000_000)
+    assert drawn.sum() == 4_000_000_000 and (drawn <= [2_000_000_000, 3, 0, 5_000_000_000]).all()

@@ -7,7 +7,9 @@ distances between bucket codes and a part for the lengths; the likeness is one m
 share of the largest, from 0 to 1, so equal digests have likeness 1.
 
 Defined results: null counts as empty text; texts without a triplet (under three bytes) have
-codes 0, and shorter windows use the triplets that they hold. Equal texts have equal digests.
+codes 0, and shorter windows use the triplets that they hold. Equal texts have equal digests; repeated rows
+are compared each by itself; very long texts are hashed a step at a time; other columns, of whatever name, are not read; a single
+row is its own next one; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, shared_dir
+from .common import batches_of, map_slices, shared_dir
 
 BUCKETS = 128
 #: Positions inside a window of five that make a triplet with its first byte, and the salt of each.
@@ -90,7 +92,7 @@ def fingerprints(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
                 names=["doc_id", "n_chars", "fingerprint"],
             )
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_chars bigint, fingerprint string")
+    return map_slices(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, "doc_id bigint, n_chars bigint, fingerprint string", 1)
 
 
 _PAIRS = pa.schema(
@@ -117,12 +119,13 @@ def with_next(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     with its successor while the sorted partition streams by. Only the first and the last
     text of a partition are handed on, as rows of a table in the shared folder; the last one is
     then joined with the first of the next partition that has rows, by partition number.
-    Null ``doc_id`` sorts first; rows with equal ``doc_id`` follow each other by text.
+    Null ``doc_id`` sorts first; rows with equal ``doc_id`` follow each other by a hash of their texts.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = slim.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    slim = slim.withColumn("h", F.xxhash64("text"))
+    ranged = slim.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -143,7 +146,7 @@ def with_next(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
         return batches_of(rows(), _PAIRS, 2048)
 
     place = shared_dir(spark, "digest")
-    ranged.mapInArrow(run, _PAIRS_DDL).write.parquet(place)
+    map_slices(ranged, run, _PAIRS_DDL, 1).write.parquet(place)
     done = spark.read.schema(_PAIRS_DDL).parquet(place)
     parts = sorted(r[0] for r in done.where(F.col("edge") == "first").select("part").collect())
     follows = spark.createDataFrame([(a, b) for a, b in zip(parts, parts[1:] + parts[:1])], "part bigint, then bigint")

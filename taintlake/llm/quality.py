@@ -2,10 +2,13 @@
 
 Every line of a text is judged by itself; the lines that fail are taken out, and a document
 that loses too much of its text is rejected. One pass over the rows without a shuffle, so
-neither a hot source nor a group of copies matters; memory holds one Arrow batch.
+neither a hot source nor a group of copies matters; memory holds one slice of a batch. Words and windows are
+compared by 64-bit hashes within a text, so ``n_repeat_words`` is exact up to a collision there.
 
 Defined results: null text counts as empty (no words, base failed, not kept, cleaned text
-empty). Repeated rows give repeated results. Extra columns are ignored by ``quality``.
+empty). Repeated rows, and rows with equal or null ``doc_id``, give results each by itself; a very long text is judged whole; a line
+that breaks several rules fails once. Other columns, of whatever name, are not read by ``quality``, and ``keep_good`` returns them as
+they are (but ``n_chars``, the size of the text). An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import SPACE_BYTES, pieces_of, utf8
+from .common import SPACE_BYTES, map_slices, utf8
 
 SCHEMA = (
     "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
@@ -152,7 +155,7 @@ def quality(docs: DataFrame, rules: LineRules = LineRules(), with_text: bool = T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", *(x.split()[0] for x in SCHEMA.split(", ")[1:])]
-        for batch in (part for whole in batches for part in pieces_of(whole, 1)):
+        for batch in batches:
             texts = [t or b"" for t in utf8(batch.column(1))]
             out = list(zip(*_judge(texts, rules, with_text)))
             if not out:
@@ -160,7 +163,7 @@ def quality(docs: DataFrame, rules: LineRules = LineRules(), with_text: bool = T
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, k) for c, k in zip(out, kinds))], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return map_slices(docs.select("doc_id", "text"), run, SCHEMA, 1)
 
 
 def keep_good(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
@@ -169,7 +172,7 @@ def keep_good(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in pieces_of(whole, at)):
+        for batch in batches:
             texts = [t or b"" for t in utf8(batch.column(at))]
             judged = list(_judge(texts, rules, True))
             keep = [row[6] for row in judged]
@@ -185,4 +188,4 @@ def keep_good(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
                 own = pa.RecordBatch.from_arrays(columns, schema=own.schema)
             yield own
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_slices(docs, run, docs.schema, at)

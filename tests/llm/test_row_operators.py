@@ -39,6 +39,57 @@ def test_language_cases(spark):
     assert kept and all(r.text for r in kept)
 
 
+def test_numerals_are_no_letters(spark):
+    docs = documents(spark)
+    odd = documents(spark, [(1, "\u00bd \u00b2 \u2167 \u2460 12 _", None, "a"), (2, "\u00bd cup", None, "a"), (3, "\u00aa", None, "a"), (None, "12", None, None)])
+    got = {r.doc_id: r.lang_pred for r in langid.predict(odd, langid.fit(docs)).collect()}
+    assert got[1] == got[None] == "und" and got[2] in ("en", "fr") and got[3] in ("en", "fr")
+    assert langid.words_of("a\u00bdb \u2167 x2y") == ["a", "b", "x", "y"]
+    assert langid.predict(documents(spark, []), langid.fit(documents(spark, []))).collect() == []
+
+
+def mean_log_odds(train, text, model):
+    """Scores spelt out from the definition, from counts of their own."""
+    import math
+
+    counts = {lang: {n: Counter() for n in range(6)} for lang in model.langs}
+    word = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    grams = lambda w, n: [(f"<{w}>" if n > 1 else w)[i : i + n] for i in range(len(w) + (2 if n > 1 else 0) - n + 1)]
+    for t, lang in train:
+        for w in word(t):
+            if len(w) <= 40:
+                counts[lang][0][w] += 1
+            for n in range(1, 6):
+                counts[lang][n].update(grams(w[:40], n))
+    total = {lang: {n: sum(c.values()) for n, c in by.items()} for lang, by in counts.items()}
+    entries = {n: {k for by in counts.values() for k in by[n] if n or sum(b[0][k] for b in counts.values()) > 1} for n in range(6)}
+    log = lambda lang, n, k: math.log((counts[lang][n][k] + 0.5) / (total[lang][n] + 0.5 * (len(entries[n]) + 1)))
+    out = dict.fromkeys(model.langs, 0.0)
+    for w in word(text):
+        for n in (0, 5, 4, 3, 2, 1):
+            known = [k for k in ([w] if n == 0 else grams(w, n)) if k in entries[n] and len(k) <= 40]
+            if known:
+                for lang in out:
+                    out[lang] += sum(log(lang, n, k) for k in known) / len(known)
+                break
+    return {k: v / max(1, len(word(text))) for k, v in out.items()}
+
+
+def test_language_against_scores_by_hand(spark):
+    docs = documents(spark)
+    data = {(d, t, k) for d, t, k, _ in rows() if d is not None and t}
+    train = [(t, k) for d, t, k, _ in rows() if d is not None and t is not None and k and zlib.crc32(str(d).encode()) % 3 != 1]
+    model = langid.fit(docs)
+    texts = ["the cat sat", "house riverside", "日本語 テスト", "xylophone goes", "é ÄÖ"] + [t for _, t, _ in sorted(data, key=str)]
+    got = langid.predict(documents(spark, [(i, t, None, "a") for i, t in enumerate(texts)]), model).collect()
+    for r in got:
+        want = mean_log_odds(train, texts[r.doc_id], model)
+        if not any(c.isalpha() for c in texts[r.doc_id]):
+            continue
+        best = max(want.values())
+        assert want[r.lang_pred] == pytest.approx(best), texts[r.doc_id][:40]
+
+
 def test_known_words_go_before_grams():
     import numpy as np
 
@@ -222,3 +273,23 @@ def test_digests_of_next(spark, data):
         f, g, h = (digest.digest(x) for x in (t.encode(), changed, after.encode()))
         want[d, len(t), hashlib.sha256(changed).hexdigest(), f.hex(), g.hex(), digest.likeness(f, g), digest.likeness(f, h)] += 1
     assert Counter(map(tuple, got)) == want
+
+
+def test_many_detections_are_swept():
+    """Overlaps are resolved as by looking at all that is kept."""
+    import random
+
+    from taintlake.llm.license_rules import rules as all_rules
+
+    random.seed(4)
+    parts = ["gnu general public license version 3", "gpl", "apache license version 2 0", "mit license", "creative commons attribution share alike 4 0", "cc by sa 4 0", "bsd 3 clause license", "word"]
+    words = " ".join(random.choices(parts, k=400)).encode()
+    by_word = licenses._compiled()[0]
+    found = [(m.start(), m.end(), rule) for keyword, own in by_word.items() if keyword in words for rule in own for m in rule.pattern.finditer(words)]
+    found.sort(key=lambda x: (-x[2].priority, x[0] - x[1], x[0], x[2].order))
+    kept = []
+    for start, end, rule in found:
+        if not any(s <= start and end <= e for s, e, _ in kept):
+            kept.append((start, end, rule))
+    got = licenses.detections(words)
+    assert got == sorted(kept, key=lambda x: (x[0], x[1])) and len(all_rules()) >= 200 and len(found) > len(got) > 100

@@ -5,6 +5,12 @@ these characters. Other texts are cut where white space follows another characte
 that both tokenizers never merge across, and the library's own normalizer and splitter take
 the chunks apart. The library's model then merges each distinct piece; the ids of a text are
 the ids of its pieces in order. The tests compare with the library on whole texts.
+
+A string such as ``<|endoftext|>`` in a text is ordinary text, not a special id (the library's
+``encode_special_tokens``), so that no text can forge the end of a document.
+
+Defined results: empty text has no ids; a very long text is encoded in sections of ``STEP`` parts, so a worker holds a few
+times that text; between texts it keeps at most ``KEEP`` pieces of at most ``LONG`` characters, twice, whatever the input.
 """
 
 from __future__ import annotations
@@ -13,7 +19,8 @@ import os
 import re
 import sys
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 #: White space in any sense that a splitting pattern could have, other than the first four.
 _ODD = "\x0b\x0c\x1c-\x1f\x85\xa0  -     　"
@@ -29,11 +36,11 @@ _SIMPLE = re.compile(f"[\t\n\r -~{_L}]*").fullmatch
 _LOWERED = "".join(c for c in map(chr, range(0x80, 0x250)) if re.fullmatch(f"[{_L}]", c) and re.fullmatch(f"[{_L}]", c.lower()))
 _SIMPLE_LOWERED = re.compile(f"[\t\n\r -~{_LOWERED}]*").fullmatch
 _ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
-_SPACED = re.compile(rf"{_ENDINGS}| ?[{_L}]+| ?[0-9]+| ?[^\s0-9{_L}]+|\s+(?!\S)|\s+").findall
-_DROPPED = re.compile(rf"{_ENDINGS}|[{_L}]+|[0-9]|[^\s0-9{_L}]+").findall
+_SPACED = re.compile(rf"{_ENDINGS}| ?[{_L}]+| ?[0-9]+| ?[^\s0-9{_L}]+|\s+(?!\S)|\s+")
+_DROPPED = re.compile(rf"{_ENDINGS}|[{_L}]+|[0-9]|[^\s0-9{_L}]+")
 
-#: Distinct pieces of a generation that a worker keeps; longer ones than LONG are never kept.
-KEEP, LONG, STEP = 400_000, 64, 1 << 20
+#: Distinct pieces of a generation that a worker keeps; longer ones than LONG are never kept. Parts joined at once.
+KEEP, LONG, STEP = 300_000, 64, 1 << 20
 
 
 def _byte_letters() -> dict[int, str]:
@@ -63,9 +70,8 @@ class _Kept(dict):
         return found
 
     def turn(self) -> None:
-        if len(self) > KEEP:
-            self.old = dict(self)
-            self.clear()
+        self.old = dict(self)
+        self.clear()
 
 
 class Encoder:
@@ -80,7 +86,7 @@ class Encoder:
         self.merge, self.space = self.tokenizer.model.tokenize, space
         if sys.byteorder != "little" or array("I").itemsize != 4:
             raise RuntimeError("ids are kept as this machine's unsigned ints, which must be little-endian and of 32 bits")
-        self.pieces, self.chunks, self.letters = _Kept(self._piece), _Kept(self._chunk), _Kept(self._merged)
+        self.kept = self.pieces, self.chunks, self.letters = _Kept(self._piece), _Kept(self._chunk), _Kept(self._merged)
 
     def _merged(self, letters: str) -> bytes:
         """Ids of what the splitter leaves whole, given as the letters of its bytes."""
@@ -96,21 +102,26 @@ class Encoder:
         plain = self.tokenizer.normalizer.normalize_str(chunk) if self.tokenizer.normalizer else chunk
         return b"".join(self.letters[p] for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(plain))
 
-    def split(self, text: str) -> tuple[_Kept, list[str]]:
-        """The parts of a text, and what knows their ids."""
+    def split(self, text: str) -> tuple[_Kept, Iterator[list[str]]]:
+        """What knows the ids of the text's parts, and the parts, at most ``STEP`` at once."""
         if (_SIMPLE if self.space else _SIMPLE_LOWERED)(text):
-            return self.pieces, _SPACED(text) if self.space else _DROPPED(text.lower())
-        return self.chunks, (_WITH_SPACE if self.space else _BETWEEN).findall(text)
+            kept, pattern, text = self.pieces, *((_SPACED, text) if self.space else (_DROPPED, text.lower()))
+        else:
+            kept, pattern = self.chunks, _WITH_SPACE if self.space else _BETWEEN
+        if len(text) <= STEP:
+            return kept, iter([pattern.findall(text)])
+        found = (m[0] for m in pattern.finditer(text))
+        return kept, iter(lambda: list(islice(found, STEP)), [])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         out = []
         for text in texts:
-            kept, parts = self.split(text)
-            ids = kept.__getitem__
-            out.append(b"".join(map(ids, parts)) if len(parts) <= STEP else b"".join(b"".join(map(ids, parts[i : i + STEP])) for i in range(0, len(parts), STEP)))
-            for kept in (self.pieces, self.chunks, self.letters):
-                kept.turn()
+            kept, sections = self.split(text)
+            out.append(b"".join([b"".join(map(kept.__getitem__, parts)) for parts in sections]))
+            if sum(map(len, self.kept)) > KEEP:
+                for kept in self.kept:
+                    kept.turn()
         return out
 
 

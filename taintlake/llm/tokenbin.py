@@ -1,12 +1,14 @@
 """Token files: the ids of all documents in ascending ``doc_id`` order, a wavelet matrix per shard.
 
 The rows are dealt by ranges of ``doc_id``, sorted within them, encoded and written where they
-lie; a shard is closed at ``shard_tokens`` tokens, so a task holds one shard. Files go to the
+lie; a shard is closed at ``shard_tokens`` tokens, so a task holds one shard. Ranges cut through rows of
+one ``doc_id``, too, where their texts differ. Files go to the
 shared folder under names that depend on their place only, so a task that is run again
 replaces its own files. Reading lists the folder and decodes file by file.
 
 Defined results: null text is empty (only the end id); null ``doc_id`` sorts first; rows with
-equal ``doc_id`` follow each other by text; an empty table gives no file and no row.
+equal ``doc_id`` follow each other by a hash of their texts; repeated rows are written each by itself; a text longer than a shard
+has a shard of its own; other columns, of whatever name, are not read; an empty table gives no file and no row.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, partition_starts, put_file, shared_dir
+from .common import batches_of, map_slices, partition_starts, put_file, shared_dir
 from .encoding import encoder
 from .wavelet import WaveletMatrix, build
 
@@ -34,7 +36,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, bits: int =
     folder = shared_dir(spark, "tokens")
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = slim.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    slim = slim.withColumn("h", F.xxhash64("text"))
+    ranged = slim.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, encode, end = TaskContext.get().partitionId(), encoder(tokenizer_path, space).encode, np.array([end_id], "<u4").tobytes()
@@ -51,21 +54,19 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, bits: int =
                 return part, seq, len(tokens)
 
             for batch in batches:
-                doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for start in range(0, len(texts), 512):
-                    for doc_id, found in zip(doc_ids[start : start + 512], encode(texts[start : start + 512])):
-                        held += [found, end]
-                        ids.append(doc_id)
-                        ends.append((ends[-1] if ends else 0) + len(found) // 4 + 1)
-                        if ends[-1] >= shard_tokens:
-                            yield close()
-                            held, ids, ends, seq = [], [], [], seq + 1
+                for doc_id, found in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
+                    held += [found, end]
+                    ids.append(doc_id)
+                    ends.append((ends[-1] if ends else 0) + len(found) // 4 + 1)
+                    if ends[-1] >= shard_tokens:
+                        yield close()
+                        held, ids, ends, seq = [], [], [], seq + 1
             if ids:
                 yield close()
 
         return batches_of(rows(), _SHARDS)
 
-    ranged.mapInArrow(run, "part bigint, seq bigint, n bigint").write.parquet(f"{folder}/index")
+    map_slices(ranged, run, "part bigint, seq bigint, n bigint", 1).write.parquet(f"{folder}/index")
     return folder, spark.read.schema("part bigint, seq bigint, n bigint").parquet(f"{folder}/index")
 
 

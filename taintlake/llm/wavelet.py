@@ -4,6 +4,10 @@ File: ``MAGIC``, the length of a JSON header (4 bytes, little-endian), the heade
 sections that it lists by length, each compressed with zstd: for each level, highest bit first, the bit
 plane (8 bits a byte, highest first) and the ones before each block of ``BLOCK`` bits (unsigned 32-bit);
 then the documents' ids (64-bit), whether each id is null (bytes) and the documents' ends.
+
+Defined results: no token and no document give a file that reads back as such; a null id stays null; equal ids stay each
+by itself; a token id that needs more than ``bits`` bits is an error; positions beyond the tokens are the caller's error, and a token that is not there
+has count 0 and no occurrence.
 """
 
 from __future__ import annotations
@@ -16,22 +20,32 @@ import zstandard
 
 MAGIC = b"TLWM0001"
 BLOCK = 512
+#: Tokens that are dealt at once.
+PIECE = 1 << 15
 
 
 def build(tokens: np.ndarray, doc_ids: list[int | None], ends: np.ndarray, bits: int) -> bytes:
     """``tokens`` below 2**bits; ``ends``: tokens up to and with each document."""
     if len(tokens) and int(tokens.max()) >> bits:
         raise ValueError(f"a token id needs more than {bits} bits")
-    squeeze = zstandard.ZstdCompressor(level=3).compress
-    now = tokens.astype(np.uint16 if bits <= 16 else np.uint32)
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    wide = np.uint16 if bits <= 16 else np.uint32
+    #: The bit at hand is kept highest, where the sign tells it.
+    now = np.left_shift(tokens.astype(wide), wide(8 * wide().itemsize - bits))
     sections, zeros = [], []
-    for level in range(bits - 1, -1, -1):
-        bit = ((now >> now.dtype.type(level)) & now.dtype.type(1)).astype(bool)
+    for _ in range(bits):
+        bit = now.view(np.int16 if wide is np.uint16 else np.int32) < 0
         plane = np.packbits(bit)
         sections += [plane.tobytes(), _before(plane).tobytes()]
-        low = now[~bit]
-        zeros.append(len(low))
-        now = np.concatenate([low, now[bit]])
+        zeros.append(int(len(now) - np.count_nonzero(bit)))
+        #: Dealt a piece at a time, by index, which stays in the processor's cache.
+        dealt, low, high = np.empty_like(now), 0, zeros[-1]
+        for i in range(0, len(now), PIECE):
+            part, own = now[i : i + PIECE], bit[i : i + PIECE]
+            ones, others = np.flatnonzero(own), np.flatnonzero(~own)
+            dealt[high : high + len(ones)], dealt[low : low + len(others)] = part[ones], part[others]
+            low, high = low + len(others), high + len(ones)
+        now = np.left_shift(dealt, wide(1), out=dealt)
     sections += [
         np.array([0 if d is None else d for d in doc_ids], dtype="<i8").tobytes(),
         np.array([d is None for d in doc_ids], dtype=np.uint8).tobytes(),
@@ -43,11 +57,12 @@ def build(tokens: np.ndarray, doc_ids: list[int | None], ends: np.ndarray, bits:
 
 
 def _before(plane: np.ndarray) -> np.ndarray:
-    ones = np.bitwise_count(plane).astype(np.uint32)
+    ones = np.bitwise_count(plane)
     step = BLOCK // 8
     if not len(ones):
         return np.zeros(1, dtype="<u4")
-    return np.concatenate([[0], np.cumsum(np.add.reduceat(ones, np.arange(0, len(ones), step)))]).astype("<u4")
+    ones = np.pad(ones, (0, -len(ones) % step)).reshape(-1, step)
+    return np.concatenate([[0], np.cumsum(ones.sum(axis=1, dtype=np.uint32))]).astype("<u4")
 
 
 class WaveletMatrix:
@@ -151,9 +166,13 @@ class WaveletMatrix:
         """All tokens in order: the levels are undone from the lowest."""
         value = np.zeros(self.n, dtype=np.uint16 if self.bits <= 16 else np.uint32)
         for level in range(self.bits - 1, -1, -1):
-            bit = np.unpackbits(self._plane(level), count=self.n).astype(bool)
-            zeros, above = self.zeros[level], np.empty_like(value)
-            above[~bit] = value[:zeros]
-            above[bit] = value[zeros:] | value.dtype.type(1 << (self.bits - 1 - level))
+            bit = np.unpackbits(self._plane(level), count=self.n).view(bool)
+            above, low, high = np.empty_like(value), 0, self.zeros[level]
+            value[high:] |= value.dtype.type(1 << (self.bits - 1 - level))
+            for i in range(0, self.n, PIECE):
+                own, part = bit[i : i + PIECE], above[i : i + PIECE]
+                ones, others = np.flatnonzero(own), np.flatnonzero(~own)
+                part[ones], part[others] = value[high : high + len(ones)], value[low : low + len(others)]
+                low, high = low + len(others), high + len(ones)
             value = above
         return value

@@ -18,6 +18,10 @@ BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path
 ODD = ["  a  \n b ", "a\n\nb", "\n\n x  y ", "a\x1c b\x1c\n c", "it's we'll  DON'T", "日本語 テスト　全角", "é ́ x", "", " ", "\t", "½² Ⅷ x²", "<|endoftext|> hi", "İstanbul ΣΑΣ", "a\x85\n b", "a \n b"]
 
 
+def ints(ids):
+    return np.frombuffer(ids, "<u4").tolist()
+
+
 def whole(path):
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
@@ -29,7 +33,8 @@ def test_ids_are_the_librarys(path, space):
     own, ref = Encoder(path, space), whole(path)
     texts = ODD + [r[1] or "" for r in rows()]
     for text, found in zip(texts, own.encode(texts)):
-        assert np.frombuffer(found, "<u4").tolist() == ref(text), repr(text[:50])
+        assert ints(found) == ref(text), repr(text[:50])
+    assert own.encode([]) == []
 
 
 @settings(max_examples=150, deadline=None)
@@ -39,7 +44,7 @@ def test_ids_of_any_text(text):
         if path not in _CACHE:
             _CACHE[path] = Encoder(path, space), whole(path)
         own, ref = _CACHE[path]
-        assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == ref(text)
+        assert ints(own.encode([text])[0]) == ref(text)
 
 
 @pytest.mark.parametrize("path, space", [(BYTE, True), (WORD, False)])
@@ -47,10 +52,23 @@ def test_ids_of_each_latin_letter(path, space):
     """Capitals whose lower case lies outside the Latin blocks of the fast path, too."""
     own, ref = Encoder(path, space), whole(path)
     texts = ["ƏLAVƏ MƏLUMAT", "Ɔkasa"] + [f"{c}LA{c} x{c} 1{c}" for c in map(chr, range(0xC0, 0x250))]
-    wrong = [t for t, found in zip(texts, own.encode(texts)) if np.frombuffer(found, "<u4").tolist() != ref(t)]
+    wrong = [t for t, found in zip(texts, own.encode(texts)) if ints(found) != ref(t)]
     assert not wrong, (len(wrong), wrong[:30])
 
 
+def test_ids_with_small_bounds(monkeypatch):
+    """What a worker keeps and how much it gathers at once change nothing."""
+    from taintlake.llm import encoding
+
+    monkeypatch.setattr(encoding, "KEEP", 3)
+    monkeypatch.setattr(encoding, "STEP", 4)
+    for path, space in ((BYTE, True), (WORD, False)):
+        own, ref = Encoder(path, space), whole(path)
+        texts = ODD + [r[1] or "" for r in rows()]
+        assert list(map(ints, own.encode(texts))) == [ref(t) for t in texts]
+        assert sum(map(len, own.kept)) <= 3 + max(len(t) for t in texts)
+
+
 _CACHE: dict = {}
 
 

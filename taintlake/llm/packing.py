@@ -9,8 +9,9 @@ the next best-fit round, until one group is left. A later round of one group tak
 round to come and emits the rest as final: no sequence is lost by that, and what a
 task of a round holds does not grow with the input.
 
-Defined results: null text is empty (one piece with the end id alone); rows with equal
-``doc_id`` are packed each by itself; an empty table gives no row.
+Defined results: null text is empty (one piece with the end id alone); rows with equal or null
+``doc_id`` are packed each by itself; a very long text has as many pieces as it needs; of bins with equal room any may take a piece;
+other columns of ``docs``, of whatever name, are not read; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, checkpointed, shared_dir
+from .common import batches_of, checkpointed, map_slices, shared_dir
 from .encoding import encoder
 
 FAN_IN = 16
@@ -44,19 +45,17 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, room: int, space:
         def rows() -> Iterator[tuple]:
             nonlocal uid
             for batch in batches:
-                doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-                for begin in range(0, len(texts), 512):
-                    for doc_id, found in zip(doc_ids[begin : begin + 512], encode(texts[begin : begin + 512])):
-                        ids = found + end
-                        for piece, at in enumerate(range(0, len(ids), 4 * room)):
-                            own = ids[at : at + 4 * room]
-                            yield uid, doc_id, piece, at // 4, len(own) // 4, zlib.crc32(own)
-                            uid += 1
+                for doc_id, found in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()])):
+                    ids = memoryview(found + end)
+                    for piece, at in enumerate(range(0, len(ids), 4 * room)):
+                        own = ids[at : at + 4 * room]
+                        yield uid, doc_id, piece, at // 4, len(own) // 4, zlib.crc32(own)
+                        uid += 1
 
         return batches_of(rows(), _ITEMS)
 
     place = shared_dir(spark, "pieces")
-    docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, _ITEMS_DDL).write.parquet(place)
+    map_slices(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, _ITEMS_DDL, 1).write.parquet(place)
     return spark.read.schema(_ITEMS_DDL).parquet(place)
 
 

@@ -40,14 +40,23 @@ def annotated(files: DataFrame, notes: DataFrame) -> DataFrame:
 
 
 def slices(flows: DataFrame, sources: DataFrame, files: DataFrame, radius: int = 5) -> DataFrame:
-    """The steps of flows with the code around them."""
+    """The steps of flows with the code around them.
+
+    Places (file, line) meet lines by number, each place once however many steps lie there; only the lines around go further.
+    """
     steps = flows.join(sources.select("tid", "evidence_loc"), "tid").select("fid", "cwe", "sid", F.col("evidence_loc").alias("source_loc"), F.posexplode("steps").alias("n", "s"))
-    whole = files.select(F.col("path").alias("file"), F.split("content", "\n").alias("lines"))
-    at = steps.select("fid", "cwe", "sid", "source_loc", "n", F.col("s.file").alias("file"), F.col("s.start").alias("line")).join(whole, "file", "left")
+    steps = steps.select("fid", "cwe", "sid", "source_loc", "n", F.col("s.file").alias("file"), F.col("s.start").alias("line"))
+    places = steps.select("file", "line").distinct().where("file is not null and line is not null")
+    lines = files.select(F.col("path").alias("file"), F.split("content", "\n").alias("l"))
+    sizes = lines.select("file", F.size("l").alias("size"))
+    own = lines.select("file", F.posexplode("l").alias("k", "code")).select("file", (F.col("k") + 1).alias("line"), "code")
     low = F.greatest(F.col("line") - radius, F.lit(1))
-    high = F.least(F.col("line") + radius, F.size("lines"))
-    code = F.array_join(F.slice("lines", low, F.greatest(high - low + 1, F.lit(0))), "\n")
-    return at.select("fid", "cwe", "source_loc", "sid", "n", "file", "line", low.alias("context_start"), F.greatest(F.coalesce(high, low), low).alias("context_end"), F.coalesce(code, F.lit("")).alias("code"))
+    known = places.join(sizes, "file")
+    around = known.select("file", F.col("line").alias("at"), F.explode(F.sequence(low, F.greatest(low, F.least(F.col("line") + radius, F.col("size"))))).alias("line"))
+    code = around.join(own, ["file", "line"]).groupBy("file", F.col("at").alias("line")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("line").alias("k"), "code"))), lambda x: x["code"]), "\n").alias("code"))
+    at = steps.join(known, ["file", "line"], "left").join(code, ["file", "line"], "left")
+    high = F.coalesce(F.least(F.col("line") + radius, F.col("size")), F.col("line") + radius)
+    return at.select("fid", "cwe", "source_loc", "sid", "n", "file", "line", low.alias("context_start"), F.greatest(high, low).alias("context_end"), F.coalesce("code", F.lit("")).alias("code"))
 
 
 def sidecar_records(symbols: DataFrame, sources: DataFrame, sinks: DataFrame, flows: DataFrame, entrypoints: DataFrame, files: DataFrame | None = None) -> DataFrame:

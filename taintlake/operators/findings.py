@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from ..functions import rules, text
 from .relational import last_by
 
+#: Engines that are counted as bits; others are collected by name.
+ENGINES = ("codeql", "joern", "semgrep", "llm-heavy", "storage-taint-r2")
 RANKS = ("unknown", "llm-suggested", "inferred", "definite")
 
 
@@ -39,26 +41,34 @@ def flow_key(compat: bool = False) -> list[Column]:
 
 
 def dedupe(flows: DataFrame, order: str = "fid", compat: bool = False) -> DataFrame:
-    """One flow of each key: the most confident, then the first; with all engines and a raised confidence.
+    """One flow of each key: the most confident, then the first by ``order`` (a distinct value of each flow); with all engines and a raised confidence.
 
     Two engines raise the label by one, three or more make it definite; a single engine, and a
-    group of one row, leave it. One aggregate, so a hot key is combined before it is shuffled.
+    group of one row, leave it. The aggregate holds a short row for each key (order, engines as bits for the known ones), combined before
+    the shuffle, so a hot key costs a row per task; the survivors, of distinct ``order`` values, are then joined to their whole rows.
     """
     keys = flow_key(compat)
-    rest = F.struct(*flows.columns)
     best = F.struct((-rank(F.col("confidence"))).alias("r"), F.col(order).alias("o"))
+    engine = F.nullif(F.col("engine"), F.lit(""))
+    bits = F.lit(0)
+    for i, name in enumerate(ENGINES):
+        bits = F.when(engine == name, 1 << i).otherwise(bits)
     grouped = flows.groupBy(*keys).agg(
-        F.min_by(rest, best).alias("s"),
+        F.min(best).alias("best"),
         F.count("*").alias("merged"),
-        F.array_sort(F.collect_set(F.nullif(F.col("engine"), F.lit("")))).alias("engines"),
+        F.bit_or(bits).alias("bits"),
+        F.collect_set(F.when(bits == 0, engine)).alias("others"),
     )
-    base = rank(F.col("s.confidence"))
+    known = F.filter(F.array(*[F.when(F.col("bits").bitwiseAND(F.lit(1 << i)) != 0, name) for i, name in enumerate(ENGINES)]), lambda e: e.isNotNull())
+    engines = F.array_sort(F.concat(known, "others"))
     n = F.size("engines")
+    base = -F.col("best.r")
     raised = F.when(n >= 3, 3).when(n == 2, F.least(base + 1, F.lit(3))).otherwise(base)
     label = F.element_at(F.array(*map(F.lit, RANKS)), raised + 1)
+    marks = grouped.withColumn("engines", engines).select(F.col("best.o").alias("_o"), "merged", F.array_join("engines", "+").alias("_engines"), label.alias("_label"))
     one = F.col("merged") == 1
-    changed = {"engine": F.when(one, F.col("s.engine")).otherwise(F.array_join("engines", "+")), "confidence": F.when(one, F.col("s.confidence")).otherwise(label)}
-    return grouped.select(*[changed.get(c, F.col(f"s.{c}")).alias(c) for c in flows.columns], "merged")
+    changed = {"engine": F.when(one, F.col("engine")).otherwise(F.col("_engines")).alias("engine"), "confidence": F.when(one, F.col("confidence")).otherwise(F.col("_label")).alias("confidence")}
+    return flows.join(marks, F.col(order) == F.col("_o")).select(*[changed.get(c, F.col(c)) for c in flows.columns], "merged")
 
 
 def engine_counts(flows: DataFrame, prefixes: list[str]) -> DataFrame:
@@ -128,10 +138,11 @@ def dot_lines(edges: DataFrame, limit: int = 200) -> DataFrame:
 def choose_flow(wanted: DataFrame, joined: DataFrame) -> DataFrame:
     """For each nomination (id, fid, loc) a flow: the named one, else one at its place, else one in its file."""
     by_id = wanted.join(joined.select("fid"), "fid").select("id", "fid", F.lit(0).alias("r"))
-    at = wanted.drop("fid").join(joined.select("fid", "evidence_loc"), F.col("loc") == F.col("evidence_loc")).select("id", "fid", F.lit(1).alias("r"))
-    w = wanted.drop("fid").withColumn("_f", text.file_of(F.col("loc")))
-    j = joined.select("fid", text.file_of(F.col("evidence_loc")).alias("_f")).where("_f != ''")
-    near = w.join(j, "_f").select("id", "fid", F.lit(2).alias("r"))
+    #: Of the flows at one place, or in one file, only the first can be chosen.
+    places = joined.groupBy("evidence_loc").agg(F.min("fid").alias("fid"))
+    files = places.select("fid", text.file_of(F.col("evidence_loc")).alias("_f")).where("_f != ''").groupBy("_f").agg(F.min("fid").alias("fid"))
+    at = wanted.drop("fid").join(places, F.col("loc") == F.col("evidence_loc")).select("id", "fid", F.lit(1).alias("r"))
+    near = wanted.drop("fid").withColumn("_f", text.file_of(F.col("loc"))).join(files, "_f").select("id", "fid", F.lit(2).alias("r"))
     every = by_id.unionByName(at).unionByName(near)
     return every.groupBy("id").agg(F.min_by("fid", F.struct("r", "fid")).alias("fid"))
 
@@ -168,6 +179,11 @@ def file_entrypoints(symbols: DataFrame) -> DataFrame:
     return nxt.unionByName(rmx)
 
 
+def all_entrypoints(xrefs: DataFrame, symbols: DataFrame, order: str = "ord") -> DataFrame:
+    """Entry points by calls and by file layout."""
+    return entrypoints(xrefs, order).unionByName(file_entrypoints(symbols))
+
+
 def manifest_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """path and change: added, removed or modified (another hash)."""
     joined = old.select("path", F.col("sha256").alias("old_hash"), F.lit(True).alias("_o")).join(new.select("path", F.col("sha256").alias("new_hash"), F.lit(True).alias("_n")), "path", "full")

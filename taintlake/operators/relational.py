@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Lets ``checkpoint()`` work where no folder is set: in the one that the session names; a local one only in local mode."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(named or "/tmp/checkpoints")
+
+
 def last_by(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """For each key the row that comes last by ``order``; one aggregate, combined before the shuffle."""
     rest = [c for c in rows.columns if c not in keys]
@@ -54,22 +65,25 @@ def not_in(rows: DataFrame, column: str, others: DataFrame, other: str) -> DataF
     The engine would broadcast the others for this; here they meet the rows in an equi-join of any size, and
     two scalar subqueries tell whether they are empty or hold a null.
     """
-    rows.createOrReplaceTempView("_not_in_rows")
-    others.select(F.col(other).alias("_v")).createOrReplaceTempView("_not_in_others")
-    return rows.sparkSession.sql(
-        f"SELECT r.* FROM _not_in_rows r LEFT ANTI JOIN _not_in_others o ON r.`{column}` = o._v "
-        f"WHERE (SELECT count(*) FROM _not_in_others) = 0 OR r.`{column}` IS NOT NULL AND (SELECT count_if(_v IS NULL) FROM _not_in_others) = 0"
-    )
+    v = others.select(F.col(other).alias("_v"))
+    seen = v.agg(F.count("*").alias("_all"), F.count_if(F.col("_v").isNull()).alias("_nulls"))
+    kept = rows.join(v.distinct(), F.col(column) == F.col("_v"), "left_anti")
+    #: One row, so the join to it is a scalar subquery.
+    marked = kept.select("*", seen.select("_all").scalar().alias("_all"), seen.select("_nulls").scalar().alias("_nulls"))
+    return marked.where((F.col("_all") == 0) | (F.col(column).isNotNull() & (F.col("_nulls") == 0))).drop("_all", "_nulls")
 
 
 def nearest(left: DataFrame, right: DataFrame, on: list[str], left_at: str, right_at: str, left_key: list[str], right_order: list[str], within: int, self_too: Column | None = None) -> DataFrame:
     """For each left row the right row of the same ``on`` that is nearest, at most ``within`` away.
 
-    Rows meet by ``on`` and by the band of ``within`` that they lie in: each left row looks
+    Of the right rows at one place only the first by ``right_order`` can be the nearest, so the others go before the join,
+    and no file is dense. Rows meet by ``on`` and by the band of ``within`` that they lie in: each left row looks
     into its own band and the two beside it, so a file with very many rows on both sides is spread and
-    the join stays an equi-join. Ties go to the first by ``right_order``.
+    the join stays an equi-join. Ties go to the first by ``right_order``. (With ``self_too``, a condition on pairs, all right rows meet.)
     """
     band = max(within, 1)
+    if self_too is None:
+        right = first_by(right, [*on, right_at], right_order)
     l = left.withColumn("_band", F.explode(F.array(*[F.floor(F.col(left_at) / band) + d for d in (-1, 0, 1)])))
     r = right.select(*on, *[F.col(c).alias(f"_r_{c}") for c in right.columns if c not in on]).withColumn("_band", F.floor(F.col(f"_r_{right_at}") / band))
     gap = F.abs(F.col(left_at) - F.col(f"_r_{right_at}"))
@@ -111,9 +125,7 @@ def reachable(edges: DataFrame, roots: DataFrame, most_steps: int) -> DataFrame:
 
     A frontier of new nodes only is joined in each round, and lineage is cut in the shared folder.
     """
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    ensure_checkpoint_dir(edges.sparkSession)
     seen = roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("steps")).distinct().checkpoint()
     front = seen
     for step in range(1, most_steps + 1):

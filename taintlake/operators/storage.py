@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import ids, rules, sqlrefs, text
-from .relational import insert_if_absent, mode_first_seen
+from .relational import ensure_checkpoint_dir, insert_if_absent, mode_first_seen
 
 SQL_CLASSES = ("sql.exec", "sql_column")
 
@@ -28,16 +31,29 @@ def writes(flows: DataFrame, sinks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return locations, shape(known.where("op = 'write'"), "sql").unionByName(shape(unknown, "unknown")).distinct()
 
 
-def literal_selects(files: DataFrame) -> DataFrame:
-    """path, line, sql of each quoted SELECT in ``files`` (path, content)."""
-    whole = F.regexp_extract_all("content", F.lit(sqlrefs.SELECT_LITERAL), F.lit(0))
-    inner = F.regexp_extract_all("content", F.lit(sqlrefs.SELECT_LITERAL), F.lit(2))
-    parts = files.select("path", "content", F.posexplode(F.arrays_zip(whole.alias("w"), inner.alias("s"))).alias("n", "m"))
-    #: The n-th match starts after the text before it: what stands before, split by the matches, has its line ends.
-    before = F.array_join(F.slice(F.split("content", sqlrefs.SELECT_LITERAL), 1, F.col("n") + 1), "")
-    earlier = F.array_join(F.slice(F.regexp_extract_all("content", F.lit(sqlrefs.SELECT_LITERAL), F.lit(0)), F.lit(1), F.col("n")), "")
+def _matches(files: DataFrame, pattern: str, group: int) -> DataFrame:
+    """path, n, line, whole, part of each match of ``pattern`` (whose group 1 is not what is wanted, or all) in ``files``.
+
+    The text between matches is counted once: the line of a match is one more than the line ends in all parts and matches before it,
+    a running sum over the file's matches.
+    """
     ends = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
-    return parts.select("path", (ends(before) + ends(earlier) + 1).alias("line"), F.trim(F.col("m.s"), F.lit(" \t\r\n")).alias("sql"))
+    found = files.select(
+        "path",
+        F.transform(F.split("content", pattern, -1), ends).alias("between"),
+        F.regexp_extract_all("content", F.lit(pattern), F.lit(0)).alias("whole"),
+        F.regexp_extract_all("content", F.lit(pattern), F.lit(group)).alias("part"),
+    ).where("size(whole) > 0")
+    one = found.select("path", F.posexplode(F.arrays_zip(F.slice("between", F.lit(1), F.size("whole")).alias("b"), "whole", "part")).alias("n", "m"))
+    one = one.select("path", "n", F.col("m.b").alias("b"), F.col("m.whole").alias("whole"), F.col("m.part").alias("part"))
+    before = W.partitionBy("path").orderBy("n")
+    above = F.sum("b").over(before.rowsBetween(W.unboundedPreceding, 0)) + F.coalesce(F.sum(ends(F.col("whole"))).over(before.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return one.select("path", "n", (above + 1).cast("int").alias("line"), "whole", "part")
+
+
+def literal_selects(files: DataFrame) -> DataFrame:
+    """path, line, sql of each quoted SELECT in ``files`` (path, distinct, and content)."""
+    return _matches(files, sqlrefs.SELECT_LITERAL, 2).select("path", "line", F.trim(F.col("part"), F.lit(" \t\r\n")).alias("sql"))
 
 
 def reads(files: DataFrame, locations: DataFrame, existing: DataFrame) -> DataFrame:
@@ -56,12 +72,8 @@ def dynamic_reads(files: DataFrame, keys: DataFrame, existing: DataFrame) -> Dat
     """
     calls = None
     for kind, pattern in rules.READ_CALLS.items():
-        lines = files.select("path", F.split("content", pattern, -1).alias("parts"), F.regexp_extract_all("content", F.lit(f"({pattern})"), F.lit(1)).alias("heads"))
-        one = lines.select("path", "parts", "heads", F.explode(F.sequence(F.lit(1), F.size("heads"))).alias("n")).where("size(heads) > 0")
-        before = F.concat(F.array_join(F.slice("parts", F.lit(1), F.col("n")), ""), F.array_join(F.slice("heads", F.lit(1), F.col("n") - 1), ""))
-        after = F.aggregate(F.arrays_zip(F.slice("parts", F.col("n") + 1, F.size("parts")).alias("p"), F.slice(F.concat("heads", F.array(F.lit(""))), F.col("n") + 1, F.size("parts")).alias("h")), F.lit(""), lambda a, x: F.when(F.length(a) > 200, a).otherwise(F.concat(a, F.coalesce(x["p"], F.lit("")), F.coalesce(x["h"], F.lit("")))))
-        line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
-        part = one.select("path", line.alias("line"), F.substring(after, 1, 200).alias("tail"), F.lit(kind).alias("kind"))
+        #: The match runs on over the 200 characters behind the call, without taking them from the next one.
+        part = _matches(files, f"({pattern})(?=((?s:.{{0,200}})))", re.compile(pattern).groups + 2).select("path", "line", F.col("part").alias("tail"), F.lit(kind).alias("kind"))
         calls = part if calls is None else calls.unionByName(part)
     patterns = keys.select("storage_id", "kind", text.key_pattern(F.col("storage_id")).alias("pattern"))
     hits = calls.join(patterns, "kind").where(F.expr("tail rlike pattern")).select("storage_id", F.format_string("read:%s:%d", "path", "line").alias("symbol_id")).distinct()
@@ -94,14 +106,13 @@ def round_two(taint: DataFrame, store_reads: DataFrame, store_writes: DataFrame,
     return made.dropDuplicates(["fid"]).join(flows.select("fid"), "fid", "left_anti").select(*flows.columns)
 
 
-def fixpoint(flows: DataFrame, sources: DataFrame, sinks: DataFrame, files: DataFrame, suggested: DataFrame | None = None, max_rounds: int = 3) -> dict[str, DataFrame]:
-    """Rounds of write, read, derive and synthesise until one adds nothing, three at most.
+def fixpoint(flows: DataFrame, sources: DataFrame, sinks: DataFrame, files: DataFrame, suggested: DataFrame | None = None, max_rounds: int | None = None) -> dict:
+    """Rounds of write, read, derive and synthesise until one adds nothing, or ``max_rounds`` are over; ``converged`` tells which.
 
-    The state of each round is cut from its lineage in the shared folder.
+    Without ``max_rounds`` it ends where nothing is new. The state of each round is cut from its lineage in the shared folder.
     """
     spark = flows.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    ensure_checkpoint_dir(spark)
     from ..schemas import empty
 
     state = {name: empty(spark, name) for name in ("storage_locations", "storage_writes", "storage_reads", "storage_taint")}
@@ -109,34 +120,38 @@ def fixpoint(flows: DataFrame, sources: DataFrame, sinks: DataFrame, files: Data
         seeds = suggested.where("confidence >= 0.4").select("storage_id", "kind", F.lit("llm_suggested").alias("schema_evidence"))
         state["storage_locations"] = insert_if_absent(state["storage_locations"], seeds, ["storage_id"]).checkpoint()
         state["storage_reads"] = state["storage_reads"].unionByName(dynamic_reads(files, suggested, state["storage_reads"])).checkpoint()
-    rounds = 0
-    for rounds in range(1, max_rounds + 1):
+    rounds, converged = 0, False
+    while not converged and (max_rounds is None or rounds < max_rounds):
+        rounds += 1
         where, wrote = writes(flows, sinks)
         state["storage_locations"] = insert_if_absent(state["storage_locations"], where, ["storage_id"]).checkpoint()
         state["storage_writes"] = insert_if_absent(state["storage_writes"], wrote, ["storage_id", "flow_id"]).checkpoint()
         state["storage_reads"] = state["storage_reads"].unionByName(reads(files, state["storage_locations"], state["storage_reads"])).checkpoint()
         state["storage_taint"] = state["storage_taint"].unionByName(derive(state["storage_writes"], state["storage_taint"])).checkpoint()
         made = round_two(state["storage_taint"], state["storage_reads"], state["storage_writes"], flows, sources).checkpoint()
-        if made.isEmpty():
+        if converged := made.isEmpty():
             break
         flows = flows.unionByName(made).checkpoint()
         sources = insert_if_absent(sources, state["storage_taint"].select(F.col("derived_tid").alias("tid"), F.lit(None).cast("string").alias("symbol_id"), F.lit("storage.read").alias("class"), F.col("storage_id").alias("key"), F.col("storage_id").alias("evidence_loc")), ["tid"]).checkpoint()
         ends = made.select("sid", F.lit(None).cast("string").alias("symbol_id"), F.lit("storage.read").alias("class"), F.lit("storage-taint-r2").alias("lib"), F.element_at("steps", -1)["file"].alias("parameterization"), F.array().cast("array<string>").alias("tainted_slots"))
         sinks = insert_if_absent(sinks, ends, ["sid"]).checkpoint()
-    return state | {"flows": flows, "taint_sources": sources, "taint_sinks": sinks, "rounds": rounds}
+    return state | {"flows": flows, "taint_sources": sources, "taint_sinks": sinks, "rounds": rounds, "converged": converged}
 
 
 def unresolved_calls(xrefs: DataFrame, files: DataFrame, radius: int = 3) -> DataFrame:
-    """Storage calls with a key put together at run time, with the lines around; the last of each id."""
-    lines = files.select(F.col("path").alias("file"), F.split("content", "\n").alias("lines"))
-    at = xrefs.where("kind = 'call' and file is not null and line is not null").select("file", "line").join(lines, "file")
-    code = F.try_element_at("lines", F.greatest(F.col("line"), F.lit(1)))
-    found = at.where("line >= 1").withColumn("code", code).where("code is not null")
+    """Storage calls with a key put together at run time, with the lines around; the last of each id.
+
+    Lines meet calls by file and number; only those around a call go further.
+    """
+    lines = files.select(F.col("path").alias("file"), F.posexplode(F.split("content", "\n")).alias("n", "code")).select("file", (F.col("n") + 1).alias("line"), "code")
+    at = xrefs.where("kind = 'call' and file is not null and line >= 1").select("file", "line").distinct()
+    found = at.join(lines, ["file", "line"])
     hit = found.withColumn("callee", F.coalesce(*[F.nullif(F.regexp_extract("code", f"({p})", 1), F.lit("")) for _, _, p in rules.LINE_CALLS]))
     hit = hit.where(F.col("callee").isNotNull() & text.is_dynamic(F.col("code")))
-    low = F.greatest(F.col("line") - radius, F.lit(1))
-    context = F.slice("lines", low, F.col("line") + radius - low + 1)
-    rows = hit.select(ids.unresolved_call_id("file", "line", "code").alias("call_id"), "file", "line", "callee", F.trim("code").alias("code_snippet"), context.alias("context_lines"))
+    wanted = hit.select("file", F.col("line").alias("at"), F.explode(F.sequence(F.greatest(F.col("line") - radius, F.lit(1)), F.col("line") + radius)).alias("line"))
+    around = wanted.join(lines, ["file", "line"]).groupBy("file", "at").agg(F.array_sort(F.collect_list(F.struct("line", "code"))).alias("c"))
+    rows = hit.join(around.withColumnRenamed("at", "line"), ["file", "line"])
+    rows = rows.select(ids.unresolved_call_id("file", "line", "code").alias("call_id"), "file", "line", "callee", F.trim("code").alias("code_snippet"), F.col("c.code").alias("context_lines"))
     return rows.dropDuplicates(["call_id"])
 
 

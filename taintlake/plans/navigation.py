@@ -11,6 +11,7 @@ from ..functions import ids, rules, text
 from ..operators import code_views, findings, projects, relational, reports, storage, taxonomy
 from . import relations as x
 from .relations import table, with_sql
+from .surface import Surface
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -69,16 +70,28 @@ def _listed(df, *by):
     return df.select(*by, F.array_join("fids", ",").alias("fids"), F.array_join("cwes", ",", "-").alias("cwes"))
 
 
-@query(_PATHS + f"SELECT source_symbol, sink_symbol, sink_class, {_LISTS} FROM p WHERE n2 = 3 GROUP BY ALL")
+@query(_PATHS + f"SELECT source_symbol, sink_symbol, sink_class, {_LISTS} FROM p GROUP BY ALL")
 def sources_to_sinks(spark, d):
-    rows = _paths(spark, d).where(F.element_at("steps", -1)["start"] == 3)
-    return _listed(findings.grouped_paths(rows, ["source_symbol", "sink_symbol", "sink_class"]), "source_symbol", "sink_symbol", "sink_class")
+    return _listed(findings.grouped_paths(_paths(spark, d), ["source_symbol", "sink_symbol", "sink_class"]), "source_symbol", "sink_symbol", "sink_class")
 
 
-@query(_PATHS + f"SELECT sink_symbol, source_class, {_LISTS} FROM p WHERE n2 = 4 GROUP BY ALL")
+@query(_PATHS + f"SELECT sink_symbol, source_class, {_LISTS} FROM p GROUP BY ALL")
 def sinks_from_sources(spark, d):
-    rows = _paths(spark, d).where(F.element_at("steps", -1)["start"] == 4)
-    return _listed(findings.grouped_paths(rows, ["sink_symbol", "source_class"]), "sink_symbol", "source_class")
+    return _listed(findings.grouped_paths(_paths(spark, d), ["sink_symbol", "source_class"]), "sink_symbol", "source_class")
+
+
+def _surface(spark, d):
+    return Surface(spark, {"flows": x.flows(spark, d), "taint_sources": x.sources(spark, d), "taint_sinks": x.sinks(spark, d)})
+
+
+@query(_PATHS + f"SELECT source_symbol AS source_symbol_id, sink_symbol AS sink_symbol_id, {_LISTS} FROM p GROUP BY ALL")
+def view_sources_to_sinks(spark, d):
+    return _surface(spark, d).sql("SELECT source_symbol_id, sink_symbol_id, array_join(fids, ',') AS fids, array_join(cwes, ',', '-') AS cwes FROM v_sources_to_sinks")
+
+
+@query(_PATHS + f"SELECT sink_symbol AS sink_symbol_id, source_symbol AS source_symbol_id, {_LISTS} FROM p GROUP BY ALL")
+def view_sinks_from_sources(spark, d):
+    return _surface(spark, d).sql("SELECT sink_symbol_id, source_symbol_id, array_join(fids, ',') AS fids, array_join(cwes, ',', '-') AS cwes FROM v_sinks_from_sources")
 
 
 @query(_PATHS + "SELECT fid, cwe, source_class, sink_class, lib FROM p WHERE source_symbol = 'S-7'")
@@ -86,13 +99,14 @@ def flows_by_symbol(spark, d):
     return _paths(spark, d).where("source_symbol = 'S-7'").select("fid", "cwe", "source_class", "sink_class", "lib")
 
 
-_SOME = "SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity < 2"
+#: Every line names a sink, of three one.
+_SOME = "SELECT l_suppkey - l_suppkey % 3 AS l_suppkey FROM lineitem"
 
 
 def _some(spark, d, null=False):
-    rows = table(spark, d, "lineitem").where("l_returnflag = 'R' and l_quantity < 2")
-    sid = F.concat(F.lit("K-"), F.col("l_suppkey").cast("string"))
-    return rows.select(F.when(F.col("l_suppkey") % 7 != 0, sid).alias("sid") if null else sid.alias("sid"))
+    n = F.col("l_suppkey") - F.col("l_suppkey") % 3
+    sid = F.concat(F.lit("K-"), n.cast("string"))
+    return table(spark, d, "lineitem").select(F.when(n % 7 != 0, sid).alias("sid") if null else sid.alias("sid"))
 
 
 @query(with_sql("x_sinks") + f"SELECT sid, class, lib FROM x_sinks WHERE sid NOT IN (SELECT 'K-' || l_suppkey FROM ({_SOME}))")
@@ -115,15 +129,16 @@ def auth_symbols(spark, d):
 
 @query(
     with_sql("x_flows", "x_sources", "x_sinks", "x_symbols")
-    + f""", f AS (SELECT * FROM x_flows WHERE n2 = 2)
-  SELECT 'A' AS stream, f.fid AS id, f.cwe, f.engine, s.evidence_loc AS source_loc, k.class AS sink_class, k.lib, NULL AS concern FROM f JOIN x_sources s USING (tid) JOIN x_sinks k USING (sid) WHERE f.cwe IN ('CWE-79', 'CWE-89')
-  UNION ALL SELECT 'B', sid, NULL, NULL, NULL, class, lib, 'sink-without-source' FROM x_sinks WHERE sid NOT IN (SELECT sid FROM f)
+    + f""", k AS (SELECT sid, class, lib FROM x_sinks UNION ALL SELECT 'K-none', 'html', 'none')
+  SELECT 'A' AS stream, f.fid AS id, f.cwe, f.engine, s.evidence_loc AS source_loc, k.class AS sink_class, k.lib, NULL AS concern FROM x_flows f JOIN x_sources s USING (tid) JOIN k USING (sid) WHERE f.cwe IN ('CWE-79', 'CWE-89')
+  UNION ALL SELECT 'B', sid, NULL, NULL, NULL, class, lib, 'sink-without-source' FROM k WHERE sid NOT IN (SELECT sid FROM x_flows)
   UNION ALL SELECT 'B', id, NULL, NULL, file || ':' || range_start, NULL, NULL, 'auth' FROM x_symbols WHERE {_ILIKE}"""
 )
 def nomination_queue(spark, d):
-    flows = x.flows(spark, d).where(F.element_at("steps", -1)["start"] == 2)
+    none = spark.createDataFrame([("K-none", "html", "none")], "sid STRING, class STRING, lib STRING")
+    sinks = x.sinks(spark, d).unionByName(none, allowMissingColumns=True)
     cwes = spark.createDataFrame([("CWE-79",), ("CWE-89",)], "cwe STRING")
-    return findings.nomination_queue(flows, x.sources(spark, d), x.sinks(spark, d), x.symbols(spark, d), cwes).drop("part")
+    return findings.nomination_queue(x.flows(spark, d), x.sources(spark, d), sinks, x.symbols(spark, d), cwes).drop("part")
 
 
 @query(
@@ -223,12 +238,13 @@ def dot_lines(spark, d):
 
 @query(
     _PATHS
-    + """, w AS (SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'nothing' END AS fid, 'src/f' || (event_id % 60) || '.js:' || (event_id % 55) AS loc FROM events WHERE event_id < 120),
-  c AS (SELECT w.id, p.fid, 1 AS r FROM w JOIN p ON w.loc = p.evidence_loc UNION ALL SELECT w.id, p.fid, 2 FROM w JOIN p ON split_part(w.loc, ':', 1) = split_part(p.evidence_loc, ':', 1))
-  SELECT id, fid FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY r, fid) AS n FROM c) WHERE n = 1"""
+    + """, w AS (SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'nothing' END AS fid, 'src/f' || (event_id % 60) || '.js:' || (event_id % 55) AS loc FROM events),
+  l AS (SELECT evidence_loc, min(fid) AS fid FROM p GROUP BY 1), s AS (SELECT split_part(evidence_loc, ':', 1) AS file, min(fid) AS fid FROM l GROUP BY 1),
+  c AS (SELECT w.id, l.fid, 1 AS r FROM w JOIN l ON w.loc = l.evidence_loc UNION ALL SELECT w.id, s.fid, 2 FROM w JOIN s ON split_part(w.loc, ':', 1) = s.file)
+  SELECT id, arg_min(fid, r) AS fid FROM c GROUP BY id"""
 )
 def flow_choice(spark, d):
-    e = table(spark, d, "events").where("event_id < 120")
+    e = table(spark, d, "events")
     loc = F.concat(F.lit("src/f"), (F.col("event_id") % 60).cast("string"), F.lit(".js:"), (F.col("event_id") % 55).cast("string"))
     return findings.choose_flow(e.select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 3 == 0, "nothing").alias("fid"), loc.alias("loc")), _paths(spark, d))
 
@@ -315,15 +331,14 @@ def source_lines(spark, d):
 
 
 _NOTES = with_sql("x_flows", "x_sources", "x_symbols") + """, places AS (SELECT tid, split_part(evidence_loc, ':', 1) AS file, split_part(evidence_loc, ':', 2)::INT AS line FROM x_sources),
-  f AS (SELECT file, line, cwe, list(fid ORDER BY fid) AS f FROM x_flows JOIN places USING (tid) WHERE n2 = 1 GROUP BY ALL),
+  f AS (SELECT file, line, cwe, list(fid ORDER BY fid) AS f FROM x_flows JOIN places USING (tid) GROUP BY ALL),
   n AS (SELECT file, range_start AS line, 0 AS part, '[' || id || '] symbol ' || display_name AS note FROM x_symbols
     UNION ALL SELECT file, line, 1, '[' || min(tid) || '] SOURCE' || CASE WHEN count(*) > 1 THEN ' (+' || (count(*) - 1) || ' more)' ELSE '' END FROM places GROUP BY file, line
     UNION ALL SELECT file, line, 2, unnest(CASE WHEN len(f) <= 3 THEN [('FLOW ' || z || ' (' || coalesce(cwe, 'None') || ')') FOR z IN f] ELSE ['FLOW ' || array_to_string(f[1:3], ', ') || ' (+' || (len(f) - 3) || ' more) [' || coalesce(cwe, 'None') || ']'] END) FROM f) """
 
 
 def _notes(spark, d):
-    flows = x.flows(spark, d).where(F.element_at("steps", -1)["start"] == 1)
-    return code_views.annotations(x.symbols(spark, d), x.sources(spark, d), flows)
+    return code_views.annotations(x.symbols(spark, d), x.sources(spark, d), x.flows(spark, d))
 
 
 @query(_NOTES + "SELECT file, line, part, note FROM n")
@@ -331,30 +346,29 @@ def line_annotations(spark, d):
     return _notes(spark, d)
 
 
+def _scripts(spark, d):
+    return table(spark, d, "documents").where("text is not null").select(F.concat(F.lit("src/f"), F.col("doc_id").cast("string"), F.lit(".js")).alias("path"), F.col("text").alias("content"))
+
+
 @query(
     _NOTES
     + """, g AS (SELECT file, line, string_agg(note, ' | ' ORDER BY part, note) AS notes FROM n GROUP BY file, line),
-  t AS (SELECT 'src/f' || (doc_id % 50) || '.js' AS path, text FROM documents WHERE doc_id < 50), l AS (SELECT path, unnest(string_split(text, chr(10))) AS code, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM t)
+  t AS (SELECT 'src/f' || doc_id || '.js' AS path, text FROM documents WHERE text IS NOT NULL), l AS (SELECT path, unnest(string_split(text, chr(10))) AS code, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM t)
   SELECT path, l.line, code || CASE WHEN notes IS NULL THEN '' ELSE '  // ' || notes END AS text FROM l LEFT JOIN g ON g.file = l.path AND g.line = l.line WHERE NOT (code = '' AND l.line = (SELECT max(line) FROM l m WHERE m.path = l.path))"""
 )
 def annotated_view(spark, d):
-    docs = table(spark, d, "documents").where("doc_id < 50")
-    files = docs.select(F.concat(F.lit("src/f"), (F.col("doc_id") % 50).cast("string"), F.lit(".js")).alias("path"), F.col("text").alias("content"))
-    return code_views.annotated(files, _notes(spark, d))
+    return code_views.annotated(_scripts(spark, d), _notes(spark, d))
 
 
 @query(
     with_sql("x_flows", "x_sources")
-    + """, t AS (SELECT 'src/f' || doc_id || '.js' AS file, string_split(text, chr(10)) AS lines FROM documents WHERE doc_id < 100 AND text IS NOT NULL),
-  p AS (SELECT fid, cwe, tid, sid, 0 AS n, f1 AS file, n1 AS line FROM x_flows WHERE n1 < 40 UNION ALL SELECT fid, cwe, tid, sid, 1, f2, n2 FROM x_flows WHERE n1 < 40 AND NOT one)
+    + """, t AS (SELECT 'src/f' || doc_id || '.js' AS file, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+  p AS (SELECT fid, cwe, tid, sid, 0 AS n, f1 AS file, n1 AS line FROM x_flows UNION ALL SELECT fid, cwe, tid, sid, 1, f2, n2 FROM x_flows WHERE NOT one)
   SELECT p.fid, p.n, p.file, p.line, greatest(p.line - 5, 1) AS context_start, greatest(least(p.line + 5, coalesce(len(lines), p.line + 5)), greatest(p.line - 5, 1)) AS context_end,
     coalesce(array_to_string(lines[greatest(p.line - 5, 1):least(p.line + 5, len(lines))], chr(10)), '') AS code, s.evidence_loc AS source_loc FROM p JOIN x_sources s USING (tid) LEFT JOIN t USING (file)"""
 )
 def slice_context(spark, d):
-    docs = table(spark, d, "documents").where("doc_id < 100 and text is not null")
-    files = docs.select(F.concat(F.lit("src/f"), F.col("doc_id").cast("string"), F.lit(".js")).alias("path"), F.col("text").alias("content"))
-    flows = x.flows(spark, d).where(F.element_at("steps", 1)["start"] < 40)
-    return code_views.slices(flows, x.sources(spark, d), files).select("fid", "n", "file", "line", "context_start", "context_end", "code", "source_loc")
+    return code_views.slices(x.flows(spark, d), x.sources(spark, d), _scripts(spark, d)).select("fid", "n", "file", "line", "context_start", "context_end", "code", "source_loc")
 
 
 _SELECTS = """q AS (SELECT 'q/' || o_orderkey || '.js' AS path, 'a' || chr(10) || 'db.query(' || chr(34) || 'SELECT ' || lower(o_orderstatus) || 'col, total FROM orders_' || (o_custkey % 5) || chr(34) || ')' || chr(10) || 'x(' || chr(39) || 'SELECT name FROM users' || chr(39) || ')' AS content FROM orders)"""
@@ -373,19 +387,22 @@ def select_literals(spark, d):
     return storage.literal_selects(_sql_files(spark, d))
 
 
-_READS = """SELECT DISTINCT 'sql:orders_' || (o_custkey % 5) || '.' || c AS storage_id, 'read:q/' || o_orderkey || '.js:2' AS symbol_id FROM orders, (VALUES ('total'), (NULL)) v(c0), LATERAL (SELECT coalesce(c0, lower(o_orderstatus) || 'col') AS c) WHERE o_custkey % 5 < 3"""
+_READS = """SELECT DISTINCT 'sql:orders_' || (o_custkey % 5) || '.' || c AS storage_id, 'read:q/' || o_orderkey || '.js:2' AS symbol_id FROM orders, (VALUES ('total'), (NULL)) v(c0), LATERAL (SELECT coalesce(c0, lower(o_orderstatus) || 'col') AS c) WHERE o_custkey % 5 < 3 AND o_orderkey % 4 <> 1"""
 
 
 @query(_READS)
 def storage_reads(spark, d):
-    from ..schemas import empty
-
+    there = table(spark, d, "orders").where("o_orderkey % 4 = 1").select(F.format_string("read:q/%d.js:2", "o_orderkey").alias("symbol_id"), F.concat(F.lit("sql:orders_"), (F.col("o_custkey") % 5).cast("string")).alias("t"), F.lower("o_orderstatus").alias("s"))
+    there = there.select("symbol_id", F.explode(F.array(F.concat("t", F.lit(".total")), F.concat("t", F.lit("."), "s", F.lit("col")))).alias("storage_id"))
     where = table(spark, d, "orders").where("o_custkey % 5 < 3").select(F.concat(F.lit("sql:orders_"), (F.col("o_custkey") % 5).cast("string")).alias("t"), F.lower("o_orderstatus").alias("s")).distinct()
     known = where.select(F.explode(F.array(F.concat("t", F.lit(".total")), F.concat("t", F.lit("."), "s", F.lit("col")))).alias("storage_id"))
-    return storage.reads(_sql_files(spark, d), known, empty(spark, "storage_reads")).select("storage_id", "symbol_id")
+    return storage.reads(_sql_files(spark, d), known, there).select("storage_id", "symbol_id")
 
 
-_WROTE = with_sql("x_flows", "x_sinks") + """, w AS (SELECT f.fid, f.tid, 'sql:unknown.' || substr(sid, 1, 8) AS storage_id, f.f2, f.cwe FROM x_flows f JOIN x_sinks k USING (sid) WHERE k.class IN ('sql.exec', 'sql_column')) """
+#: Columns that INSERT and UPDATE texts name; without a text the sink names the place.
+_WROTE = with_sql("x_sources", "x_flows", "x_sinks") + """, own AS (SELECT f.* FROM x_flows f JOIN x_sinks k USING (sid) WHERE k.class IN ('sql.exec', 'sql_column')),
+  w AS (SELECT DISTINCT fid, tid, 'sql:' || q_table || '.' || unnest(['id', q_column]) AS storage_id, f2, cwe FROM own WHERE q_table IS NOT NULL
+    UNION ALL SELECT fid, tid, 'sql:unknown.' || substr(sid, 1, 8), f2, cwe FROM own WHERE q_table IS NULL) """
 
 
 @query(_WROTE + "SELECT storage_id, fid AS flow_id, tid AS source_tid FROM w")
@@ -393,14 +410,15 @@ def storage_round1(spark, d):
     return storage.writes(x.flows(spark, d), x.sinks(spark, d))[1].select("storage_id", "flow_id", "source_tid")
 
 
-_TAINT = _WROTE + ", t AS (SELECT storage_id, 'T-stored-' || substr(sha1(storage_id), 1, 12) AS derived_tid, list(DISTINCT tid ORDER BY tid) AS tids FROM w GROUP BY storage_id) "
+_TAINT = _WROTE + """, t AS (SELECT storage_id, 'T-stored-' || substr(sha1(storage_id), 1, 12) AS derived_tid, list(DISTINCT tid ORDER BY tid) AS tids FROM w WHERE storage_id <> 'sql:t3.c1' GROUP BY storage_id) """
 
 
 def _taint(spark, d):
-    from ..schemas import empty
-
-    wrote = storage.writes(x.flows(spark, d), x.sinks(spark, d))[1]
-    return wrote, storage.derive(wrote, empty(spark, "storage_taint"))
+    """Writes, written down once, and what they derive beside a location that is known to be tainted already."""
+    relational.ensure_checkpoint_dir(spark)
+    wrote = storage.writes(x.flows(spark, d), x.sinks(spark, d))[1].checkpoint()
+    known = spark.createDataFrame([("sql:t3.c1",)], "storage_id string").select("storage_id", ids.derived_tid("storage_id").alias("derived_tid"), F.array().cast("array<string>").alias("contributing_tids"), F.lit("definite").alias("confidence"))
+    return wrote, storage.derive(wrote, known)
 
 
 @query(_TAINT + "SELECT storage_id, derived_tid, array_to_string(tids, ',') AS tids FROM t")
@@ -409,17 +427,16 @@ def storage_derive(spark, d):
 
 
 @query(
-    with_sql("x_sources", "x_flows", "x_sinks")
-    + """, w AS (SELECT f.fid, f.tid, 'sql:unknown.' || substr(sid, 1, 8) AS storage_id, f.f2 FROM x_flows f JOIN x_sinks k USING (sid) WHERE k.class IN ('sql.exec', 'sql_column')),
-  t AS (SELECT storage_id, 'T-stored-' || substr(sha1(storage_id), 1, 12) AS derived_tid, min(tid) AS first_tid FROM w GROUP BY storage_id),
-  pairs AS (SELECT DISTINCT storage_id, tid FROM w), n AS (SELECT storage_id, cwe, count(*) AS n, min(f.fid) AS seen FROM pairs JOIN x_flows f USING (tid) WHERE cwe IS NOT NULL GROUP BY ALL),
+    _TAINT
+    + """, pairs AS (SELECT DISTINCT storage_id, tid FROM w), n AS (SELECT storage_id, cwe, count(*) AS n, min(f.fid) AS seen FROM pairs JOIN x_flows f USING (tid) WHERE cwe IS NOT NULL GROUP BY ALL),
   c AS (SELECT storage_id, cwe FROM (SELECT *, row_number() OVER (PARTITION BY storage_id ORDER BY n DESC, seen) AS r FROM n) WHERE r = 1),
   l AS (SELECT storage_id, arg_min(f2, fid) AS wrote FROM w GROUP BY storage_id), rd AS (SELECT storage_id, 'read:r.js:' || length(storage_id) AS rd FROM t),
-  i AS (SELECT *, 'S-r2-' || substr(sha1(storage_id || chr(31) || rd), 1, 12) AS sid FROM t JOIN rd USING (storage_id) LEFT JOIN c USING (storage_id) LEFT JOIN l USING (storage_id) LEFT JOIN x_sources s ON s.tid = first_tid)
+  i AS (SELECT *, 'S-r2-' || substr(sha1(storage_id || chr(31) || rd), 1, 12) AS sid FROM t JOIN rd USING (storage_id) LEFT JOIN c USING (storage_id) LEFT JOIN l USING (storage_id) LEFT JOIN x_sources s ON s.tid = t.tids[1])
   SELECT 'f-r2-' || substr(sha1(derived_tid || chr(31) || sid), 1, 12) AS fid, derived_tid AS tid, sid, coalesce(cwe, '') AS cwe, evidence_loc AS origin, wrote, rd AS read FROM i"""
 )
 def storage_round2(spark, d):
     wrote, taint = _taint(spark, d)
+    taint = taint.checkpoint()
     reads = taint.select("storage_id", F.concat(F.lit("read:r.js:"), F.length("storage_id").cast("string")).alias("symbol_id"), F.lit(None).cast("string").alias("result_binding_id"))
     made = storage.round_two(taint, reads, wrote, x.flows(spark, d), x.sources(spark, d))
     step = lambda i: F.element_at("steps", i)["file"]
@@ -429,16 +446,15 @@ def storage_round2(spark, d):
 @query(
     "WITH e AS (SELECT 'd/e' || event_id || '.js' AS path, event_id % 9 + 1 AS line, CASE event_type WHEN 'click' THEN 'cache.get(`user:${' || 'id}:p' || (event_id % 4) || '`)' WHEN 'view' THEN 'queue.process(' || chr(34) || 'jobs' || chr(34) || ')' ELSE 'nothing()' END AS code FROM events),"
     " k AS (SELECT * FROM (VALUES ('cache:user:*:p1', 'cache_key', '(?i)user:[^`''\"\\s]*:p1'), ('queue:jobs', 'queue_topic', '(?i)jobs')) v(storage_id, kind, p))"
-    " SELECT storage_id, 'read:' || path || ':' || line AS symbol_id FROM e JOIN k ON (kind = 'cache_key' AND code LIKE 'cache.get(%' OR kind = 'queue_topic' AND code LIKE 'queue.process(%') AND regexp_matches(code, p)"
+    " SELECT storage_id, 'read:' || path || ':' || line AS symbol_id FROM e JOIN k ON (kind = 'cache_key' AND code LIKE 'cache.get(%' OR kind = 'queue_topic' AND code LIKE 'queue.process(%') AND regexp_matches(code, p) WHERE NOT (storage_id = 'queue:jobs' AND line = 5)"
 )
 def dynamic_reads(spark, d):
-    from ..schemas import empty
-
     e = table(spark, d, "events")
     code = F.when(F.col("event_type") == "click", F.concat(F.lit("cache.get(`user:${id}:p"), (F.col("event_id") % 4).cast("string"), F.lit("`)"))).when(F.col("event_type") == "view", 'queue.process("jobs")').otherwise("nothing()")
     files = e.select(F.concat(F.lit("d/e"), F.col("event_id").cast("string"), F.lit(".js")).alias("path"), F.concat(F.expr("repeat('\\n', cast(event_id % 9 as int))"), code).alias("content"))
     keys = spark.createDataFrame([("cache:user:*:p1", "cache_key"), ("queue:jobs", "queue_topic")], "storage_id STRING, kind STRING")
-    return storage.dynamic_reads(files, keys, empty(spark, "storage_reads")).select("storage_id", "symbol_id")
+    there = e.where("event_id % 9 = 4").select(F.lit("queue:jobs").alias("storage_id"), F.format_string("read:d/e%d.js:5", "event_id").alias("symbol_id"))
+    return storage.dynamic_reads(files, keys, there).select("storage_id", "symbol_id")
 
 
 @query(
@@ -456,15 +472,17 @@ def unresolved_calls(spark, d):
 
 @query(
     with_sql("x_flows", "x_sources", "x_sinks", "x_symbols")
-    + """ SELECT file, 'symbol' AS kind, id FROM x_symbols UNION ALL SELECT split_part(evidence_loc, ':', 1), 'source', tid FROM x_sources UNION ALL SELECT y.file, 'sink', sid FROM x_sinks JOIN x_symbols y ON y.id = symbol_id
-  UNION ALL SELECT split_part(evidence_loc, ':', 1), 'flow', fid FROM x_flows JOIN x_sources USING (tid) WHERE n2 = 5"""
+    + _ENTRY.replace("WITH ", ", ", 1)
+    + """, o AS (SELECT CASE WHEN line % 5 <> 0 THEN symbol_id END AS symbol_id, kind, signature, file FROM e)
+  SELECT file, 'symbol' AS kind, id FROM x_symbols UNION ALL SELECT split_part(evidence_loc, ':', 1), 'source', tid FROM x_sources UNION ALL SELECT y.file, 'sink', sid FROM x_sinks JOIN x_symbols y ON y.id = symbol_id
+  UNION ALL SELECT split_part(evidence_loc, ':', 1), 'flow', fid FROM x_flows JOIN x_sources USING (tid)
+  UNION ALL SELECT y.file, 'entrypoint', signature || ' ' || symbol_id FROM o JOIN x_symbols y ON y.id = symbol_id UNION ALL SELECT file, 'entrypoint', signature || ' -' FROM o WHERE symbol_id IS NULL"""
 )
 def sidecar_records(spark, d):
-    from ..schemas import empty
-
-    flows = x.flows(spark, d).where(F.element_at("steps", -1)["start"] == 5)
-    rows = code_views.sidecar_records(x.symbols(spark, d), x.sources(spark, d), x.sinks(spark, d), flows, empty(spark, "entrypoints"))
-    return rows.select("file", "kind", F.get_json_object("record", "$.id").alias("id"))
+    entries = findings.entrypoints(x.xrefs(spark, d)).withColumn("symbol_id", F.when(F.col("line") % 5 != 0, F.col("symbol_id")))
+    rows = code_views.sidecar_records(x.symbols(spark, d), x.sources(spark, d), x.sinks(spark, d), x.flows(spark, d), entries)
+    get = lambda k: F.get_json_object("record", f"$.{k}")
+    return rows.select("file", "kind", F.coalesce(get("id"), F.concat_ws(" ", get("signature"), F.coalesce(get("symbol_id"), F.lit("-")))).alias("id"))
 
 
 @query("SELECT url AS file, trim(unnest(regexp_extract_all(html, '(?is)<script\\b[^>]*>(.*?)</script\\s*>', 1))) AS code FROM pages")
@@ -528,12 +546,11 @@ def latest_run(spark, d):
 
 
 @query(
-    "WITH RECURSIVE e AS (SELECT DISTINCT l_partkey % 300 AS src, l_suppkey % 300 AS dst FROM lineitem WHERE l_quantity < 2), r(root, node, steps) AS (SELECT 7, 7, 0 UNION SELECT root, dst, steps + 1 FROM r JOIN e ON src = node WHERE steps < 4) SELECT root::BIGINT AS root, node::BIGINT AS node, min(steps) AS steps FROM r GROUP BY 1, 2"
+    "WITH RECURSIVE e AS (SELECT DISTINCT l_partkey % 300 AS src, l_suppkey % 300 AS dst FROM lineitem), r(root, node, steps) AS (SELECT DISTINCT src, src, 0 FROM e UNION SELECT root, dst, steps + 1 FROM r JOIN e ON src = node WHERE steps < 2) SELECT root::BIGINT AS root, node::BIGINT AS node, min(steps) AS steps FROM r GROUP BY 1, 2"
 )
 def reachability(spark, d):
-    li = table(spark, d, "lineitem").where("l_quantity < 2")
-    edges = li.select((F.col("l_partkey") % 300).alias("src"), (F.col("l_suppkey") % 300).alias("dst")).distinct()
-    return relational.reachable(edges, spark.createDataFrame([(7,)], "node bigint"), 4)
+    edges = table(spark, d, "lineitem").select((F.col("l_partkey") % 300).alias("src"), (F.col("l_suppkey") % 300).alias("dst")).distinct()
+    return relational.reachable(edges, edges.select(F.col("src").alias("node")).distinct(), 2)
 
 
 @query("SELECT o_custkey AS k, count(*) AS n, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END)::BIGINT AS f FROM orders GROUP BY 1 HAVING count(*) > 3")

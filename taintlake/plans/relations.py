@@ -23,8 +23,10 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     confidence = F.when((F.col("l_linestatus") == "F") & (n == 0), "definite").when(n == 1, "inferred").when(n == 2, "llm-suggested").otherwise("unknown")
     file = F.concat(F.lit("src/f"), (F.col("l_orderkey") % 100).cast("string"), F.lit(".js"))
     null = F.lit(None).cast("string")
-    step = lambda f, line: F.struct(f.alias("file"), line.cast("int").alias("start"), line.cast("int").alias("end"), null.alias("snippet"))
-    two = F.array(step(file, F.col("l_orderkey")), step(F.concat(F.lit("lib/"), file), F.col("l_linenumber")))
+    table_name, column = F.concat(F.lit("t"), (F.col("l_suppkey") % 7).cast("string")), F.concat(F.lit("c"), (F.col("l_partkey") % 5).cast("string"))
+    sql = F.when(F.col("l_linenumber") % 3 == 0, F.format_string("INSERT INTO %s (id, %s) VALUES (?, ?)", table_name, column)).when(F.col("l_linenumber") % 3 == 1, F.format_string("UPDATE %s SET %s = ? WHERE id = ?", table_name, column))
+    step = lambda f, line, code: F.struct(f.alias("file"), line.cast("int").alias("start"), line.cast("int").alias("end"), code.alias("snippet"))
+    two = F.array(step(file, F.col("l_orderkey"), null), step(F.concat(F.lit("lib/"), file), F.col("l_linenumber"), sql))
     steps = F.when(F.col("l_linenumber") == 7, F.slice(two, 1, 1)).otherwise(two)
     return li.select(
         ids.stable_id("flow", *key).alias("fid"), F.concat(F.lit("T-"), F.col("l_partkey").cast("string")).alias("tid"), F.concat(F.lit("K-"), F.col("l_suppkey").cast("string")).alias("sid"),
@@ -72,7 +74,7 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     names = F.array(*map(F.lit, ("verifyToken", "apiXkey", "api_key", "requireRole", "is_owner", "render", "Guard", "hasAccess", "parse", "checkauth")))
     n = F.col("event_id")
-    return e.where("event_id < 400").select(
+    return e.select(
         F.concat(F.lit("S-"), n.cast("string")).alias("id"), F.concat(F.lit("sym"), n.cast("string")).alias("sym"), F.lit("function").alias("kind"),
         F.concat(F.lit("src/f"), (n % 50).cast("string"), F.lit(".js")).alias("file"), (n % 30 + 1).cast("int").alias("range_start"), (n % 30 + 5).cast("int").alias("range_end"), F.lit(None).cast("string").alias("type"),
         F.element_at(names, (n % 10 + 1).cast("int")).alias("display_name"), n.alias("ord"),
@@ -88,13 +90,14 @@ SQL = {
   CASE WHEN l_linestatus = 'F' AND l_linenumber % 4 = 0 THEN 'definite' WHEN l_linenumber % 4 = 1 THEN 'inferred' WHEN l_linenumber % 4 = 2 THEN 'llm-suggested' ELSE 'unknown' END AS confidence,
   'src/f' || (l_orderkey % 100) || '.js' AS f1, l_orderkey AS n1,
   CASE WHEN l_linenumber = 7 THEN 'src/f' || (l_orderkey % 100) || '.js' ELSE 'lib/src/f' || (l_orderkey % 100) || '.js' END AS f2,
-  CASE WHEN l_linenumber = 7 THEN l_orderkey ELSE l_linenumber END AS n2, l_linenumber = 7 AS one FROM lineitem)""",
+  CASE WHEN l_linenumber = 7 THEN l_orderkey ELSE l_linenumber END AS n2, l_linenumber = 7 AS one,
+  CASE WHEN l_linenumber <> 7 AND l_linenumber % 3 <> 2 THEN 't' || (l_suppkey % 7) END AS q_table, 'c' || (l_partkey % 5) AS q_column FROM lineitem)""",
     "x_sources": """x_sources AS (SELECT 'T-' || p_partkey AS tid, CASE WHEN p_partkey % 5 <> 0 THEN 'S-' || (p_partkey % 40) END AS symbol_id, p_type AS class, p_brand AS key,
   'src/f' || (p_partkey % 50) || '.js:' || p_size AS evidence_loc FROM part)""",
     "x_sinks": """x_sinks AS (SELECT 'K-' || s_suppkey AS sid, 'S-' || (s_suppkey % 40) AS symbol_id, (['sql.exec', 'html', 'shell', 'file', 'sql_column'])[s_nationkey % 5 + 1] AS class,
   s_name AS lib, CASE WHEN s_suppkey % 2 = 0 THEN 'bound' ELSE 'template-literal' END AS parameterization FROM supplier)""",
     "x_symbols": """x_symbols AS (SELECT 'S-' || event_id AS id, 'function' AS kind, 'src/f' || (event_id % 50) || '.js' AS file, event_id % 30 + 1 AS range_start, event_id % 30 + 5 AS range_end,
-  (['verifyToken', 'apiXkey', 'api_key', 'requireRole', 'is_owner', 'render', 'Guard', 'hasAccess', 'parse', 'checkauth'])[event_id % 10 + 1] AS display_name, event_id AS ord FROM events WHERE event_id < 400)""",
+  (['verifyToken', 'apiXkey', 'api_key', 'requireRole', 'is_owner', 'render', 'Guard', 'hasAccess', 'parse', 'checkauth'])[event_id % 10 + 1] AS display_name, event_id AS ord FROM events)""",
 }
 
 

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import schemas
 
-#: Plans whose root is one of these change or administer something.
-_WRITES = ("Command", "InsertInto", "CreateTable", "CreateView", "DropTable", "DropView", "DeleteFrom", "UpdateTable", "MergeInto", "Overwrite", "AppendData", "SetCatalog", "CacheTable", "Truncate", "AlterTable", "ReplaceTable", "CreateNamespace", "DropNamespace", "LoadData", "AddPartitions", "RefreshTable", "UncacheTable", "CreateFunction", "DropFunction")
+#: What a query is made of before names are resolved; a statement with anything else in it is refused.
+_QUERY = frozenset(
+    "Aggregate Distinct Except Expand Filter Generate GlobalLimit InlineCTE Intersect Join LateralJoin LocalLimit LocalRelation Offset OneRowRelation ParameterizedQuery Pivot Project "
+    "Range ResolvedInlineTable Sample Sort SubqueryAlias Tail Transpose UnresolvedHaving UnresolvedHint UnresolvedInlineTable UnresolvedOrdinal UnresolvedPivot UnresolvedRelation "
+    "UnresolvedSubqueryColumnAliases UnresolvedTVFAliases UnresolvedTableValuedFunction UnresolvedUnpivot UnresolvedWith Union UnionLoop Unpivot Window With WithWindowDefinition".split()
+)
+#: Functions that call into the driver's or executors' process.
+_CALLS = re.compile(r"(?i)\b(?:try_)?reflect`?\s*\(|\bjava_method`?\s*\(")
 
 
 class ReadOnlyError(ValueError):
@@ -23,27 +31,33 @@ class Surface:
             tables.get(name, schemas.empty(spark, name)).createOrReplaceTempView(name)
         for name, frame in tables.items():
             frame.createOrReplaceTempView(name)
-        spark.sql(_GROUPED.format(name="v_sources_to_sinks", first="t.class", second="k.class"))
-        spark.sql(_GROUPED.format(name="v_sinks_from_sources", first="k.class", second="t.class"))
+        for name, ends in (("v_sources_to_sinks", "source_symbol_id, sink_symbol_id"), ("v_sinks_from_sources", "sink_symbol_id, source_symbol_id")):
+            spark.sql(_GROUPED.format(name=name, ends=ends))
 
     def sql(self, query: str) -> DataFrame:
+        """The result of a query; commands, scripts, writes, files by path and calls into the process are refused."""
         plan = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
         stack = [plan]
         while stack:
             node = stack.pop()
             kind = node.getClass().getSimpleName()
-            if any(w in kind for w in _WRITES):
-                raise ReadOnlyError(f"only queries are allowed; this is {kind}")
-            children = node.children()
-            stack += [children.apply(i) for i in range(children.size())]
+            if kind not in _QUERY:
+                raise ReadOnlyError(f"only queries are allowed; this has {kind}")
+            if kind == "UnresolvedRelation" and node.multipartIdentifier().size() > 1:
+                raise ReadOnlyError(f"only the index tables can be read, not {node.name()}")
+            for below in (node.children(), node.innerChildren(), node.subqueries()):
+                stack += [below.apply(i) for i in range(below.size()) if hasattr(below.apply(i), "subqueries")]
+        if _CALLS.search(query):
+            raise ReadOnlyError("functions that call into the process are not allowed")
         return self.spark.sql(query)
 
 
+#: Flows by the symbols of both ends; ids and CWEs (nulls kept) in the order of ids.
 _GROUPED = """
 CREATE OR REPLACE TEMP VIEW {name} AS
-SELECT t.symbol_id AS source_symbol, k.symbol_id AS sink_symbol, {first} AS near_class, {second} AS far_class,
-       transform(r, x -> x.fid) AS fids, transform(r, x -> x.cwe) AS cwes
+SELECT {ends}, transform(r, x -> x.fid) AS fids, transform(r, x -> x.cwe) AS cwes
 FROM (
-  SELECT f.tid, f.sid, array_sort(collect_list(struct(f.fid, f.cwe))) AS r FROM flows f GROUP BY f.tid, f.sid
-) g JOIN taint_sources t ON t.tid = g.tid JOIN taint_sinks k ON k.sid = g.sid
+  SELECT t.symbol_id AS source_symbol_id, k.symbol_id AS sink_symbol_id, array_sort(collect_list(struct(f.fid, f.cwe))) AS r
+  FROM flows f JOIN taint_sources t ON t.tid = f.tid JOIN taint_sinks k ON k.sid = f.sid GROUP BY t.symbol_id, k.symbol_id
+)
 """

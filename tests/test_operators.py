@@ -165,7 +165,8 @@ def test_taint_through_storage(spark):
     assert {(r.storage_id, r.symbol_id) for r in state["storage_reads"].collect()} == {("sql:users.bio", "read:r.js:1")}
     new = [r for r in state["flows"].collect() if r.engine == "storage-taint-r2"]
     assert [(r.cwe, r.confidence, [s.file for s in r.steps]) for r in new] == [("CWE-79", "inferred", ["in.js:4", "w.js", "read:r.js:1"])]
-    assert state["rounds"] == 2
+    assert state["rounds"] == 2 and state["converged"]
+    assert not storage.fixpoint(flows, sources, sinks, texts, max_rounds=1)["converged"]
     again = storage.fixpoint(state["flows"], state["taint_sources"], state["taint_sinks"], texts)
     assert again["flows"].count() == state["flows"].count()
 
@@ -277,11 +278,31 @@ def test_read_only_surface(spark):
     s = Surface(spark, {"flows": flow(spark, ("F1", "C", "codeql", "inferred", TWO))})
     assert s.sql("SELECT count(*) AS n FROM flows").first().n == 1
     assert s.sql("SELECT * FROM v_sources_to_sinks").count() == 0
-    for bad in ("DROP TABLE flows", "INSERT INTO flows SELECT * FROM flows", "CREATE TEMP VIEW x AS SELECT 1", "SET x = 1", "DELETE FROM flows", "CREATE TABLE t AS SELECT 1"):
+    assert s.sql("WITH a AS (SELECT sid FROM flows) SELECT f.fid, (SELECT max(sid) FROM a) AS m FROM flows f WHERE EXISTS (SELECT 1 FROM a) ORDER BY fid LIMIT 3").count() == 1
+    assert s.sql("SELECT fid FROM flows LATERAL VIEW explode(steps) t AS s UNION SELECT sid FROM (VALUES ('x')) v(sid)").count() == 2
+    assert s.sql("SELECT * FROM v_sources_to_sinks").columns == ["source_symbol_id", "sink_symbol_id", "fids", "cwes"]
+    assert s.sql("SELECT * FROM v_sinks_from_sources").columns == ["sink_symbol_id", "source_symbol_id", "fids", "cwes"]
+    refused = (
+        "EXECUTE IMMEDIATE 'CREATE TABLE t (a int)'", "BEGIN CREATE TABLE t (a int); END", "CREATE TEMP VIEW v USING csv OPTIONS (path '/etc/hostname')", "DECLARE VARIABLE v INT",
+        "SELECT * FROM csv.`/etc/hostname`", "SELECT reflect('java.lang.System', 'exit', '1')", "SELECT (SELECT count(*) FROM text.`/etc/hostname`) FROM flows", "ADD JAR x", "SHOW TABLES", "CACHE TABLE flows",
+        "WITH a AS (SELECT * FROM parquet.`/x`) SELECT * FROM a", "CALL x()", "MERGE INTO flows USING flows f ON true WHEN MATCHED THEN DELETE", "TRUNCATE TABLE flows", "EXPLAIN SELECT 1",
+    )
+    for bad in (*refused, "DROP TABLE flows", "INSERT INTO flows SELECT * FROM flows", "CREATE TEMP VIEW x AS SELECT 1", "SET x = 1", "DELETE FROM flows", "CREATE TABLE t AS SELECT 1"):
         with pytest.raises(ReadOnlyError):
             s.sql(bad)
 
 
+def test_views_group_by_symbols(spark):
+    """Two flows between the same symbols are one row, whatever their sources and sinks; flows without a symbol are a group."""
+    f = flow(spark, ("F2", "C", "codeql", "inferred", TWO), ("F1", None, "joern", "inferred", TWO)).withColumn("tid", F.when(F.col("fid") == "F1", "T1").otherwise("T2"))
+    f = f.withColumn("sid", F.lit("K"))
+    sources = spark.createDataFrame([("T1", "S1", "c", "k", "a:1"), ("T2", "S1", "d", "k", "a:2")], schemas.TABLES["taint_sources"])
+    sinks = spark.createDataFrame([("K", None, "sql.exec", "pg", "", [])], schemas.TABLES["taint_sinks"])
+    s = Surface(spark, {"flows": f, "taint_sources": sources, "taint_sinks": sinks})
+    assert [tuple(r) for r in s.sql("SELECT * FROM v_sources_to_sinks").collect()] == [("S1", None, ["F1", "F2"], [None, "C"])]
+    assert [tuple(r) for r in s.sql("SELECT * FROM v_sinks_from_sources").collect()] == [(None, "S1", ["F1", "F2"], [None, "C"])]
+
+
 def test_phases():
     assert reports.select_phases(first="analyze", last="validate") == ["analyze", "gate-2", "validate"]
     assert reports.select_phases("report,prep") == ["prep", "report"]
@@ -315,12 +336,39 @@ def test_streams(spark, tmp_path):
     src.mkdir()
     row = lambda n: json.dumps({"fid": f"F{n % 3}", "source_file": "a", "source_line": n, "sink_file": "b", "sink_line": 1, "source_name": "s", "sink_name": "k", "cwe": "C", "sink_class": "x"})
     (src / "1.jsonl").write_text("\n".join([row(1), "bad", row(2)]))
-    run = lambda: streams.upsert_into(streams.graph_flows(spark, str(src), "/r"), str(tmp_path / "out"), ["fid"], str(tmp_path / "cp")).awaitTermination()
+    run = lambda: streams.upsert_into(streams.graph_flows(spark, str(src), "/r"), str(tmp_path / "out"), ["fid"], ["tid"], str(tmp_path / "cp"), 4).awaitTermination()
     run()
     (src / "2.jsonl").write_text(row(4))
     run()
-    got = {r.fid: r.steps[0].start for r in spark.read.parquet(str(tmp_path / "out/v=1")).collect()}
-    assert got == {"F1": 4, "F2": 2}
+    got = streams.latest(spark, str(tmp_path / "out"), streams.graph_flows(spark, str(src), "/r").schema).collect()
+    assert {r.fid for r in got} == {"F1", "F2"} and len(got) == 2
+    assert len(list((tmp_path / "out/in_batch=1").glob("in_bucket=*"))) == 1
+
+
+def test_late_rows_do_not_win(spark, tmp_path):
+    """The last by event time stays, however rows are dealt to batches; only touched buckets get a new version."""
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    src.mkdir()
+    ddl = "k string, t timestamp, v int"
+    for i, rows in enumerate(([("a", 5, 1), ("b", 5, 1)], [("a", 3, 2), ("a", 4, 3)], [("b", 6, 4), ("c", 1, 5)])):
+        (src / f"{i}.jsonl").write_text("\n".join(json.dumps({"k": k, "t": f"2026-01-0{t} 00:00:00", "v": v}) for k, t, v in rows))
+        streams.upsert_into(spark.readStream.schema(ddl).json(str(src)), out, ["k"], ["t", "v"], str(tmp_path / "cp"), 8).awaitTermination()
+    schema = spark.createDataFrame([], ddl).schema
+    assert {(r.k, r.v) for r in streams.latest(spark, out, schema).collect()} == {("a", 1), ("b", 4), ("c", 5)}
+    assert {(r.k, r.v) for r in streams.latest(spark, out, schema, 1).collect()} == {("a", 1), ("b", 1)}
+
+
+def test_watermarks_drop_late_rows(spark, tmp_path):
+    """On a stream, windows close behind the watermark: a row that comes later than it is left out."""
+    src, out = tmp_path / "in", tmp_path / "out"
+    src.mkdir()
+    files = [["2026-01-01 00:01:00", "2026-01-01 00:02:00"], ["2026-01-01 03:00:00"], ["2026-01-01 00:03:00", "2026-01-01 06:00:00"], ["2026-01-01 09:00:00"]]
+    for i, times in enumerate(files):
+        (src / f"{i}.jsonl").write_text("\n".join(json.dumps({"t": t, "k": "a"}) for t in times))
+        stream = streams.windowed_counts(spark.readStream.schema("t timestamp, k string").json(str(src)), "t", ["k"])
+        stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(out)).awaitTermination()
+    got = {(str(r.start), r.n) for r in spark.read.parquet(str(out)).collect()}
+    assert ("2026-01-01 00:00:00", 2) in got and ("2026-01-01 03:00:00", 1) in got
 
 
 def test_stream_windows(spark):

@@ -9,20 +9,23 @@ which meets every pair within distance 1 once. Pairs from a cell must pass the M
 over all coordinates, then the exact count of differing bits, both inside the join.
 
 Three bits of 64 find copies with hardly an edit. ``alike_groups`` finds every two texts whose sets of
-five-word shingles (64-bit hashes of them) have a Jaccard similarity of 0.8 or more, exactly. Under any
-one order of all shingles, the first n - ceil(0.8 n) + 1 of the n of such texts have one in common, so
-texts meet by those (the order puts what a sample knows as common last, which only saves work), and
-their whole sets are compared. To spare the pairs inside a large group, all texts of a shingle
-are first compared with two of them; then only those that are not yet in one group. ``similar_groups``
-estimates from the bits of several fingerprints instead.
+five-word shingles (64-bit hashes of them) have a Jaccard similarity of 0.8 or more, exactly. A set is a fingerprint of
+very many bits; no grid of popcounts is selective at the distance of two ninths of all shingles, so another
+way bounds the candidates: under any one order of all shingles, the first n - ceil(0.8 n) + 1 of the n of such texts have
+one in common. Texts meet by those, if their sizes and the places of the common shingle allow the similarity, and
+their whole sets are compared. The order puts last what a sample knows as common, which only saves work; so does that
+all texts of a shingle are first compared with one of them (that with the fewest rare shingles, as an original has among its
+copies), then, where they are not in one group yet, with one outside its group, and only then with each other. Shingles of very
+many texts are salted: each salt's texts meet one of theirs, and these meet as those of one shingle.
 
 Counts are kept in unary (00, 01, 11), so that the Manhattan distance of two points is the
 number of differing bits of their codes. Copies are one point; a point has some 26 rows of three longs.
 
 Defined results: null text and text without a word have fingerprint zero and link like any
-other; rows with null ``doc_id`` take part, and are their component's name never (null if it has
-no other rows); rows with equal ``doc_id`` are one document; repeated rows give repeated results;
-an empty table gives no row.
+other, those without a word only with each other in ``alike_groups``; rows with null ``doc_id`` take part, and are their component's
+name never (null if it has no other rows); rows with equal ``doc_id`` are one document, so their texts are linked; repeated
+rows give repeated results; a very long text is hashed in sections; other columns, of whatever name, are not read by
+``near_duplicates``, and ``keep_one`` returns them as they are; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -35,52 +38,37 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, checkpointed, shared_dir, utf8
+from .common import LOWER_ASCII, checkpointed, map_slices, shared_dir, utf8
 
 SEED = 42
 #: The bound that the two halves of the grid are made for: 3 = 1 + 2.
 MOST_BITS = 3
 _LOW = 0x5555555555555555
-#: For estimates: hashes, words of a shingle, and differing bits of all.
-HASHES, WIDTH, MOST_APART = 8, 2, 54
 #: For exact sets: words of a shingle; the least Jaccard similarity is 4 / 5.
 ALIKE_WIDTH = 5
 #: One text in so many is sampled for common shingles; those in COMMON_LEAST of the sample are, COMMON_MOST at most.
-SAMPLE, COMMON_LEAST, COMMON_MOST = 8, 3, 100_000
+SAMPLE, COMMON_LEAST, COMMON_MOST = 32, 3, 100_000
+#: Texts of one shingle, or compared with one text, that a task handles together.
+PER_SALT = 5000
+#: Rows (of two longs and two numbers) up to which what is asked for is broadcast: some 32 MB; beyond it the texts are shuffled.
+FEW = 500_000
 #: Names of groups without a ``doc_id`` start here.
 _NAMELESS = 1 << 62
 
 
 def fingerprint(text: bytes, width: int = 3) -> int:
     """Of a text in UTF-8; a bit is set if over half of the shingles' hashes have it."""
-    return fingerprint_set(text, width, 1)[0]
-
-
-def fingerprint_set(text: bytes, width: int, hashes: int) -> list[int]:
-    """Fingerprints by several hashes of the shingles; the first is ``fingerprint``."""
     words = text.translate(LOWER_ASCII).split()
     if not words:
-        return [0] * hashes
+        return 0
     of = xxhash.xxh64_intdigest
-    ones, n = np.zeros((hashes, 64), dtype=np.int64), max(1, len(words) - width + 1)
+    ones, n = np.zeros(64, dtype=np.int64), max(1, len(words) - width + 1)
     for start in range(0, n, 1 << 15):
         part = words[start : start + (1 << 15) + width - 1]
         shingles = map(b" ".join, zip(*(part[i:] for i in range(width)))) if len(part) > width else [b" ".join(part)]
         h = np.fromiter((of(x, SEED) for x in shingles), dtype=np.uint64)
-        for k in range(hashes):
-            bits = np.unpackbits(_again(h, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones[k] += bits.sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8")[:, 0].tolist()
-
-
-def _again(h: np.ndarray, k: int) -> np.ndarray:
-    """The k-th hash, from the first."""
-    if not k:
-        return h
-    h = h + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -93,7 +81,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
     place = shared_dir(spark, "simhash")
-    docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, fp bigint").write.parquet(place)
+    map_slices(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, "doc_id bigint, fp bigint", 1).write.parquet(place)
     return spark.read.schema("doc_id bigint, fp bigint").parquet(place)
 
 
@@ -165,7 +153,11 @@ def clusters(fps: DataFrame) -> DataFrame:
     """fp, component_id and group (component_id, or a name in its place) of every distinct fingerprint of ``fps`` (doc_id, fp)."""
     nameless = F.lit(_NAMELESS).bitwiseOR(F.shiftrightunsigned("fp", 2))
     groups = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("first")).select("fp", F.coalesce("first", nameless).alias("node")))
-    found = components(near_pairs(groups))
+    #: Fingerprints of one doc_id belong together.
+    named = fps.where("doc_id is not null").join(groups, "fp").select("doc_id", "node").distinct()
+    several = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("high")).where("a != high").select("doc_id", "a")
+    again = named.join(several, "doc_id").where("node != a").select("a", F.col("node").alias("b"))
+    found = components(near_pairs(groups).unionByName(again))
     whole = groups.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("group"))
     return whole.select("fp", F.when(F.col("group") < _NAMELESS, F.col("group")).alias("component_id"), "group")
 
@@ -177,35 +169,6 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar_groups(docs: DataFrame, width: int = WIDTH, hashes: int = HASHES, most_apart: int = MOST_APART) -> DataFrame:
-    """fps (all fingerprints of a text), component_id and group of every distinct set of fingerprints."""
-    spark = docs.sparkSession
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.array([fingerprint_set(t or b"", width, hashes) for t in utf8(batch.column(1))], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(found), pa.list_(pa.int64()))], names=["doc_id", "fps"])
-
-    place = shared_dir(spark, "simhash")
-    ddl = "doc_id bigint, fps array<bigint>"
-    docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, ddl).write.parquet(place)
-    nameless = F.lit(_NAMELESS).bitwiseOR(F.shiftrightunsigned(F.xxhash64("fps"), 2))
-    sets = spark.read.schema(ddl).parquet(place).groupBy("fps").agg(F.min("doc_id").alias("first"))
-    sets = checkpointed(sets.select("fps", F.coalesce("first", nameless).alias("node")))
-    each = sets.select("node", F.posexplode("fps").alias("hash", "fp"))
-    points = checkpointed(each.groupBy("hash", "fp").agg(F.min("node").alias("node")))
-    #: Sets that share one of their fingerprints meet at the smallest of them.
-    shared = each.join(points.withColumnRenamed("node", "b"), ["hash", "fp"]).where("node != b").select(F.col("node").alias("a"), "b")
-    near = near_pairs(points).unionByName(shared)
-    pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    side = lambda n, f: sets.select(F.col("node").alias(n), F.col("fps").alias(f))
-    apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    links = pairs.join(side("a", "fa"), "a").join(side("b", "fb"), "b").where(apart <= most_apart).select("a", "b")
-    found = components(links)
-    whole = sets.join(found, "node", "left").select("fps", F.coalesce("component", "node").alias("group"))
-    return whole.select("fps", F.when(F.col("group") < _NAMELESS, F.col("group")).alias("component_id"), "group")
-
-
 def shingle_set(text: bytes, width: int = ALIKE_WIDTH) -> np.ndarray:
     """Distinct hashes of the shingles, sorted; a text of fewer words is one shingle, one without a word has none."""
     words = text.translate(LOWER_ASCII).split()
@@ -223,133 +186,301 @@ def _set_id(own: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view(np.int64))
 
 
-def first_shingles(own: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Those of a set that every set of similarity 0.8 shares one with: ``common`` (sorted) comes last, by ``rank``."""
+def first_shingles(own: np.ndarray, common: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, int]:
+    """Those of a set that every set of similarity 0.8 shares one with: ``common`` (sorted) comes last, by ``rank``.
+
+    Also how many of the whole set are not common.
+    """
     need = len(own) - (4 * len(own) + 4) // 5 + 1
     if not len(common):
-        return own[:need]
+        return own[:need], len(own)
     at = np.minimum(np.searchsorted(common, own), len(common) - 1)
     known = common[at] == own
     rare = own[~known]
     if len(rare) >= need:
-        return rare[:need]
+        return rare[:need], len(rare)
     late = at[known]
-    return np.concatenate([rare, common[late[np.argsort(rank[late], kind="stable")]]])[:need]
+    return np.concatenate([rare, common[late[np.argsort(rank[late], kind="stable")]]])[:need], len(rare)
 
 
-def _common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that a sample of the distinct texts often has, sorted, and the rank of each by its count."""
+def _common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles that a sample of the distinct texts often has, sorted; the rank of each by its count; its texts by estimate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in utf8(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, width))], names=["token"])
+            tokens, n = np.unique(np.concatenate([shingle_set(t, width) for t in utf8(batch.column(0))]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(n.astype(np.int64))], names=["token", "n"])
 
-    sample = docs.select("text", F.xxhash64("text").alias("h")).where(F.pmod("h", F.lit(SAMPLE)) == 0).dropDuplicates(["h"]).where("text is not null")
-    counts = sample.select("text").mapInArrow(run, "token bigint").groupBy("token").count().where(F.col("count") >= COMMON_LEAST)
-    top = counts.orderBy(F.desc("count"), "token").limit(COMMON_MOST).toArrow()
-    tokens, n = top["token"].to_numpy(), top["count"].to_numpy()
+    sample = docs.select("text", F.xxhash64("text").alias("h")).where(F.col("text").isNotNull() & (F.pmod("h", F.lit(SAMPLE)) == 0)).dropDuplicates(["h"])
+    counts = map_slices(sample.select("text"), run, "token bigint, n bigint", 0).groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_LEAST)
+    top = counts.orderBy(F.desc("n"), "token").limit(COMMON_MOST).toArrow()
+    tokens, n = top["token"].to_numpy(), top["n"].to_numpy()
     order = np.argsort(tokens)
     rank = np.empty(len(tokens), dtype=np.int64)
     rank[np.lexsort((tokens, n))] = np.arange(len(tokens))
-    return tokens[order], rank[order]
+    return tokens[order], rank[order], n[order] * SAMPLE
 
 
-def _alike(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets in ``whole`` (node, own) agree by 4 / 5."""
-    side = lambda n, f: whole.select(F.col("node").alias(n), F.col("own").alias(f))
-    both = F.size(F.array_intersect("fa", "fb"))
-    return pairs.join(side("a", "fa"), "a").join(side("b", "fb"), "b").where(9 * both >= 4 * (F.size("fa") + F.size("fb"))).select("a", "b")
+#: A row by which a text can be found again: its ``doc_id``, or without one the hash of its text.
+_ROW = "nameless boolean, key bigint"
+_FIRST = _ROW + ", node bigint, n bigint, rare bigint, first array<bigint>, salts array<int>"
+_MEMBER = "token bigint, salt int, node bigint, n bigint, rare bigint, pos int, hub bigint, hub_n bigint, hub_pos int, hub_rare bigint"
+_AGREES = "a bigint, b bigint"
 
 
-def alike_groups(docs: DataFrame, width: int = ALIKE_WIDTH) -> DataFrame:
-    """node (a hash of a text's set of shingles), component_id and group of every distinct set."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    """nameless, key, text of each row."""
+    doc_id = F.col("doc_id").cast("bigint")
+    return docs.select(doc_id.isNull().alias("nameless"), F.coalesce(doc_id, F.xxhash64("text")).alias("key"), "text")
+
+
+def _salt(node: int, salts):
+    """Which of so many salts a node has."""
+    return ((node * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 40) % salts
+
+
+def _marked(docs: DataFrame, width: int) -> DataFrame:
+    """Each row's key, the id and size of its set, its first shingles and their salts (a set's shingles once per slice), written down."""
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(_common_shingles(docs, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, rank, texts = known.value
         for batch in batches:
-            sets = [shingle_set(t or b"", width) for t in utf8(batch.column(1))]
+            nodes, sizes, rares, firsts, salts, seen = [], [], [], [], [], set()
+            for text in utf8(batch.column(2)):
+                own = shingle_set(text or b"", width)
+                node = _set_id(own)
+                first, rare = first_shingles(own, common, rank)
+                if node in seen:
+                    first = first[:0]
+                seen.add(node)
+                many = np.ones(len(first), dtype=np.int64)
+                if len(common) and len(first):
+                    at = np.minimum(np.searchsorted(common, first), len(common) - 1)
+                    many = np.where(common[at] == first, -(-texts[at] // PER_SALT), 1)
+                nodes.append(node), sizes.append(len(own)), rares.append(rare), firsts.append(first)
+                salts.append(np.where(many > 1, 1 + _salt(node, np.maximum(many, 1)), 0))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(map(_set_id, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array([first_shingles(x, *known.value) for x in sets], pa.list_(pa.int64()))],
-                names=["doc_id", "node", "n", "first"],
+                [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(rares, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(salts, pa.list_(pa.int32()))],
+                names=["nameless", "key", "node", "n", "rare", "first", "salts"],
             )
 
     place = shared_dir(spark, "shingles")
-    ddl = "doc_id bigint, node bigint, n bigint, first array<bigint>"
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    rows.mapInArrow(run, ddl).write.parquet(place)
-    marked = spark.read.schema(ddl).parquet(place)
-    sets = checkpointed(marked.groupBy("node").agg(F.min("doc_id").alias("least")))
-    tokens = marked.select("node", "n", F.posexplode("first").alias("pos", "token"))
-    shared = tokens.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("token")
-    members = checkpointed(tokens.join(shared, "token", "left_semi").distinct())
-
-    def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    map_slices(_keyed(docs), run, _FIRST, 2).write.parquet(place)
+    return spark.read.schema(_FIRST).parquet(place)
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (token, salt, node, n, rare, pos) in this order of token, salt, rare, node: those of runs of several nodes, with the run's first.
+
+    A run that is one of a token's salts is given out even if it is of one node. Nothing but a run's first row is held.
+    """
+    held: tuple | None = None  # the first row of the run at hand, if no other node has come
+    hub: tuple | None = None
+    last = None
+    for batch in batches:
+        cols = [c.to_numpy() for c in batch.columns]
+        token, salt, node = cols[:3]
+        n = len(token)
+        if not n:
+            continue
+        start = np.ones(n, dtype=bool)
+        start[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])
+        if hub is not None:
+            start[0] = (token[0], salt[0]) != hub[:2]
+        again = np.zeros(n, dtype=bool)
+        again[1:] = ~start[1:] & (node[1:] == node[:-1])
+        again[0] = not start[0] and node[0] == last
+        last = node[-1]
+        #: Row numbers of the runs' first rows; -1 for the run that goes on from the batch before.
+        first = np.maximum.accumulate(np.where(start, np.arange(n), -1))
+        other = ~start & ~again
+        own = np.where(first >= 0, first, 0)
+        several = np.zeros(n, dtype=bool)
+        several[own[other & (first >= 0)]] = True
+        more = (other & (first < 0)).any()
+        keep = other | (start & (several | (salt > 0)))
+        out = []
+        if held is not None and (more or start[0]):
+            if more:
+                out.append([np.array([x]) for x in (*held, held[2], held[3], held[5], held[4])])
+            held = None
+        k = np.flatnonzero(keep)
+        if len(k):
+            f = first[k]
+            hubs = [np.where(f >= 0, c[np.maximum(f, 0)], hub[i] if hub is not None else 0) for i, c in ((2, cols[2]), (3, cols[3]), (5, cols[5]), (4, cols[4]))]
+            out.append([c[k] for c in cols] + hubs)
+        if start.any():
+            i = int(np.flatnonzero(start)[-1])
+            hub = tuple(c[i] for c in cols)
+            held = hub if not keep[i] else None
+        for columns in out:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))],
+                names=[x.split()[0] for x in _MEMBER.split(", ")],
+            )
+
+
+def can_agree(n: Column, at: Column, m: Column, other: Column) -> Column:
+    """Whether sets of ``n`` and ``m`` can agree by 4 / 5 that have their first common shingle here: so many come after it at most."""
+    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * F.least(n - at, m - other) >= 4 * (n + m))
+
+
+def _asked(pairs: DataFrame) -> tuple[DataFrame, bool]:
+    """node, with (its pairs' b, and how many salts that has) and many (its own salts as a b) of every node of ``pairs``; whether few enough to broadcast."""
+    many = pairs.groupBy("b").agg(F.ceil(F.count("*") / PER_SALT).cast("int").alias("many"))
+    mine = pairs.join(many, "b").groupBy(F.col("a").alias("node")).agg(F.collect_list(F.struct("b", "many")).alias("with"))
+    asked = checkpointed(mine.join(many.withColumnRenamed("b", "node"), "node", "full"))
+    rows = asked.agg(F.count("*") + F.coalesce(F.sum(F.greatest(F.size("with"), F.lit(0))), F.lit(0))).first()[0]
+    return asked, rows <= FEW
+
+
+def _agreeing(sent: DataFrame, agree) -> DataFrame:
+    """The pairs of ``sent`` (b, salt, second, a, n, own) for which ``agree`` (n and values of both) holds.
+
+    The values of ``b`` come, once for each salt, before those that are compared with them, so a task holds one set, and a
+    text of very many pairs is dealt over many tasks.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, whole = None, 0, None
         for batch in batches:
-            found = [shingle_set(t or b"", width) for t in utf8(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array(map(_set_id, found), pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["node", "own"])
+            found = []
+            sizes, own = batch.column(4).to_pylist(), batch.column(5)
+            for i, (b, second, a) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                if not second:
+                    if held != b:
+                        held, size, whole = b, sizes[i], np.sort(own[i].values.to_numpy())
+                elif held == b:
+                    other = own[i].values.to_numpy()
+                    both = int((whole[np.minimum(np.searchsorted(whole, other), len(whole) - 1)] == other).sum()) if len(whole) else 0
+                    if agree(size, sizes[i], both):
+                        found.append((a, b))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+
+    n = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sent.repartition(n, "b", "salt").sortWithinPartitions("b", "salt", "second").mapInArrow(compare, _AGREES)
+
+
+def _first_size(n: int) -> int:
+    return n - (4 * n + 4) // 5 + 1 if n else 0
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, marked: DataFrame, sets: DataFrame, width: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose whole sets agree by 4 / 5.
+
+    First by their first shingles alone, a fifth of the sets, which are written down: whichever of two sets has its first shingles end
+    earlier in the order of all, what they share of it is among the other's first, so they share no more than those and the rest of that set.
+    Of the pairs that this leaves, every text is hashed again where it lies, and whole sets are compared.
+    """
+    asked, few = _asked(pairs)
+    small = (lambda df: F.broadcast(df)) if few else (lambda df: df)
+    firsts = marked.where("size(first) > 0").select("node", "n", "first").join(small(asked), "node")
+    salt_of = lambda node, many: F.pmod(F.xxhash64(node), many).cast("int")
+    second = firsts.select("n", "first", "node", F.explode("with").alias("w")).select(F.col("w.b").alias("b"), salt_of(F.col("node"), F.col("w.many")).alias("salt"), F.lit(True).alias("second"), F.col("node").alias("a"), "n", F.col("first").alias("own"))
+    head = firsts.where("many is not null").select(F.col("node").alias("b"), F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("salt"), F.lit(False).alias("second"), F.col("node").alias("a"), "n", F.col("first").alias("own"))
+    likely = _agreeing(head.unionByName(second), lambda n, m, both: 9 * (both + max(n - _first_size(n), m - _first_size(m))) >= 4 * (n + m))
+    asked, few = _asked(checkpointed(likely.distinct()))
+    small = (lambda df: F.broadcast(df)) if few else (lambda df: df)
+    keyed = asked.join(sets, "node").select(F.col("nameless").alias("_nameless"), F.col("key").alias("_key"), "node", "with", "many")
+    keyed = checkpointed(keyed)
+    texts = _keyed(docs).join(small(keyed), (F.col("key") == F.col("_key")) & (F.col("nameless") == F.col("_nameless"))).select("text", "node", "with", "many")
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+        for batch in batches:
+            rows = []
+            for text, node, wanted, many in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                own = shingle_set(text or b"", width)
+                if _set_id(own) != node:  # another text of the same doc_id
+                    continue
+                rows += [(node, salt, False, node, len(own), own) for salt in range(many or 0)]
+                rows += [(x["b"], _salt(node, x["many"]), True, node, len(own), own) for x in wanted or ()]
+            for i in range(0, len(rows), 256):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 256]), kinds)], names=["b", "salt", "second", "a", "n", "own"])
 
-    def whole(pairs: DataFrame) -> DataFrame:
-        used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        named = used.join(sets, "node").select(F.col("least").alias("_doc")).distinct()
-        texts = rows.join(named, F.col("doc_id") == F.col("_doc"), "left_semi").unionByName(rows.where("doc_id is null"))
-        return checkpointed(texts.select("text").mapInArrow(whole_sets, "node bigint, own array<bigint>").join(used, "node", "left_semi").dropDuplicates(["node"]))
+    sent = map_slices(texts, send, "b bigint, salt int, second boolean, a bigint, n bigint, own array<bigint>", 0)
+    return _agreeing(sent, lambda n, m, both: 9 * both >= 4 * (n + m)).distinct()
 
-    def can_agree(x: str, y: str) -> Column:
-        """Whether sets can agree by 4 / 5 that have their first common shingle here: so many come after it at most."""
-        n, m, at, other = (F.col(f"{side}.{f}") for f in ("n", "pos") for side in (x, y))
-        return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * F.least(n - at, m - other) >= 4 * (n + m))
 
-    def pairs_of(met: DataFrame) -> DataFrame:
-        met = met.where((F.col("x.node") != F.col("y.node")) & can_agree("x", "y"))
-        return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-
-    one = F.struct("node", "n", "pos")
-    ends = members.groupBy("token").agg(F.min(one).alias("low"), F.max(one).alias("high"))
-    hubs = checkpointed(pairs_of(members.select("token", one.alias("x")).join(ends, "token").select("x", F.explode(F.array("low", "high")).alias("y"))))
-    links = checkpointed(_alike(hubs, whole(hubs)))
-    placed = checkpointed(members.join(components(links), "node", "left").withColumn("part", F.coalesce("component", "node")))
-    mixed = placed.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select("token")
-    apart = placed.join(mixed, "token", "left_semi")
-    left = apart.select("token", one.alias("x"), F.col("part").alias("p"))
-    right = apart.select("token", one.alias("y"), F.col("part").alias("q"))
-    rest = checkpointed(pairs_of(left.join(right, "token").where("p < q")).join(hubs, ["a", "b"], "left_anti"))
-    rest = _alike(rest, whole(rest))
+def alike_groups(docs: DataFrame, width: int = ALIKE_WIDTH) -> DataFrame:
+    """nameless and key of a row of every distinct set of shingles, its node (a hash), component_id and group."""
+    spark = docs.sparkSession
+    marked = _marked(docs, width)
+    sets = checkpointed(marked.groupBy("node").agg(F.min(F.struct("nameless", "key")).alias("row")).select("node", "row.*"))
+    named = marked.where("not nameless").groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("high")).where("a != high").select("key", "a")
     #: Rows with equal doc_id are one document.
-    again = sets.where("least is not null").groupBy("least").agg(F.min("node").alias("b"), F.max("node").alias("high")).where("b != high").select("least", "b")
-    again = sets.join(again, "least").where("node != b").select(F.col("node").alias("a"), "b")
-    found = components(links.unionByName(rest).unionByName(again))
-    labelled = sets.join(found, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    names = labelled.groupBy("part").agg(F.min("least").alias("component_id"))
+    again = marked.where("not nameless").join(named, "key").where("node != a").select("a", F.col("node").alias("b")).distinct()
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tokens = marked.select("node", "n", "rare", F.posexplode(F.arrays_zip("first", "salts")).alias("pos", "f"))
+    tokens = tokens.select(F.col("f.first").alias("token"), F.col("f.salts").alias("salt"), "node", "n", "rare", "pos")
+    place = shared_dir(spark, "members")
+    tokens.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", "rare", "node").mapInArrow(_meet, _MEMBER).write.parquet(place)
+    members = spark.read.schema(_MEMBER).parquet(place)
+
+    def pairs_of(met: DataFrame) -> DataFrame:
+        """(a, b) of rows with x (node, n, rare, pos) and the like y, where y comes first."""
+        fits = met.where((F.col("x.node") != F.col("y.node")) & can_agree(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")))
+        return fits.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+    x = F.struct("node", "n", "rare", "pos").alias("x")
+    y = F.struct(F.col("hub").alias("node"), F.col("hub_n").alias("n"), F.col("hub_rare").alias("rare"), F.col("hub_pos").alias("pos"))
+    #: The first texts of a token's salts meet the first of them.
+    heads = members.where("salt > 0 and node = hub").select("token", x)
+    best = heads.groupBy("token").agg(F.min_by("x", F.struct("x.rare", "x.node")).alias("y"))
+    met = members.select(x, y.alias("y")).unionByName(heads.join(best, "token").select("x", "y"))
+    tried = checkpointed(pairs_of(met))
+    links = checkpointed(_verified(tried, docs, marked, sets, width))
+
+    def apart() -> DataFrame:
+        """token, x, part of the members of tokens whose texts are not all in one group."""
+        placed = members.select("token", "salt", x).join(components(links), F.col("x.node") == F.col("node"), "left")
+        placed = checkpointed(placed.select("token", "x", F.coalesce("component", "x.node").alias("part")))
+        mixed = placed.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select("token")
+        return placed.join(mixed, "token", "left_semi")
+
+    def untried(met: DataFrame) -> DataFrame:
+        turned = tried.select(F.col("a").alias("b"), F.col("b").alias("a"))
+        return checkpointed(pairs_of(met).join(tried, ["a", "b"], "left_anti").join(turned, ["a", "b"], "left_anti"))
+
+    #: The first text, by what it has of rare shingles, that is outside the group of the first of all meets those of other groups.
+    left, order = apart(), F.struct("x.rare", "x.node")
+    first = left.groupBy("token").agg(F.min_by("part", order).alias("q"))
+    second = left.join(first, "token").where("part != q").groupBy("token").agg(F.min_by(F.struct("x", "part"), order).alias("h"))
+    fresh = untried(left.join(second, "token").where(F.col("part") != F.col("h.part")).select("x", F.col("h.x").alias("y")))
+    if not fresh.isEmpty():
+        links, tried = checkpointed(links.unionByName(_verified(fresh, docs, marked, sets, width))), tried.unionByName(fresh)
+        left = apart()
+
+    #: What is apart still: each with each of the shingle, by sizes that can agree (a step is a factor of 5 / 4).
+    step = F.floor(F.log("x.n") / F.log(F.lit(1.25)))
+    lower = left.withColumn("step", step)
+    upper = left.select("token", F.col("x").alias("y"), F.col("part").alias("q"), F.explode(F.array(step - 1, step, step + 1)).alias("step"))
+    rest = untried(lower.join(upper, ["token", "step"]).where("part < q").select("x", "y"))
+    if not rest.isEmpty():
+        links = links.unionByName(_verified(rest, docs, marked, sets, width))
+
+    found = components(links.unionByName(again))
+    labelled = checkpointed(sets.join(found, "node", "left").withColumn("part", F.coalesce("component", "node")))
+    names = labelled.where("not nameless").groupBy("part").agg(F.min("key").alias("component_id"))
     nameless = F.lit(_NAMELESS).bitwiseOR(F.shiftrightunsigned("part", 2))
-    return labelled.select("node", "part").join(names, "part").select("node", "component_id", F.coalesce("component_id", nameless).alias("group"))
+    return labelled.join(names, "part", "left").select("nameless", "key", "node", "component_id", F.coalesce("component_id", nameless).alias("group"))
 
 
-def keep_one(docs: DataFrame, width: int = ALIKE_WIDTH, hashes: int = 0, most_apart: int = MOST_APART) -> DataFrame:
-    """The documents, whole rows, but of each group of similar ones only that with the smallest ``doc_id``.
+def keep_one(docs: DataFrame, width: int = ALIKE_WIDTH) -> DataFrame:
+    """The documents, whole rows, but of each group of texts whose sets of shingles agree by 0.8 only that with the smallest ``doc_id``.
 
-    Similar are texts whose sets of shingles agree by 0.8; with ``hashes``, those whose fingerprints are near.
-    Rows without ``doc_id`` stay only where their group has no other: one of them.
+    Of several rows with that ``doc_id``, the one stays whose text has the least hash. Rows without ``doc_id`` stay
+    only where their group has no other: one of them, that with the least hash.
     """
-    kind = "array<bigint>" if hashes else "bigint"
-    groups = checkpointed(similar_groups(docs, width, hashes, most_apart).withColumnRenamed("fps", "_own") if hashes else alike_groups(docs, width).withColumnRenamed("node", "_own"))
-    first = groups.where("component_id is not null").select(F.col("component_id").alias("_keep")).distinct()
-    named = docs.join(first, F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
-    lone = groups.where("component_id is null").select(F.col("_own").alias("_of"), F.col("group").alias("_group"))
-    if lone.isEmpty():
-        return named
-    at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or b"" for t in utf8(batch.column(at))]
-            if hashes:
-                found = pa.array(list(np.array([fingerprint_set(t, width, hashes) for t in texts], dtype=np.uint64).view(np.int64)), pa.list_(pa.int64()))
-            else:
-                found = pa.array([_set_id(shingle_set(t, width)) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "_own"])
-
-    bare = docs.where("doc_id is null")
-    marked = bare.mapInArrow(run, bare.withColumn("_own", F.lit(None).cast(kind)).schema)
-    return named.unionByName(marked.join(lone, F.col("_own") == F.col("_of")).dropDuplicates(["_group"]).select(docs.columns))
+    groups = checkpointed(alike_groups(docs, width).groupBy("group").agg(F.min(F.struct("nameless", "key")).alias("row")).select("row.*"))
+    own = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    doc_id, text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text"))
+    doc_id = doc_id.cast("bigint")
+    keyed = own.select(F.struct(*own.columns).alias("whole"), doc_id.isNull().alias("nameless"), F.coalesce(doc_id, F.xxhash64(text)).alias("key"), F.xxhash64(text).alias("h"))
+    kept = keyed.join(groups, ["nameless", "key"], "left_semi")
+    one = kept.groupBy("nameless", "key").agg(F.min_by("whole", "h").alias("whole"))
+    return one.select("whole.*").toDF(*docs.columns)

@@ -90,13 +90,15 @@ def test_long_chains(spark):
     assert got == {i: 0 for i in range(61)} | {100: 100, 150: 100, 200: 100}
 
 
-def test_one_of_each_group_stays(spark):
-    data = near_rows()
-    kept = simhash.keep_one(documents(spark, data), width=3, hashes=1, most_apart=3).collect()
-    fps = [(d, fp_by_hand(t)) for d, t, *_ in data]
-    names = groups_by_hand(fps)
-    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted({c for c in names if c is not None})
-    assert sum(r.doc_id is None for r in kept) == len({f for (d, f), c in zip(fps, names) if c is None})
+def test_equal_ids_are_one_document(spark):
+    """(3, B) (5, B) (5, A) (4, A): document 5 holds both texts together; so does a document of three texts."""
+    a, b, c = prose(90, 1), " ".join(f"z{i}" for i in range(90)), " ".join(f"q{i}" for i in range(90))
+    data = [(3, b, "en", "a"), (5, b, "en", "a"), (5, a, "en", "a"), (4, a, "en", "a"), (9, a, "en", "a"), (9, c, "en", "a"), (9, b, "en", "a"), (8, c, "en", "a")]
+    assert {r.component_id for r in simhash.near_duplicates(documents(spark, data)).collect()} == {3}
+    assert [r.text for r in simhash.keep_one(documents(spark, data)).collect()] == [b]
+    several = [(7, x, "en", "a") for x in (a, b, c, a)]
+    kept = [simhash.keep_one(documents(spark, rows)).collect() for rows in (several, several[::-1])]
+    assert [r.doc_id for r in kept[0]] == [7] and kept[0][0].text == kept[1][0].text
 
 
 def test_edited_copies_are_similar(spark):
@@ -181,7 +183,46 @@ def test_texts_under_the_bound_stay(spark):
     want = set(sets) - {b for _, b in alike}
     kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
     assert want <= kept, sorted(want - kept)
-    assert len(simhash.keep_one(docs, width=2, hashes=8, most_apart=54).collect()) < len(kept)
+
+
+def test_groups_with_small_bounds(spark, monkeypatch):
+    """Salted shingles and texts of very many pairs give the same groups as unsalted ones."""
+    rng = np.random.default_rng(9)
+    own = [f"w{x}" for x in range(300)]
+    data = [(0, " ".join(own), "en", "a")]
+    for i in range(1, 60):
+        other = list(own)
+        for at in rng.choice(300, 4, replace=False):
+            other[at] = f"e{i}x{at}"
+        data.append((i, " ".join(other), "en", "a"))
+    data += [(100 + i, " ".join(f"v{i}x{k}" for k in range(200)), "en", "a") for i in range(20)] + [(100 + i, " ".join(f"v{i}x{k}" for k in range(180)), "en", "a") for i in range(10)]
+    want = sorted(r.doc_id for r in simhash.keep_one(documents(spark, data)).collect())
+    for name, value in (("SAMPLE", 1), ("PER_SALT", 7)):
+        monkeypatch.setattr(simhash, name, value)
+    assert sorted(r.doc_id for r in simhash.keep_one(documents(spark, data)).collect()) == want == [0, *range(100, 120)]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 1), st.integers(0, 5)), max_size=40), st.integers(1, 9))
+def test_meeting_in_batches(data, size):
+    """Runs may be cut anywhere between batches."""
+    import pyarrow as pa
+
+    rows = sorted((t, s, n) for t, s, n in data)
+    full = [(t, s, n, 10 * n, 0, n + 100) for t, s, n in rows]  # token, salt, node, n, rare, pos
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*full[i : i + size]), kinds)], names=list("tsnmrp")) for i in range(0, len(full), size)]
+    got = sorted(tuple(r.values()) for b in simhash._meet(iter(batches)) for r in b.to_pylist())
+    runs = {}
+    for row in full:
+        runs.setdefault(row[:2], []).append(row)
+    want = []
+    for own in runs.values():
+        nodes = sorted(set(own), key=lambda r: r[2])
+        if len(nodes) > 1 or nodes[0][1]:
+            first = nodes[0]
+            want += [(*r, first[2], first[3], first[5], first[4]) for r in nodes]
+    assert got == sorted(want)
 
 
 PAGES = [(1, "http://a.example/x y", "<p>one</p>"), (2, "http://b.example", "<p>one</p>"), (3, None, None), (4, "u", ""), (5, "http://c.example/é", "日本\r\n\r\nWARC/1.1\n" * 9), (None, "n", "<p>one</p>"), (None, "m", "only here"), (7, "big", "x" * 300_000), (-9, "neg", "minus"), (8, "t", "minus"), (1, "http://a.example/again", "<p>one</p>")]

@@ -18,6 +18,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(named or "/tmp/checkpoints")
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def last_by(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """For each key the row that comes last by ``order``; one aggregate, combined before the shuffle."""
     rest = [c for c in rows.columns if c not in keys]

@@ -7,6 +7,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .relational import checkpointed
+
 CLASS_DDL = "name STRING, ord INT, group_name STRING, cwes ARRAY<STRING>, tags ARRAY<STRING>, aliases ARRAY<STRING>, needs_semantic BOOLEAN, hints ARRAY<STRING>"
 
 
@@ -23,15 +25,44 @@ def read_yaml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.createDataFrame(rows, CLASS_DDL), spark.createDataFrame(members, "group_name STRING, member STRING")
 
 
+SUGGESTED_DDL = "storage_id STRING, kind STRING, confidence DOUBLE, rationale STRING, call_id STRING"
+
+
+def read_suggested(spark: SparkSession, path: str) -> DataFrame:
+    """The suggested locations of an annotation file, which people look over; a missing file has none."""
+    import yaml
+
+    file = Path(path)
+    raw = yaml.safe_load(file.read_text(encoding="utf-8")) if file.is_file() else None
+    own = (raw or {}).get("llm_suggested") or {}
+    rows = [(k, str(v.get("kind", "unknown")), float(v.get("confidence") or 0.0), str(v.get("rationale", "")), str(v.get("call_id", ""))) for k, v in own.items()]
+    return spark.createDataFrame(rows, SUGGESTED_DDL)
+
+
+def write_suggested(rows: DataFrame, path: str, most: int = 100_000) -> int:
+    """Puts suggested locations into the file, keys sorted; what else it holds stays. A file for people: more than ``most`` raise an error."""
+    import yaml
+
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"over {most} suggestions; a file for people to read is not the place for them")
+    file = Path(path)
+    raw = (yaml.safe_load(file.read_text(encoding="utf-8")) if file.is_file() else None) or {}
+    raw["llm_suggested"] = {r["storage_id"]: {k: r[k] for k in ("kind", "confidence", "rationale", "call_id")} for r in found}
+    file.write_text(yaml.safe_dump(raw, sort_keys=True), encoding="utf-8")
+    return len(found)
+
+
 def expand(members: DataFrame, wanted: DataFrame) -> DataFrame:
     """The classes that ``wanted`` (token) names: ``@group`` stands for its members, groups within groups too."""
-    spark = members.sparkSession
-    members.createOrReplaceTempView("_members")
-    wanted.createOrReplaceTempView("_wanted")
-    return spark.sql(
-        "WITH RECURSIVE open(token) AS (SELECT token FROM _wanted UNION ALL SELECT m.member FROM open o JOIN _members m ON o.token = concat('@', m.group_name)) "
-        "SELECT DISTINCT token AS name FROM open WHERE NOT startswith(token, '@')"
-    )
+    #: Groups that hold themselves, or each other, are opened once: only tokens that are new go on.
+    seen = wanted.select("token").distinct()
+    front = seen
+    while not front.isEmpty():
+        inner = front.join(members, F.col("token") == F.concat(F.lit("@"), "group_name")).select(F.col("member").alias("token")).distinct()
+        front = checkpointed(inner.join(seen, "token", "left_anti"))
+        seen = checkpointed(seen.unionByName(front))
+    return seen.where(~F.startswith("token", F.lit("@"))).select(F.col("token").alias("name"))
 
 
 def resolve(classes: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFrame:

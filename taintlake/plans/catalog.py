@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import navigation, scalars, tier3
+from . import ingest, navigation, scalars, tier3
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for module in (navigation, scalars, tier3):
+for module in (navigation, ingest, scalars, tier3):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL

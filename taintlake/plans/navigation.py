@@ -517,7 +517,7 @@ _TREE = "f AS (SELECT 'p' || (p_partkey % 40) || CASE WHEN p_partkey % 3 = 0 THE
   n AS (SELECT 'node' AS kind, dir, 'package.json' AS manifest, coalesce((SELECT arg_min(m, r) FROM (VALUES ('yarn.lock', 'yarn', 1), ('package-lock.json', 'npm', 2)) v(l, m, r) JOIN g h ON h.name = l AND h.dir = g.dir), 'unknown') AS package_manager FROM g WHERE name = 'package.json'),
   c AS (SELECT dir, min(CASE name WHEN 'pyproject.toml' THEN 0 ELSE 3 END) AS r FROM g WHERE name IN ('pyproject.toml', 'requirements.txt') GROUP BY dir),
   p AS (SELECT 'python' AS kind, dir, CASE r WHEN 0 THEN 'pyproject.toml' ELSE 'requirements.txt' END AS manifest, coalesce((SELECT arg_min(m, r) FROM (VALUES ('uv.lock', 'uv', 1), ('requirements.txt', 'pip', 5)) v(l, m, r) JOIN g h ON h.name = l AND h.dir = c.dir), 'unknown') AS package_manager
-    FROM c WHERE NOT EXISTS (SELECT 1 FROM c b WHERE starts_with(c.dir, b.dir || '/'))) SELECT * FROM n UNION ALL SELECT * FROM p"""
+    FROM c WHERE NOT EXISTS (SELECT 1 FROM c b WHERE starts_with(c.dir, b.dir || '/'))) SELECT *, false AS workspace_member FROM n UNION ALL SELECT *, false FROM p"""
 )
 def stack_detect(spark, d):
     names = F.array(*map(F.lit, ("package.json", "yarn.lock", "package-lock.json", "pyproject.toml", "uv.lock", "requirements.txt", "a.ts")))
@@ -552,7 +552,3 @@ def reachability(spark, d):
     edges = table(spark, d, "lineitem").select((F.col("l_partkey") % 300).alias("src"), (F.col("l_suppkey") % 300).alias("dst")).distinct()
     return relational.reachable(edges, edges.select(F.col("src").alias("node")).distinct(), 2)
 
-
-@query("SELECT o_custkey AS k, count(*) AS n, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END)::BIGINT AS f FROM orders GROUP BY 1 HAVING count(*) > 3")
-def files_per_language(spark, d):
-    return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"), F.count(F.when(F.col("o_orderstatus") == "F", 1)).alias("f")).where("n > 3")

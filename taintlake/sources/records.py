@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,6 +120,84 @@ def scip_symbols(decoded: DataFrame) -> DataFrame:
     return decoded.select("file", start.alias("start"), F.when(F.size(r) == 4, F.try_element_at(r, F.lit(3)) + 1).otherwise(start).alias("end"), "symbol").dropDuplicates(["file", "start", "end"])
 
 
+def scip(spark: SparkSession, path: str) -> DataFrame:
+    """file, range, symbol of the occurrences in index files (a message with documents: 2; of them path: 1, occurrences: 2; of these range: 1, symbol: 2)."""
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return files.mapInArrow(_occurrences, "file string, range array<int>, symbol string")
+
+
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.string(), pa.list_(pa.int32()), pa.string())
+    for batch in batches:
+        for content in batch.column(0):
+            rows: list[tuple] = []
+            for field, document in protobuf_fields(content.as_buffer()):
+                if field != 2:
+                    continue
+                parts = list(protobuf_fields(document))
+                file = next((bytes(v).decode() for f, v in parts if f == 1), "")
+                for f, v in parts:
+                    if f == 2:
+                        rows.append((file, *_occurrence(v)))
+                    if len(rows) >= 4096:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["file", "range", "symbol"])
+                        rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["file", "range", "symbol"])
+
+
+def _occurrence(message: memoryview) -> tuple[list[int], str]:
+    place: list[int] = []
+    symbol = ""
+    for field, value in protobuf_fields(message):
+        if field == 1:  # numbers, packed in one field or one by one
+            place += [value] if isinstance(value, int) else packed_numbers(value)
+        elif field == 2:
+            symbol = bytes(value).decode()
+    return place, symbol
+
+
+def _varint(data: memoryview, i: int) -> tuple[int, int]:
+    n = shift = 0
+    while True:
+        n |= (data[i] & 127) << shift
+        shift += 7
+        i += 1
+        if data[i - 1] < 128:
+            return n, i
+
+
+def packed_numbers(data: memoryview) -> list[int]:
+    out, i = [], 0
+    while i < len(data):
+        n, i = _varint(data, i)
+        out.append(n)
+    return out
+
+
+def protobuf_fields(data) -> Iterator[tuple[int, int | memoryview]]:
+    """Number and value of a message's fields, in order: numbers, or bytes of all other kinds."""
+    data, i = memoryview(data).cast("B"), 0
+    while i < len(data):
+        key, i = _varint(data, i)
+        if key & 7 == 0:
+            value, i = _varint(data, i)
+        else:
+            size, i = _varint(data, i) if key & 7 == 2 else ({1: 8, 5: 4}[key & 7], i)
+            value, i = data[i : i + size], i + size
+        yield key >> 3, value
+
+
+def queue(lines: DataFrame) -> DataFrame:
+    """The items (id, project, vector, loc) of a queue's lines (value); other lines are skipped."""
+    line = r"^- \[[ xX]\] (\S+) \| ([^|]*) \| ([^|]*) \| (.*)$"
+    part = lambda i: F.trim(F.regexp_extract("value", line, i))
+    return lines.where(F.rlike("value", F.lit(line))).select(part(1).alias("id"), part(2).alias("project"), part(3).alias("vector"), part(4).alias("loc"))
+
+
+STATUSES = ("poc_inconclusive", "rejected", "unverified", "verified")
+
+
 def nominations(lines: DataFrame) -> DataFrame:
     """The nominations of lines (n, value), with the heading that stands above each."""
     from pyspark.sql import Window as W
@@ -128,10 +209,12 @@ def nominations(lines: DataFrame) -> DataFrame:
 
 
 def finding(content: Column) -> dict[str, Column]:
-    """Fields of a finding's front matter, and its body."""
+    """Fields of a finding's front matter, and its body; text without one, or with a status that is none, is an error."""
     head = F.regexp_extract(content, r"(?s)^---\n(.*?)\n---\n?", 1)
-    field = lambda k: F.nullif(F.regexp_extract(head, rf"(?m)^{k}:\s*[\"']?(.*?)[\"']?\s*$", 1), F.lit(""))
-    return {k: field(k) for k in ("finding_id", "nomination_id", "flow_id", "cwe", "status", "title")} | {"body": F.regexp_replace(content, r"(?s)^---\n.*?\n---\n?", "")}
-
-
-STATUSES = ("poc_inconclusive", "rejected", "unverified", "verified")
+    raw = lambda k: F.regexp_extract(head, rf"(?m)^{k}:\s*(.*?)\s*$", 1)
+    plain = lambda c: F.when(F.rlike(c, F.lit("^'.*'$")), F.replace(F.regexp_extract(c, "^'(.*)'$", 1), F.lit("''"), F.lit("'"))).otherwise(F.regexp_replace(c, '^"(.*)"$', "$1"))
+    fields = {k: F.nullif(plain(raw(k)), F.lit("")) for k in ("finding_id", "nomination_id", "flow_id", "cwe", "title")}
+    status = F.coalesce(F.nullif(plain(raw("status")), F.lit("")), F.lit("unverified"))
+    bad = F.when(head == "", "no front matter").when(~status.isin(*STATUSES), F.concat(F.lit("unknown status "), status))
+    fields["status"] = F.when(bad.isNotNull(), F.raise_error(F.coalesce(bad, F.lit(""))).cast("string")).otherwise(status)
+    return fields | {"body": F.regexp_replace(content, r"(?s)^---\n.*?\n---\n*", "")}

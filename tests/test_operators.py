@@ -264,6 +264,129 @@ def test_projects(spark):
     assert bare == {("bash", ""), ("ruby", "")}
 
 
+def test_project_tiers(spark):
+    """Manifests, then configuration at the root, then bare sources, then pages."""
+    of = lambda *paths: {(r.kind, r.dir, r.package_manager) for r in projects.detect(spark.createDataFrame([(p, c) for p, c in paths], "path string, content string")).collect()}
+    none = lambda *paths: of(*[(p, None) for p in paths])
+    assert of(("k/pod.yaml", "apiVersion: v1\nkind: Pod"), (".github/workflows/ci.yml", ""), ("a.sh", "")) == {("yaml", "", "unknown")}
+    assert of(("k/pod.yaml", "a: b"), ("a.sh", ""), ("b.rb", ""), ("i.html", "")) == {("bash", "", "unknown"), ("ruby", "", "unknown")}
+    assert none("i.html", "j.css") == {("html", "", "unknown")}
+    shared = of(("package.json", '{"workspaces": ["a"]}'), ("yarn.lock", ""), ("a/package.json", "{}"), ("b/c/package.json", "{}"), ("b/c/setup.py", ""), ("Chart.yaml", ""))
+    assert shared == {("node", "a", "yarn"), ("node", "b/c", "yarn"), ("yaml", "", "unknown")}
+    mixed = none("s.sln", "a/A.csproj", "a/b/B.csproj", "c/C.csproj", "w/core/lib/Drupal.php", "g/go.work", "g/go.mod", "j/build.gradle.kts", "j/m/pom.xml", "only/x.sln")
+    assert mixed == {("csharp", "a", "nuget"), ("csharp", "c", "nuget"), ("csharp", "only", "nuget"), ("php", "w", "unknown"), ("go", "g", "go-workspace"), ("java", "j", "gradle-kts")}
+
+
+def test_project_names_and_languages(spark):
+    files = spark.createDataFrame([
+        ("n/package.json", '{"version": "1", "name": "@x/app"}'), ("n/a.tsx", ""), ("p/pyproject.toml", "[build]\nname = 'no'\n[project]\nversion = '1'\nname = \"pkg\"\n"), ("j/build.gradle", ""), ("j/settings.gradle", "rootProject.name = 'jar'"), ("j/a.kt", ""), ("j/b.kts", ""), ("j/C.java", ""),
+        ("g/go.mod", "module example.org/o/tool\n\ngo 1.2"), ("r/x.gemspec", "s.name = 'gem'"), ("h/composer.json", '{"name": "v/site"}'), ("c/App.csproj", "<Project/>"), ("d/D.csproj", "<RootNamespace> Root.D </RootNamespace>"), ("q/setup.py", "setup()"),
+    ], "path string, content string")
+    found = projects.detect(files)
+    names = {(r.kind, r.dir): r.name for r in projects.project_names(found, files, "top").collect()}
+    assert names == {("node", "n"): "@x/app", ("python", "p"): "pkg", ("java", "j"): "jar", ("go", "g"): "tool", ("ruby", "r"): "gem", ("php", "h"): "site", ("csharp", "c"): "App", ("csharp", "d"): "Root.D", ("python", "q"): "q"}
+    langs = {(r.kind, r.dir): r.languages for r in projects.project_languages(found, files).collect()}
+    assert langs["node", "n"] == ["typescript"] and langs["java", "j"] == ["java", "kotlin"] and langs["go", "g"] == []
+    read = {(r.kind, r.dir): r.a for r in projects.project_languages(found, files).select("kind", "dir", projects.analyzed_language(F.col("kind"), F.col("languages")).alias("a")).collect()}
+    assert read["node", "n"] == "javascript" and read["java", "j"] == "java" and read["go", "g"] is None
+    counts = projects.files_per_language(files.select(F.split_part("path", F.lit("/"), F.lit(1)).alias("project"), "path"), ["project"]).where("project = 'j'").collect()
+    assert {(r.language, r.files, r.jvm) for r in counts} == {("kotlin", 2, "kotlin"), ("java", 1, "kotlin")}
+    assert [r.dir for r in projects.by_path(found).collect()] == sorted(r.dir for r in found.collect())
+
+
+def test_files_and_sidecars(spark, tmp_path):
+    import hashlib
+    import os
+
+    for name, text in (("a/b.js", "x"), ("build/c.py", "y"), (".git/d", "z"), ("a/node_modules/e.js", "w"), ("f.kts", "v")):
+        path = tmp_path / "src" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(text)
+    os.symlink(tmp_path / "src/f.kts", tmp_path / "src/link.kt")
+    rows = files.build_manifest(spark, str(tmp_path / "src")).collect()
+    assert {(r.path, r.sha256, r.size) for r in rows} == {(p, hashlib.sha256(t.encode()).hexdigest(), 1) for p, t in (("a/b.js", "x"), ("build/c.py", "y"), ("f.kts", "v"))}
+    assert {r.path.rpartition("/")[2] for r in files.read_texts(spark, str(tmp_path / "src"), (".js", ".kts")).collect()} == {"b.js", "f.kts"}
+    listed = {(r.kind, r.path) for r in files.file_lists(spark.createDataFrame([(p,) for p in ("a/b.js", "build/C.java", "x/C.java", "vendor/a.rb", "a.rake", "venv/x.py", "q.yml", "i.htm", "b.kts", "obj/a.cs", "s.sh")], "path string")).collect()}
+    assert listed == {("ts", "a/b.js"), ("java", "x/C.java"), ("ruby", "a.rake"), ("yaml", "q.yml"), ("html", "i.htm"), ("kotlin", "b.kts"), ("bash", "s.sh")}
+    sizes = {(r.folder, r.files, r.size) for r in files.folder_sizes(spark.createDataFrame([("a/b/c", 3), ("a/d", 4), ("e", 5)], "path string, size long")).collect()}
+    assert sizes == {("", 3, 12), ("a", 2, 7), ("a/b", 1, 3)}
+    records = spark.createDataFrame([("/r/x/a.js", "2"), ("/r/x/a.js", "1"), ("/else/b.py", "3")], "file string, record string")
+    for _ in range(2):
+        done = {(r.path, r.records) for r in files.write_sidecars(records, "/r", str(tmp_path / "side")).collect()}
+    assert done == {("x/a.js.enrich.jsonl", 2), ("b.py.enrich.jsonl", 1)}
+    assert (tmp_path / "side/x/a.js.enrich.jsonl").read_text() == "1\n2\n" and sorted(p.name for p in tmp_path.glob("side/**/*") if p.is_file()) == ["a.js.enrich.jsonl", "b.py.enrich.jsonl"]
+
+
+def test_scip_index(spark, tmp_path):
+    def field(n, value):
+        number = lambda x: bytes([x & 127 | 128, *number(x >> 7)]) if x > 127 else bytes([x])
+        return number(n << 3) + number(value) if isinstance(value, int) else number(n << 3 | 2) + number(len(value)) + value
+
+    spots = field(2, field(1, bytes([4, 0, 7])) + field(2, b"pkg f().")) + field(2, field(1, 9) + field(1, 1) + field(1, 200) + field(1, 3) + field(3, 1))
+    (tmp_path / "i.scip").write_bytes(field(1, b"meta") + field(2, field(1, b"a.ts") + field(4, b"typescript") + spots) + field(2, field(1, b"empty.ts")))
+    got = records.scip(spark, str(tmp_path / "i.scip"))
+    assert [tuple(r) for r in got.collect()] == [("a.ts", [4, 0, 7], "pkg f()."), ("a.ts", [9, 1, 200, 3], "")]
+    assert {tuple(r) for r in records.scip_symbols(got.where("symbol != ''")).collect()} == {("a.ts", 5, 5, "pkg f().")}
+
+
+def test_graph_calls(spark):
+    from taintlake.functions import graph_rules
+    from taintlake.operators import graph_calls
+
+    assert len(graph_rules.rules()) == 128
+    rows = [("javascript", "a.js", 10, "send", "res.send(x)"), ("javascript", "a.js", 12, "send", "queue.send(x)"), ("js", "a.js", 4, "body", "req.body.name"), ("ts", "a.js", 300, "query", "db.query(q)"), ("golang", "b.go", 9, "Query", "db.Query(q)"),
+            ("go", "b.go", 5, "Query", 'c.Query("id")'), ("python", "c.py", 3, "Popen", "subprocess.Popen(c)"), ("php", "d.php", 8, "ECHO", "echo $x"), ("php", "d.php", 9, "shell_exec", "shell_exec($_GET['c'])"), ("php", "d.php", 2, "x", "$_GET['c']"), ("ruby", "e.rb", 1, "wherever", "")]
+    calls = spark.createDataFrame(rows, "language string, file string, line int, name string, code string")
+    sinks = {(r.file, r.line, r.cwe, r.sink_class) for r in graph_calls.sink_calls(calls).collect()}
+    assert sinks == {("a.js", 10, "CWE-79", "html.write"), ("a.js", 300, "CWE-89", "sql.exec"), ("b.go", 9, "CWE-89", "sql.exec"), ("b.go", 5, "CWE-89", "sql.exec"), ("c.py", 3, "CWE-78", "cmd.shell"), ("d.php", 9, "CWE-78", "cmd.shell")}
+    assert {(r.file, r.line) for r in graph_calls.source_calls(calls).collect()} == {("a.js", 4), ("b.go", 5), ("d.php", 2)}
+    paths = spark.createDataFrame([("b.go", 5, "b.go", 5, "s", "Query", "CWE-89", "sql.exec"), ("b.go", 5, "b.go", 9, "s", "Query", "CWE-89", "sql.exec"), ("b.go", 5, "b.go", 9, "s", "Query", "CWE-89", "sql.exec")], "source_file string, source_line int, sink_file string, sink_line int, source_name string, sink_name string, cwe string, sink_class string")
+    traced = graph_calls.traced_flows(paths)
+    assert [(r.source_line, r.sink_line) for r in traced.collect()] == [(5, 9)]
+    near = {(r.source_file, r.source_line, r.sink_line, r.cwe) for r in graph_calls.near_flows(calls, traced).collect()}
+    assert near == {("a.js", 4, 10, "CWE-79"), ("d.php", 2, 9, "CWE-78")}
+    code = "const k = process.env.KEY;\nif (k === given) {}\nif (timingSafeEqual(k, g) == true) {}\nif (x != process.env['T']) {}\nconst j = 1; if (j == 2) {}"
+    found = graph_calls.secret_compares(spark.createDataFrame([("a.ts", code), ("b.py", code)], "path string, content string")).collect()
+    assert {(r.path, r.line, r.cwe) for r in found} == {("a.ts", 2, "CWE-208"), ("a.ts", 4, "CWE-208")}
+
+
+def test_documents_of_markdown(spark):
+    entries = spark.createDataFrame([("http_route", "b", 2, "get /"), ("http_route", "a", 9, "post"), ("cli", "c", 1, "argv"), ("odd", "d", 1, "x")], "kind string, file string, line int, signature string").withColumn("symbol_id", F.lit(None).cast("string"))
+    text = reports.entrypoints_markdown(findings.ordered_entrypoints(entries), "t").first().markdown
+    assert text == "# Entrypoints: t\n\n## http_route\n\n- `post` at `a:9`\n- `get /` at `b:2`\n\n## cli\n\n- `argv` at `c:1`\n"
+    assert reports.entrypoints_markdown(findings.ordered_entrypoints(entries.where("false")), "t").first().markdown == "# Entrypoints: t\n\nNo entrypoints detected.\n"
+    p = spark.createDataFrame([("n", "", "node", ["ts", "js"], [], "npm", True, False)], "name string, dir string, kind string, languages array<string>, frameworks array<string>, package_manager string, has_tsconfig boolean, workspace_member boolean")
+    assert "- Path: `.`\n- Kind: node\n- Languages: js, ts\n- Frameworks: \u2014\n- Package manager: npm\n- TS config: yes\n- Workspace member: no\n" in reports.repository_markdown(p, "r").first().markdown
+    q = spark.createDataFrame([("N2", "p", "v", "a:1"), ("N1", "p q", "w", "b:2")], "id string, project string, vector string, loc string")
+    text = reports.queue_markdown(q).first().markdown
+    assert text == "# Findings queue\n\n- [ ] N1 | p q | w | b:2\n- [ ] N2 | p | v | a:1\n"
+    back = records.queue(spark.createDataFrame([(x,) for x in text.split("\n")], "value string"))
+    assert {tuple(r) for r in back.collect()} == {tuple(r) for r in q.collect()}
+    f = spark.createDataFrame([("F1", "N", "fl", None, "verified", "it's: \"x\"", "body\n---\nmore")], "finding_id string, nomination_id string, flow_id string, cwe string, status string, title string, body string")
+    md = reports.finding_markdown(f)
+    got = md.select(*[c.alias(k) for k, c in records.finding(F.col("markdown")).items()]).first()
+    assert (got.finding_id, got.cwe, got.status, got.title, got.body) == ("F1", None, "verified", "it's: \"x\"", "body\n---\nmore")
+    for bad in ("no front", "---\nstatus: odd\n---\nx"):
+        with pytest.raises(Exception, match="front matter|unknown status"):
+            spark.createDataFrame([(bad,)], "t string").select(records.finding(F.col("t"))["status"]).collect()
+    assert reports.text_table(spark.createDataFrame([(1, None), (200, "x")], "a int, name string").orderBy("a")) == "  a  name\n  1      \n200     x"
+    assert reports.text_table(spark.createDataFrame([], "a int")) == "(no rows)"
+
+
+def test_suggestions_in_a_file(spark, tmp_path):
+    path = str(tmp_path / "s.yml")
+    assert taxonomy.read_suggested(spark, path).count() == 0
+    (tmp_path / "s.yml").write_text("own: {a: 1}\nllm_suggested:\n  s0: {kind: x, confidence: 1.0}\n")
+    p = spark.createDataFrame([("c1", "s1", "cache_key", 0.9, "why", 1), ("c2", "s2", "k", 0.1, "", 2), ("c3", "s0", "k", 0.9, "", 3)], "call_id string, storage_id string, kind string, confidence double, rationale string, ord int")
+    assert taxonomy.write_suggested(storage.merge_proposals(taxonomy.read_suggested(spark, path), p), path) == 2
+    assert {(r.storage_id, r.kind) for r in taxonomy.read_suggested(spark, path).collect()} == {("s0", "x"), ("s1", "cache_key")} and "own:" in (tmp_path / "s.yml").read_text()
+
+
+def test_groups_that_hold_themselves(spark):
+    members = spark.createDataFrame([("a", "@b"), ("b", "@a"), ("b", "x"), ("a", "@a")], "group_name string, member string")
+    assert [r.name for r in taxonomy.expand(members, spark.createDataFrame([("@a",)], "token string")).collect()] == ["x"]
+
+
 def test_taxonomy(spark, tmp_path):
     (tmp_path / "t.yaml").write_text("sqli:\n  aliases: [sql-injection]\n  cwes: [CWE-89]\n  group: injection\n  validation_hints: [h1]\nxss:\n  cwes: [CWE-79]\n  group: injection\ngroups:\n  injection: [sqli, xss]\n  all: ['@injection']\n")
     classes, members = taxonomy.read_yaml(spark, str(tmp_path / "t.yaml"))

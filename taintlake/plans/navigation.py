@@ -514,8 +514,8 @@ _TREE = "f AS (SELECT 'p' || (p_partkey % 40) || CASE WHEN p_partkey % 3 = 0 THE
 
 @query(
     f"""WITH {_TREE}, g AS (SELECT DISTINCT regexp_extract(path, '^(.*)/', 1) AS dir, regexp_extract(path, '([^/]*)$', 1) AS name FROM f),
-  n AS (SELECT 'node' AS kind, dir, 'package.json' AS manifest, coalesce((SELECT arg_min(m, r) FROM (VALUES ('yarn.lock', 'yarn', 1), ('package-lock.json', 'npm', 2)) v(l, m, r) JOIN g h ON h.name = l AND h.dir = g.dir), 'unknown') AS package_manager FROM g WHERE name = 'package.json'),
-  c AS (SELECT dir, min(CASE name WHEN 'pyproject.toml' THEN 0 ELSE 3 END) AS r FROM g WHERE name IN ('pyproject.toml', 'requirements.txt') GROUP BY dir),
+  n AS (SELECT 'node' AS kind, dir, 'package.json' AS manifest, 'unknown' AS package_manager FROM g WHERE name = 'package.json'),
+  c AS (SELECT dir, min(CASE name WHEN 'pyproject.toml' THEN 0 ELSE 3 END) AS r FROM g WHERE name IN ('pyproject.toml', 'requirements.txt') AND dir NOT IN (SELECT dir FROM n) GROUP BY dir),
   p AS (SELECT 'python' AS kind, dir, CASE r WHEN 0 THEN 'pyproject.toml' ELSE 'requirements.txt' END AS manifest, coalesce((SELECT arg_min(m, r) FROM (VALUES ('uv.lock', 'uv', 1), ('requirements.txt', 'pip', 5)) v(l, m, r) JOIN g h ON h.name = l AND h.dir = c.dir), 'unknown') AS package_manager
     FROM c WHERE NOT EXISTS (SELECT 1 FROM c b WHERE starts_with(c.dir, b.dir || '/'))) SELECT *, false AS workspace_member FROM n UNION ALL SELECT *, false FROM p"""
 )

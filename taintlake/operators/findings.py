@@ -149,8 +149,9 @@ def choose_flow(wanted: DataFrame, joined: DataFrame) -> DataFrame:
 
 def entrypoints(xrefs: DataFrame, order: str = "ord") -> DataFrame:
     """Calls that are entry points, the first of each (file, line, kind)."""
-    kinds = xrefs.where("kind = 'call'").select("caller_id", "file", "line", "callee_text", order, rules.entrypoint_kind(F.col("callee_text"), F.col("file")).alias("ep_kind"))
-    found = kinds.where("ep_kind is not null")
+    #: As an array that is exploded, so that the long CASE is evaluated once and no filter on the kind is pushed into it.
+    kind = F.array_compact(F.array(rules.entrypoint_kind(F.col("callee_text"), F.col("file"))))
+    found = xrefs.where("kind = 'call'").select("caller_id", "file", "line", "callee_text", order, F.explode(kind).alias("ep_kind"))
     first = found.groupBy("file", "line", "ep_kind").agg(F.min_by(F.struct("caller_id", "callee_text"), order).alias("f"))
     return first.select(F.col("f.caller_id").alias("symbol_id"), F.col("ep_kind").alias("kind"), F.col("f.callee_text").alias("signature"), "file", "line")
 

@@ -435,9 +435,9 @@ def alike_groups(docs: DataFrame, width: int = ALIKE_WIDTH) -> DataFrame:
     tried = checkpointed(pairs_of(met))
     links = checkpointed(_verified(tried, docs, marked, sets, width))
 
-    def apart() -> DataFrame:
+    def apart(found: DataFrame) -> DataFrame:
         """token, x, part of the members of tokens whose texts are not all in one group."""
-        placed = members.select("token", "salt", x).join(components(links), F.col("x.node") == F.col("node"), "left")
+        placed = members.select("token", "salt", x).join(found, F.col("x.node") == F.col("node"), "left")
         placed = checkpointed(placed.select("token", "x", F.coalesce("component", "x.node").alias("part")))
         mixed = placed.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select("token")
         return placed.join(mixed, "token", "left_semi")
@@ -447,13 +447,17 @@ def alike_groups(docs: DataFrame, width: int = ALIKE_WIDTH) -> DataFrame:
         return checkpointed(pairs_of(met).join(tried, ["a", "b"], "left_anti").join(turned, ["a", "b"], "left_anti"))
 
     #: The first text, by what it has of rare shingles, that is outside the group of the first of all meets those of other groups.
-    left, order = apart(), F.struct("x.rare", "x.node")
+    found = components(links)
+    left, order = apart(found), F.struct("x.rare", "x.node")
     first = left.groupBy("token").agg(F.min_by("part", order).alias("q"))
     second = left.join(first, "token").where("part != q").groupBy("token").agg(F.min_by(F.struct("x", "part"), order).alias("h"))
     fresh = untried(left.join(second, "token").where(F.col("part") != F.col("h.part")).select("x", F.col("h.x").alias("y")))
     if not fresh.isEmpty():
-        links, tried = checkpointed(links.unionByName(_verified(fresh, docs, marked, sets, width))), tried.unionByName(fresh)
-        left = apart()
+        new = checkpointed(_verified(fresh, docs, marked, sets, width))
+        links, tried = links.unionByName(new), tried.unionByName(fresh)
+        if not new.isEmpty():
+            found = components(links)
+            left = apart(found)
 
     #: What is apart still: each with each of the shingle, by sizes that can agree (a step is a factor of 5 / 4).
     step = F.floor(F.log("x.n") / F.log(F.lit(1.25)))
@@ -461,9 +465,10 @@ def alike_groups(docs: DataFrame, width: int = ALIKE_WIDTH) -> DataFrame:
     upper = left.select("token", F.col("x").alias("y"), F.col("part").alias("q"), F.explode(F.array(step - 1, step, step + 1)).alias("step"))
     rest = untried(lower.join(upper, ["token", "step"]).where("part < q").select("x", "y"))
     if not rest.isEmpty():
-        links = links.unionByName(_verified(rest, docs, marked, sets, width))
-
-    found = components(links.unionByName(again))
+        again = again.unionByName(_verified(rest, docs, marked, sets, width))
+    again = checkpointed(again)
+    if not again.isEmpty():
+        found = components(links.unionByName(again))
     labelled = checkpointed(sets.join(found, "node", "left").withColumn("part", F.coalesce("component", "node")))
     names = labelled.where("not nameless").groupBy("part").agg(F.min("key").alias("component_id"))
     nameless = F.lit(_NAMELESS).bitwiseOR(F.shiftrightunsigned("part", 2))

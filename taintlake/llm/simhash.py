@@ -9,11 +9,13 @@ which meets every pair within distance 1 once. Pairs from a cell must pass the M
 over all coordinates, then the exact count of differing bits, both inside the join.
 
 Three bits of 64 find copies with hardly an edit. ``alike_groups`` finds every two texts whose sets of
-five-word shingles (64-bit hashes of them) have a Jaccard similarity of 0.8 or more, exactly. A set is a fingerprint of
-very many bits; no grid of popcounts is selective at the distance of two ninths of all shingles, so another
-way bounds the candidates: under any one order of all shingles, the first n - ceil(0.8 n) + 1 of the n of such texts have
-one in common. Texts meet by those, if their sizes and the places of the common shingle allow the similarity, and
-their whole sets are compared. The order puts last what a sample knows as common, which only saves work; so does that
+five-word shingles (64-bit hashes of them) have a Jaccard similarity of 0.8 or more, exactly. It begins with the fingerprints of
+these sets: those that are equal, or meet on the grid, are candidates, whose whole sets are compared. No grid of popcounts is
+selective at the distance of two ninths of all shingles, so another
+way bounds the candidates that are left: under any one order of all shingles, the first n - ceil(0.8 n) + 1 of the n of such texts have
+one in common, and it is among the first n / 9 + 1 of the smaller. Texts meet by those, if their sizes and the places of the common shingle allow the similarity, and
+their whole sets are compared. Before that, parities of the shingles in ``64 * PARITIES`` cells bound how
+many they differ in from below. The order puts last what a sample knows as common, which only saves work; so does that
 all texts of a shingle are first compared with one of them (that with the fewest rare shingles, as an original has among its
 copies), then, where they are not in one group yet, with one outside its group, and only then with each other. Shingles of very
 many texts are salted: each salt's texts meet one of theirs, and these meet as those of one shingle.
@@ -48,6 +50,8 @@ _LOW = 0x5555555555555555
 ALIKE_WIDTH = 5
 #: One text in so many is sampled for common shingles; those in COMMON_LEAST of the sample are, COMMON_MOST at most.
 SAMPLE, COMMON_LEAST, COMMON_MOST = 32, 3, 100_000
+#: Longs of parities that each set has.
+PARITIES = 8
 #: Texts of one shingle, or compared with one text, that a task handles together.
 PER_SALT = 5000
 #: Rows (of two longs and two numbers) up to which what is asked for is broadcast: some 32 MB; beyond it the texts are shuffled.
@@ -182,6 +186,23 @@ def shingle_set(text: bytes, width: int = ALIKE_WIDTH) -> np.ndarray:
     return np.unique(np.concatenate(found).view(np.int64))
 
 
+def _majority(own: np.ndarray) -> int:
+    """The fingerprint of a set: a bit is set if over half of its hashes have it."""
+    ones = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(own), bitorder="little").view("<i8")[0])
+
+
+def parities(own: np.ndarray) -> np.ndarray:
+    """Whether each cell has an odd number of the hashes; two sets differ in no fewer hashes than parities."""
+    odd = np.bincount(own & (64 * PARITIES - 1), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def can_be_alike(n: Column, odd: Column, m: Column, other: Column) -> Column:
+    """Whether sets of ``n`` and ``m`` with these parities can agree by 4 / 5: they differ in (n + m) / 9 hashes at most."""
+    return 9 * sum((F.bit_count(odd[i].bitwiseXOR(other[i])) for i in range(PARITIES)), F.lit(0)) <= n + m
+
+
 def _set_id(own: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view(np.int64))
 
@@ -223,7 +244,7 @@ def _common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarra
 
 #: A row by which a text can be found again: its ``doc_id``, or without one the hash of its text.
 _ROW = "nameless boolean, key bigint"
-_FIRST = _ROW + ", node bigint, n bigint, rare bigint, first array<bigint>, salts array<int>"
+_FIRST = _ROW + ", node bigint, n bigint, rare bigint, first array<bigint>, salts array<int>, fp bigint, odd array<bigint>"
 _MEMBER = "token bigint, salt int, node bigint, n bigint, rare bigint, pos int, hub bigint, hub_n bigint, hub_pos int, hub_rare bigint"
 _AGREES = "a bigint, b bigint"
 
@@ -240,14 +261,14 @@ def _salt(node: int, salts):
 
 
 def _marked(docs: DataFrame, width: int) -> DataFrame:
-    """Each row's key, the id and size of its set, its first shingles and their salts (a set's shingles once per slice), written down."""
+    """Each row's key, the id, size, fingerprint and parities of its set, its first shingles and their salts (a set's shingles once per slice), written down."""
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(_common_shingles(docs, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, rank, texts = known.value
         for batch in batches:
-            nodes, sizes, rares, firsts, salts, seen = [], [], [], [], [], set()
+            nodes, sizes, rares, firsts, salts, fps, odd, seen = [], [], [], [], [], [], [], set()
             for text in utf8(batch.column(2)):
                 own = shingle_set(text or b"", width)
                 node = _set_id(own)
@@ -259,11 +280,11 @@ def _marked(docs: DataFrame, width: int) -> DataFrame:
                 if len(common) and len(first):
                     at = np.minimum(np.searchsorted(common, first), len(common) - 1)
                     many = np.where(common[at] == first, -(-texts[at] // PER_SALT), 1)
-                nodes.append(node), sizes.append(len(own)), rares.append(rare), firsts.append(first)
+                nodes.append(node), sizes.append(len(own)), rares.append(rare), firsts.append(first), fps.append(_majority(own)), odd.append(parities(own))
                 salts.append(np.where(many > 1, 1 + _salt(node, np.maximum(many, 1)), 0))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(rares, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(salts, pa.list_(pa.int32()))],
-                names=["nameless", "key", "node", "n", "rare", "first", "salts"],
+                [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(rares, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(salts, pa.list_(pa.int32())), pa.array(fps, pa.int64()), pa.array(odd, pa.list_(pa.int64()))],
+                names=["nameless", "key", "node", "n", "rare", "first", "salts", "fp", "odd"],
             )
 
     place = shared_dir(spark, "shingles")
@@ -364,24 +385,14 @@ def _agreeing(sent: DataFrame, agree) -> DataFrame:
     return sent.repartition(n, "b", "salt").sortWithinPartitions("b", "salt", "second").mapInArrow(compare, _AGREES)
 
 
-def _first_size(n: int) -> int:
-    return n - (4 * n + 4) // 5 + 1 if n else 0
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, marked: DataFrame, sets: DataFrame, width: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose whole sets agree by 4 / 5.
 
-    First by their first shingles alone, a fifth of the sets, which are written down: whichever of two sets has its first shingles end
-    earlier in the order of all, what they share of it is among the other's first, so they share no more than those and the rest of that set.
-    Of the pairs that this leaves, every text is hashed again where it lies, and whole sets are compared.
+    First by their parities, which are written down; of the pairs that these leave, every text is hashed again where it lies,
+    and whole sets are compared.
     """
-    asked, few = _asked(pairs)
-    small = (lambda df: F.broadcast(df)) if few else (lambda df: df)
-    firsts = marked.where("size(first) > 0").select("node", "n", "first").join(small(asked), "node")
-    salt_of = lambda node, many: F.pmod(F.xxhash64(node), many).cast("int")
-    second = firsts.select("n", "first", "node", F.explode("with").alias("w")).select(F.col("w.b").alias("b"), salt_of(F.col("node"), F.col("w.many")).alias("salt"), F.lit(True).alias("second"), F.col("node").alias("a"), "n", F.col("first").alias("own"))
-    head = firsts.where("many is not null").select(F.col("node").alias("b"), F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("salt"), F.lit(False).alias("second"), F.col("node").alias("a"), "n", F.col("first").alias("own"))
-    likely = _agreeing(head.unionByName(second), lambda n, m, both: 9 * (both + max(n - _first_size(n), m - _first_size(m))) >= 4 * (n + m))
+    x, y = (sets.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("odd").alias(f"odd{k}")) for k in "ab")
+    likely = pairs.join(x, "a").join(y, "b").where(can_be_alike(F.col("na"), F.col("odda"), F.col("nb"), F.col("oddb"))).select("a", "b")
     asked, few = _asked(checkpointed(likely.distinct()))
     small = (lambda df: F.broadcast(df)) if few else (lambda df: df)
     keyed = asked.join(sets, "node").select(F.col("nameless").alias("_nameless"), F.col("key").alias("_key"), "node", "with", "many")
@@ -409,7 +420,12 @@ def alike_groups(docs: DataFrame, width: int = ALIKE_WIDTH) -> DataFrame:
     """nameless and key of a row of every distinct set of shingles, its node (a hash), component_id and group."""
     spark = docs.sparkSession
     marked = _marked(docs, width)
-    sets = checkpointed(marked.groupBy("node").agg(F.min(F.struct("nameless", "key")).alias("row")).select("node", "row.*"))
+    of_node = [F.first(c).alias(c) for c in ("n", "rare", "fp", "odd")]
+    sets = checkpointed(marked.groupBy("node").agg(F.min(F.struct("nameless", "key")).alias("row"), *of_node).select("node", "row.*", "n", "rare", "fp", "odd"))
+    #: Texts of one fingerprint meet one of theirs, and these meet on the grid.
+    points = checkpointed(sets.groupBy("fp").agg(F.min_by("node", F.struct("rare", "node")).alias("head")))
+    copies = sets.join(points, "fp").where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    near = copies.unionByName(near_pairs(points.select(F.col("head").alias("node"), "fp")))
     named = marked.where("not nameless").groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("high")).where("a != high").select("key", "a")
     #: Rows with equal doc_id are one document.
     again = marked.where("not nameless").join(named, "key").where("node != a").select("a", F.col("node").alias("b")).distinct()
@@ -432,8 +448,8 @@ def alike_groups(docs: DataFrame, width: int = ALIKE_WIDTH) -> DataFrame:
     heads = members.where("salt > 0 and node = hub").select("token", x)
     best = heads.groupBy("token").agg(F.min_by("x", F.struct("x.rare", "x.node")).alias("y"))
     met = members.select(x, y.alias("y")).unionByName(heads.join(best, "token").select("x", "y"))
-    tried = checkpointed(pairs_of(met))
-    links = checkpointed(_verified(tried, docs, marked, sets, width))
+    tried = checkpointed(pairs_of(met).unionByName(near).distinct())
+    links = checkpointed(_verified(tried, docs, sets, width))
 
     def apart(found: DataFrame) -> DataFrame:
         """token, x, part of the members of tokens whose texts are not all in one group."""
@@ -453,19 +469,23 @@ def alike_groups(docs: DataFrame, width: int = ALIKE_WIDTH) -> DataFrame:
     second = left.join(first, "token").where("part != q").groupBy("token").agg(F.min_by(F.struct("x", "part"), order).alias("h"))
     fresh = untried(left.join(second, "token").where(F.col("part") != F.col("h.part")).select("x", F.col("h.x").alias("y")))
     if not fresh.isEmpty():
-        new = checkpointed(_verified(fresh, docs, marked, sets, width))
+        new = checkpointed(_verified(fresh, docs, sets, width))
         links, tried = links.unionByName(new), tried.unionByName(fresh)
         if not new.isEmpty():
             found = components(links)
             left = apart(found)
 
-    #: What is apart still: each with each of the shingle, by sizes that can agree (a step is a factor of 5 / 4).
+    #: What is apart still: each with each of the shingle, by sizes that can agree (a step is a factor of 5 / 4), if the parities
+    #: allow it; of the smaller set the shingle must be among the first n / 9 + 1.
     step = F.floor(F.log("x.n") / F.log(F.lit(1.25)))
-    lower = left.withColumn("step", step)
-    upper = left.select("token", F.col("x").alias("y"), F.col("part").alias("q"), F.explode(F.array(step - 1, step, step + 1)).alias("step"))
-    rest = untried(lower.join(upper, ["token", "step"]).where("part < q").select("x", "y"))
+    lower = left.join(left.where("9 * x.pos <= x.n").select("token").distinct(), "token", "left_semi").withColumn("step", step)
+    lower = lower.join(sets.select("node", "odd"), F.col("x.node") == F.col("node")).drop("node")
+    upper = lower.where("9 * x.pos <= x.n").select("token", F.col("x").alias("y"), F.col("part").alias("q"), F.col("odd").alias("other"), F.explode(F.array("step", F.col("step") + 1)).alias("step"))
+    ordered = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") > F.col("y.node")))
+    fits = can_agree(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
+    rest = untried(lower.join(upper, ["token", "step"]).where(ordered & (F.col("part") != F.col("q")) & fits & can_be_alike(F.col("x.n"), F.col("odd"), F.col("y.n"), F.col("other"))).select("x", "y"))
     if not rest.isEmpty():
-        again = again.unionByName(_verified(rest, docs, marked, sets, width))
+        again = again.unionByName(_verified(rest, docs, sets, width))
     again = checkpointed(again)
     if not again.isEmpty():
         found = components(links.unionByName(again))

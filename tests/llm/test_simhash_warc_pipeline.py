@@ -224,6 +224,32 @@ def test_meeting_in_batches(data, size):
             want += [(*r, first[2], first[3], first[5], first[4]) for r in nodes]
     assert got == sorted(want)
 
+def test_one_document_by_the_popcount_grid(spark, monkeypatch):
+    """The stage's first candidates are fingerprints that meet on the grid; what these miss comes by first shingles."""
+    data, met = alike_rows(), []
+    grid = simhash.near_pairs
+    monkeypatch.setattr(simhash, "near_pairs", lambda points: met.append(points.count()) or grid(points))
+    kept = simhash.keep_one(documents(spark, data)).count()
+    assert met and met[0] > 100
+    monkeypatch.setattr(simhash, "near_pairs", lambda points: grid(points).where("false"))
+    assert simhash.keep_one(documents(spark, data)).count() == kept
+
+
+def test_parities_never_part_alike_sets(spark):
+    """9 * (cells of odd count that differ) <= n + m holds for every two sets that agree by 0.8, and fails for unlike ones."""
+    rng = np.random.default_rng(2)
+    data = []
+    for n in (1, 4, 9, 45, 90, 400, 3000):
+        own = rng.integers(-(1 << 63), 1 << 63, n)
+        for more in (n // 4, n // 9):
+            data.append((own, np.concatenate([own, rng.integers(-(1 << 63), 1 << 63, more)]), True))
+            data.append((own, np.concatenate([own[more:], rng.integers(-(1 << 63), 1 << 63, n // 9 - more if more < n // 9 else 0)]), 5 * (n - more) >= 4 * n))
+        if 40 < n < 500:
+            data.append((own, rng.integers(-(1 << 63), 1 << 63, n), False))
+    frame = spark.createDataFrame([(len(a), len(b), simhash.parities(a).tolist(), simhash.parities(b).tolist(), alike) for a, b, alike in data], "n bigint, m bigint, x array<bigint>, y array<bigint>, alike boolean")
+    got = [(r.alike, r.can) for r in frame.select("alike", simhash.can_be_alike(F.col("n"), F.col("x"), F.col("m"), F.col("y")).alias("can")).collect()]
+    assert all(can for alike, can in got if alike) and not any(can for (a, b, alike), (_, can) in zip(data, got) if not alike and 40 < len(a) < 500 and not np.isin(a, b).any())
+
 
 PAGES = [(1, "http://a.example/x y", "<p>one</p>"), (2, "http://b.example", "<p>one</p>"), (3, None, None), (4, "u", ""), (5, "http://c.example/é", "日本\r\n\r\nWARC/1.1\n" * 9), (None, "n", "<p>one</p>"), (None, "m", "only here"), (7, "big", "x" * 300_000), (-9, "neg", "minus"), (8, "t", "minus"), (1, "http://a.example/again", "<p>one</p>")]
 

@@ -86,10 +86,27 @@ def give_back() -> None:
         trim(0)
 
 
-def map_slices(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, column: int) -> DataFrame:
-    """``df.mapInArrow(run, schema)`` over small slices (by ``pieces_of`` the text in ``column``) instead of whole batches."""
+#: What a worker process keeps between tasks, by a key that names it.
+HELD: dict[tuple, object] = {}
+
+
+def let_go(needs: tuple | None) -> None:
+    """Drops what tasks of other stages kept in this worker, so that a stage's tables don't come on top of it."""
+    others = [k for k in HELD if k != needs]
+    for k in others:
+        del HELD[k]
+    if others:
+        give_back()
+
+
+def map_slices(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, column: int, needs: tuple | None = None) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` over small slices (by ``pieces_of`` the text in ``column``) instead of whole batches.
+
+    Of what workers keep (``HELD``), only what is under the key ``needs`` stays.
+    """
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(needs)
         try:
             yield from run(part for whole in batches for part in pieces_of(whole, column))
         finally:

@@ -22,6 +22,8 @@ from array import array
 from collections.abc import Callable, Iterator
 from itertools import islice
 
+from .common import HELD
+
 #: White space in any sense that a splitting pattern could have, other than the first four.
 _ODD = "\x0b\x0c\x1c-\x1f\x85\xa0  -     　"
 #: White space, then all up to where plain white space follows a character that is none.
@@ -125,11 +127,8 @@ class Encoder:
         return out
 
 
-_HELD: dict[tuple[str, bool], Encoder] = {}
-
-
 def encoder(path: str, space: bool) -> Encoder:
-    """One encoder per worker process."""
-    if (path, space) not in _HELD:
-        _HELD[path, space] = Encoder(path, space)
-    return _HELD[path, space]
+    """One encoder per worker process, until it runs a task that needs another or none."""
+    if (path, space) not in HELD:
+        HELD[path, space] = Encoder(path, space)
+    return HELD[path, space]

@@ -55,7 +55,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, room: int, space:
         return batches_of(rows(), _ITEMS)
 
     place = shared_dir(spark, "pieces")
-    map_slices(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, _ITEMS_DDL, 1).write.parquet(place)
+    map_slices(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, _ITEMS_DDL, 1, needs=(tokenizer_path, space)).write.parquet(place)
     return spark.read.schema(_ITEMS_DDL).parquet(place)
 
 

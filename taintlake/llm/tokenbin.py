@@ -66,7 +66,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, bits: int =
 
         return batches_of(rows(), _SHARDS)
 
-    map_slices(ranged, run, "part bigint, seq bigint, n bigint", 1).write.parquet(f"{folder}/index")
+    map_slices(ranged, run, "part bigint, seq bigint, n bigint", 1, needs=(tokenizer_path, space)).write.parquet(f"{folder}/index")
     return folder, spark.read.schema("part bigint, seq bigint, n bigint").parquet(f"{folder}/index")
 
 

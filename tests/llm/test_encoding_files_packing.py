@@ -146,3 +146,15 @@ def test_best_fit(lengths):
     bins, offsets, full = packing.best_fit(lengths, 32)
     assert _sound(list(zip(bins, offsets, lengths)), 32) == len(full)
     assert sum(f <= 16 for f in full) <= 1
+
+
+def test_workers_let_go_of_what_other_stages_kept():
+    """An encoder stays for tasks that need it and goes before one that does not."""
+    from taintlake.llm import common, encoding
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = encoding.encoder(path, True)
+    common.let_go((path, True))
+    assert encoding.encoder(path, True) is own
+    common.let_go(None)
+    assert not common.HELD

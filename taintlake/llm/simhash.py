@@ -14,10 +14,10 @@ these sets: those that are equal, or meet on the grid, are candidates, whose who
 selective at the distance of two ninths of all shingles, so another
 way bounds the candidates that are left: under any one order of all shingles, the first n - ceil(0.8 n) + 1 of the n of such texts have
 one in common, and it is among the first n / 9 + 1 of the smaller. Texts meet by those, if their sizes and the places of the common shingle allow the similarity, and
-their whole sets are compared. Before that, parities of the shingles in ``64 * PARITIES`` cells bound how
+their whole sets are compared. Before that, parities of the shingles in as many cells as there are shingles, or more, bound how
 many they differ in from below. The order puts last what a sample knows as common, which only saves work; so does that
 all texts of a shingle are first compared with one of them (that with the fewest rare shingles, as an original has among its
-copies), then, where they are not in one group yet, with one outside its group, and only then with each other. Shingles of very
+copies), then, where they are not in one group yet, with one outside its group, and only then with each other (of a shingle of two texts, both have met by then). Shingles of very
 many texts are salted: each salt's texts meet one of theirs, and these meet as those of one shingle.
 
 Counts are kept in unary (00, 01, 11), so that the Manhattan distance of two points is the
@@ -26,13 +26,14 @@ number of differing bits of their codes. Copies are one point; a point has some
 Defined results: null text and text without a word have fingerprint zero and link like any
 other, those without a word only with each other in ``alike_groups``; rows with null ``doc_id`` take part, and are their component's
 name never (null if it has no other rows); rows with equal ``doc_id`` are one document, so their texts are linked; repeated
-rows give repeated results; a very long text is hashed in sections; other columns, of whatever name, are not read by
+rows give repeated results; a very long text is hashed in sections for fingerprints, whole for sets; other columns, of whatever name, are not read by
 ``near_duplicates``, and ``keep_one`` returns them as they are; an empty table gives no row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +51,12 @@ _LOW = 0x5555555555555555
 ALIKE_WIDTH = 5
 #: One text in so many is sampled for common shingles; those in COMMON_LEAST of the sample are, COMMON_MOST at most.
 SAMPLE, COMMON_LEAST, COMMON_MOST = 32, 3, 100_000
-#: Longs of parities that each set has.
+#: Odd factors that mix the hashes of a shingle's words.
+_ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9], dtype=np.uint64)
+#: Longs of parities that each set has, at least.
 PARITIES = 8
+#: And at most.
+MOST_PARITIES = 1 << 14
 #: Texts of one shingle, or compared with one text, that a task handles together.
 PER_SALT = 5000
 #: Rows (of two longs and two numbers) up to which what is asked for is broadcast: some 32 MB; beyond it the texts are shuffled.
@@ -174,16 +179,18 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
 
 
 def shingle_set(text: bytes, width: int = ALIKE_WIDTH) -> np.ndarray:
-    """Distinct hashes of the shingles, sorted; a text of fewer words is one shingle, one without a word has none."""
+    """Distinct hashes of the shingles, each mixed of its words' hashes in their order, sorted; a text of fewer words is one shingle, one without a word has none."""
     words = text.translate(LOWER_ASCII).split()
     if not words:
         return np.zeros(0, dtype=np.int64)
-    of, found = xxhash.xxh64_intdigest, []
-    for start in range(0, max(1, len(words) - width + 1), 1 << 15):
-        part = words[start : start + (1 << 15) + width - 1]
-        shingles = map(b" ".join, zip(*(part[i:] for i in range(width)))) if len(part) > width else [b" ".join(part)]
-        found.append(np.fromiter((of(x, SEED) for x in shingles), dtype=np.uint64))
-    return np.unique(np.concatenate(found).view(np.int64))
+    each = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(SEED)), dtype=np.uint64, count=len(words))
+    width = min(width, len(words))
+    found = np.full(len(words) - width + 1, width, dtype=np.uint64)
+    for i in range(width):
+        found = (found ^ each[i : i + len(found)]) * _ODD[0]
+        found = (found ^ (found >> np.uint64(32))) * _ODD[1]
+        found ^= found >> np.uint64(29)
+    return np.unique(found.view(np.int64))
 
 
 def _majority(own: np.ndarray) -> int:
@@ -192,17 +199,43 @@ def _majority(own: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(own), bitorder="little").view("<i8")[0])
 
 
-def parities(own: np.ndarray) -> np.ndarray:
+def parities(own: np.ndarray, longs: int = PARITIES) -> np.ndarray:
     """Whether each cell has an odd number of the hashes; two sets differ in no fewer hashes than parities."""
-    odd = np.bincount(own & (64 * PARITIES - 1), minlength=64 * PARITIES) & 1
+    odd = np.bincount(own & (64 * longs - 1), minlength=64 * longs) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def fine_parities(own: np.ndarray) -> np.ndarray:
+    """Parities in as many cells as there are hashes, or more, by powers of two: over fewer, half are odd in any case, which bounds nothing.
+
+    Beyond ``64 * MOST_PARITIES`` hashes the bound is weaker.
+    """
+    return parities(own, min(MOST_PARITIES, max(PARITIES, 1 << max(0, len(own) - 1).bit_length() >> 6)))
+
+
+def folded(fine: np.ndarray) -> np.ndarray:
+    """The ``PARITIES`` longs that ``parities`` gives, from those of more cells."""
+    return np.bitwise_xor.reduce(fine.reshape(-1, PARITIES), axis=0)
+
+
 def can_be_alike(n: Column, odd: Column, m: Column, other: Column) -> Column:
     """Whether sets of ``n`` and ``m`` with these parities can agree by 4 / 5: they differ in (n + m) / 9 hashes at most."""
     return 9 * sum((F.bit_count(odd[i].bitwiseXOR(other[i])) for i in range(PARITIES)), F.lit(0)) <= n + m
 
 
+def can_be_alike_finely(n: Column, fine: Column, m: Column, other: Column) -> Column:
+    """``can_be_alike`` by ``fine_parities``: sizes that can agree have as many cells, or one has twice as many, whose halves are put together."""
+
+    def halved(x: Column) -> Column:
+        half = (F.size(x) / 2).cast("int")
+        return F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), lambda a, b: a.bitwiseXOR(b))
+
+    x = F.when(F.size(fine) > F.size(other), halved(fine)).otherwise(fine)
+    y = F.when(F.size(other) > F.size(fine), halved(other)).otherwise(other)
+    differ = F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, k: total + k)
+    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * differ <= n + m)
+
+
 def _set_id(own: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view(np.int64))
 
@@ -244,8 +277,9 @@ def _common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarra
 
 #: A row by which a text can be found again: its ``doc_id``, or without one the hash of its text.
 _ROW = "nameless boolean, key bigint"
-_FIRST = _ROW + ", node bigint, n bigint, rare bigint, first array<bigint>, salts array<int>, fp bigint, odd array<bigint>"
+_FIRST = _ROW + ", node bigint, n bigint, rare bigint, first array<bigint>, salts array<int>, fp bigint, odd array<bigint>, fine array<bigint>"
 _MEMBER = "token bigint, salt int, node bigint, n bigint, rare bigint, pos int, hub bigint, hub_n bigint, hub_pos int, hub_rare bigint"
+_WIDE = _MEMBER + ", wide boolean"
 _AGREES = "a bigint, b bigint"
 
 
@@ -268,7 +302,7 @@ def _marked(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, rank, texts = known.value
         for batch in batches:
-            nodes, sizes, rares, firsts, salts, fps, odd, seen = [], [], [], [], [], [], [], set()
+            nodes, sizes, rares, firsts, salts, fps, fines, seen = [], [], [], [], [], [], [], set()
             for text in utf8(batch.column(2)):
                 own = shingle_set(text or b"", width)
                 node = _set_id(own)
@@ -280,11 +314,11 @@ def _marked(docs: DataFrame, width: int) -> DataFrame:
                 if len(common) and len(first):
                     at = np.minimum(np.searchsorted(common, first), len(common) - 1)
                     many = np.where(common[at] == first, -(-texts[at] // PER_SALT), 1)
-                nodes.append(node), sizes.append(len(own)), rares.append(rare), firsts.append(first), fps.append(_majority(own)), odd.append(parities(own))
+                nodes.append(node), sizes.append(len(own)), rares.append(rare), firsts.append(first), fps.append(_majority(own)), fines.append(fine_parities(own))
                 salts.append(np.where(many > 1, 1 + _salt(node, np.maximum(many, 1)), 0))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(rares, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(salts, pa.list_(pa.int32())), pa.array(fps, pa.int64()), pa.array(odd, pa.list_(pa.int64()))],
-                names=["nameless", "key", "node", "n", "rare", "first", "salts", "fp", "odd"],
+                [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(rares, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(salts, pa.list_(pa.int32())), pa.array(fps, pa.int64()), pa.array(map(folded, fines), pa.list_(pa.int64())), pa.array(fines, pa.list_(pa.int64()))],
+                names=["nameless", "key", "node", "n", "rare", "first", "salts", "fp", "odd", "fine"],
             )
 
     place = shared_dir(spark, "shingles")
@@ -343,6 +377,39 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _widths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds to what ``_meet`` gives whether a run is one of a token's salts or has more than two rows; of two, both have met.
+
+    Of a batch's last run, up to two rows are held until it is known.
+    """
+    names = [x.split()[0] for x in _WIDE.split(", ")]
+    held, wide = None, None  # rows of the last run while they are two at most; its token and salt once they are more
+    for batch in batches:
+        if held is not None:
+            batch = pa.concat_batches([held, batch])
+        if not batch.num_rows:
+            continue
+        token, salt = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        start = np.ones(len(token), dtype=bool)
+        start[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])
+        run = np.cumsum(start) - 1
+        many = np.bincount(run) > 2
+        many[0] |= wide == (token[0], salt[0])
+        held, wide, end = None, (token[-1], salt[-1]) if many[-1] else None, len(token)
+        if not many[-1]:
+            end = int(np.flatnonzero(start)[-1])
+            held = batch.slice(end)
+        if end:
+            yield pa.RecordBatch.from_arrays([*batch.slice(0, end).columns, pa.array((many[run] | (salt > 0))[:end])], names=names)
+    if held is not None:
+        yield pa.RecordBatch.from_arrays([*held.columns, pa.array(held.column(1).to_numpy() > 0)], names=names)
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """To be broadcast if it has ``FEW`` rows at most."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 def can_agree(n: Column, at: Column, m: Column, other: Column) -> Column:
     """Whether sets of ``n`` and ``m`` can agree by 4 / 5 that have their first common shingle here: so many come after it at most."""
     return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * F.least(n - at, m - other) >= 4 * (n + m))
@@ -391,11 +458,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int) ->
     First by their parities, which are written down; of the pairs that these leave, every text is hashed again where it lies,
     and whole sets are compared.
     """
-    x, y = (sets.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("odd").alias(f"odd{k}")) for k in "ab")
-    likely = pairs.join(x, "a").join(y, "b").where(can_be_alike(F.col("na"), F.col("odda"), F.col("nb"), F.col("oddb"))).select("a", "b")
+    x, y = (sets.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("fine").alias(f"fine{k}")) for k in "ab")
+    likely = pairs.join(x, "a").join(y, "b").where(can_be_alike_finely(F.col("na"), F.col("finea"), F.col("nb"), F.col("fineb"))).select("a", "b")
     asked, few = _asked(checkpointed(likely.distinct()))
     small = (lambda df: F.broadcast(df)) if few else (lambda df: df)
-    keyed = asked.join(sets, "node").select(F.col("nameless").alias("_nameless"), F.col("key").alias("_key"), "node", "with", "many")
+    keyed = small(asked).join(sets, "node").select(F.col("nameless").alias("_nameless"), F.col("key").alias("_key"), "node", "with", "many")
     keyed = checkpointed(keyed)
     texts = _keyed(docs).join(small(keyed), (F.col("key") == F.col("_key")) & (F.col("nameless") == F.col("_nameless"))).select("text", "node", "with", "many")
 
@@ -420,8 +487,8 @@ def alike_groups(docs: DataFrame, width: int = ALIKE_WIDTH) -> DataFrame:
     """nameless and key of a row of every distinct set of shingles, its node (a hash), component_id and group."""
     spark = docs.sparkSession
     marked = _marked(docs, width)
-    of_node = [F.first(c).alias(c) for c in ("n", "rare", "fp", "odd")]
-    sets = checkpointed(marked.groupBy("node").agg(F.min(F.struct("nameless", "key")).alias("row"), *of_node).select("node", "row.*", "n", "rare", "fp", "odd"))
+    of_node = [F.first(c).alias(c) for c in ("n", "rare", "fp", "odd", "fine")]
+    sets = checkpointed(marked.groupBy("node").agg(F.min(F.struct("nameless", "key")).alias("row"), *of_node).select("node", "row.*", "n", "rare", "fp", "odd", "fine"))
     #: Texts of one fingerprint meet one of theirs, and these meet on the grid.
     points = checkpointed(sets.groupBy("fp").agg(F.min_by("node", F.struct("rare", "node")).alias("head")))
     copies = sets.join(points, "fp").where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b"))
@@ -434,8 +501,8 @@ def alike_groups(docs: DataFrame, width: int = ALIKE_WIDTH) -> DataFrame:
     tokens = marked.select("node", "n", "rare", F.posexplode(F.arrays_zip("first", "salts")).alias("pos", "f"))
     tokens = tokens.select(F.col("f.first").alias("token"), F.col("f.salts").alias("salt"), "node", "n", "rare", "pos")
     place = shared_dir(spark, "members")
-    tokens.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", "rare", "node").mapInArrow(_meet, _MEMBER).write.parquet(place)
-    members = spark.read.schema(_MEMBER).parquet(place)
+    tokens.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", "rare", "node").mapInArrow(lambda rows: _widths(_meet(rows)), _WIDE).write.parquet(place)
+    members = spark.read.schema(_WIDE).parquet(place)
 
     def pairs_of(met: DataFrame) -> DataFrame:
         """(a, b) of rows with x (node, n, rare, pos) and the like y, where y comes first."""
@@ -451,22 +518,27 @@ def alike_groups(docs: DataFrame, width: int = ALIKE_WIDTH) -> DataFrame:
     tried = checkpointed(pairs_of(met).unionByName(near).distinct())
     links = checkpointed(_verified(tried, docs, sets, width))
 
+    order = F.struct("x.rare", "x.node")
+
     def apart(found: DataFrame) -> DataFrame:
-        """token, x, part of the members of tokens whose texts are not all in one group."""
-        placed = members.select("token", "salt", x).join(found, F.col("x.node") == F.col("node"), "left")
+        """token, x, part, q of the members of tokens whose texts are not all in one group; q is the group of the first, by what it has of rare shingles.
+
+        Tokens of two texts and those that are among the first n / 9 + 1 of none of theirs are left out.
+        """
+        found = _few(found)
+        placed = members.where("wide").select("token", x).join(found, F.col("x.node") == F.col("node"), "left")
         placed = checkpointed(placed.select("token", "x", F.coalesce("component", "x.node").alias("part")))
-        mixed = placed.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select("token")
-        return placed.join(mixed, "token", "left_semi")
+        mixed = placed.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min_by("part", order).alias("q"), F.min(9 * F.col("x.pos") - F.col("x.n")).alias("at")).where("low != high and at <= 0")
+        return checkpointed(placed.join(_few(checkpointed(mixed.select("token", "q"))), "token"))
 
     def untried(met: DataFrame) -> DataFrame:
         turned = tried.select(F.col("a").alias("b"), F.col("b").alias("a"))
         return checkpointed(pairs_of(met).join(tried, ["a", "b"], "left_anti").join(turned, ["a", "b"], "left_anti"))
 
-    #: The first text, by what it has of rare shingles, that is outside the group of the first of all meets those of other groups.
+    #: The first text that is outside the group of the first of all meets those of other groups.
     found = components(links)
-    left, order = apart(found), F.struct("x.rare", "x.node")
-    first = left.groupBy("token").agg(F.min_by("part", order).alias("q"))
-    second = left.join(first, "token").where("part != q").groupBy("token").agg(F.min_by(F.struct("x", "part"), order).alias("h"))
+    left = apart(found)
+    second = left.where("part != q").groupBy("token").agg(F.min_by(F.struct("x", "part"), order).alias("h"))
     fresh = untried(left.join(second, "token").where(F.col("part") != F.col("h.part")).select("x", F.col("h.x").alias("y")))
     if not fresh.isEmpty():
         new = checkpointed(_verified(fresh, docs, sets, width))
@@ -478,7 +550,7 @@ def alike_groups(docs: DataFrame, width: int = ALIKE_WIDTH) -> DataFrame:
     #: What is apart still: each with each of the shingle, by sizes that can agree (a step is a factor of 5 / 4), if the parities
     #: allow it; of the smaller set the shingle must be among the first n / 9 + 1.
     step = F.floor(F.log("x.n") / F.log(F.lit(1.25)))
-    lower = left.join(left.where("9 * x.pos <= x.n").select("token").distinct(), "token", "left_semi").withColumn("step", step)
+    lower = left.drop("q").withColumn("step", step)
     lower = lower.join(sets.select("node", "odd"), F.col("x.node") == F.col("node")).drop("node")
     upper = lower.where("9 * x.pos <= x.n").select("token", F.col("x").alias("y"), F.col("part").alias("q"), F.col("odd").alias("other"), F.explode(F.array("step", F.col("step") + 1)).alias("step"))
     ordered = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") > F.col("y.node")))

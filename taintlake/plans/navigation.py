@@ -416,7 +416,7 @@ _TAINT = _WROTE + """, t AS (SELECT storage_id, 'T-stored-' || substr(sha1(stora
 def _taint(spark, d):
     """Writes, written down once, and what they derive beside a location that is known to be tainted already."""
     relational.ensure_checkpoint_dir(spark)
-    wrote = storage.writes(x.flows(spark, d), x.sinks(spark, d))[1].checkpoint()
+    wrote = storage.writes(x.flows(spark, d), x.sinks(spark, d))[1].select("storage_id", "flow_id", "source_tid").checkpoint()
     known = spark.createDataFrame([("sql:t3.c1",)], "storage_id string").select("storage_id", ids.derived_tid("storage_id").alias("derived_tid"), F.array().cast("array<string>").alias("contributing_tids"), F.lit("definite").alias("confidence"))
     return wrote, storage.derive(wrote, known)
 

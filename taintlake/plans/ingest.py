@@ -38,7 +38,7 @@ _SARIF = f"""WITH r AS (SELECT 'js/r' || (l_suppkey % 9) AS rule, CASE WHEN l_su
   f AS (SELECT DISTINCT 'flow:' || {_sha("'p'", "tid", "sid", "rule")} AS fid, tid, sid, cwe, f1 || ':' || n1 AS origin, f2 || ':' || n2 AS sink, rule FROM i) """
 
 
-def _sarif(spark, d):
+def _sarif(spark, d, **options):
     li = table(spark, d, "lineitem")
     n = F.col("l_linenumber")
     place = lambda f, line: F.struct(F.struct(f.alias("uri")).alias("artifactLocation"), F.struct(line.cast("int").alias("startLine")).alias("region"))
@@ -50,7 +50,7 @@ def _sarif(spark, d):
     rules = F.array(*[F.struct(F.lit(f"js/r{i}").alias("id"), F.struct(tags(i).alias("tags")).alias("properties")) for i in range(9)])
     run = F.struct(F.struct(F.struct(rules.alias("rules")).alias("driver")).alias("tool"), F.collect_list(result).alias("results"))
     text = li.groupBy("l_orderkey").agg(F.to_json(F.struct(F.array(run).alias("runs"))).alias("t"))
-    return records.sarif_rows(text.select(F.from_json("t", schemas.SARIF).alias("d")).select("d.*"), "p", "/r", "codeql")
+    return records.sarif_rows(text.select(F.from_json("t", schemas.SARIF).alias("d")).select("d.*"), "p", "/r", "codeql", **options)
 
 
 @query(_SARIF + "SELECT fid, tid, sid, cwe FROM f")
@@ -61,9 +61,9 @@ def sarif_flows(spark, d):
 @query(_SARIF + "SELECT DISTINCT tid, f1 || ':' || n1 AS evidence_loc, min(CASE WHEN one THEN 'pattern' ELSE rule END) AS class FROM i GROUP BY ALL HAVING count(DISTINCT one) = 1")
 def sarif_sources(spark, d):
     """Sources whose results are all with, or all without, a code flow (else either class may stay)."""
-    flows = _sarif(spark, d)
-    both = flows["flows"].select("tid", (F.size("steps") == 1).alias("one")).groupBy("tid").agg(F.count_distinct("one").alias("k")).where("k = 1")
-    return flows["taint_sources"].join(both, "tid", "left_semi").select("tid", "evidence_loc", "class")
+    found = _sarif(spark, d, distinct=False)["taint_sources"].select("tid", "evidence_loc", "class").distinct()
+    one = F.col("class").eqNullSafe(F.lit("pattern"))
+    return found.groupBy("tid", "evidence_loc").agg(F.any_value("class").alias("class"), F.every(one).alias("all"), F.some(one).alias("some")).where("all = some").drop("all", "some")
 
 
 def _lines(df: DataFrame, *columns) -> DataFrame:

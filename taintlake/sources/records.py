@@ -34,8 +34,12 @@ def _place(p: Column, root: str) -> Column:
     return F.struct(file.alias("file"), start.alias("start"), F.coalesce(p["region"]["endLine"], start).alias("end"), F.lit(None).cast("string").alias("snippet"))
 
 
-def sarif_rows(documents: DataFrame, project: str, root: str, engine: str, ref: str = "", confidence: str = "definite") -> dict[str, DataFrame]:
-    """taint_sources, taint_sinks and flows of SARIF documents; a result without a code flow is both ends itself."""
+def sarif_rows(documents: DataFrame, project: str, root: str, engine: str, ref: str = "", confidence: str = "definite", distinct: bool = True) -> dict[str, DataFrame]:
+    """taint_sources, taint_sinks and flows of SARIF documents; a result without a code flow is both ends itself.
+
+    With ``distinct=False`` each result's rows stay.
+    """
+    once = (lambda df, key: df.dropDuplicates([key])) if distinct else (lambda df, key: df)
     runs = documents.select(F.explode("runs").alias("run"))
     results = runs.select(
         F.map_from_entries(F.transform(F.coalesce("run.tool.driver.rules", F.array()), lambda r: F.struct(r["id"], F.coalesce(r["properties"]["tags"], F.array().cast("array<string>"))))).alias("tags_of"),
@@ -43,11 +47,12 @@ def sarif_rows(documents: DataFrame, project: str, root: str, engine: str, ref:
     )
     own = F.coalesce(F.col("r.properties.tags"), F.array().cast("array<string>"))
     tags = F.when(F.size(own) > 0, own).otherwise(F.coalesce(F.try_element_at("tags_of", F.col("r.ruleId")), own))
-    base = results.select(F.col("r.ruleId").alias("rule"), text.cwe_of(F.col("r.ruleId"), tags).alias("cwe"), F.col("r.locations").alias("locations"), F.col("r.codeFlows").alias("flows"))
-    threads = F.flatten(F.transform(F.coalesce("flows", F.array()), lambda c: F.coalesce(c["threadFlows"], F.array())))
-    traced = base.select("rule", "cwe", F.explode(F.transform(threads, lambda t: F.transform(t["locations"], lambda x: _place(x["location"]["physicalLocation"], root)))).alias("steps")).where("size(steps) > 0")
-    alone = base.where(F.size(F.coalesce(threads, F.array())) == 0).where("size(locations) > 0").select("rule", "cwe", F.array(_place(F.col("locations")[0]["physicalLocation"], root)).alias("steps"))
-    rows = traced.withColumn("class", F.col("rule")).unionByName(alone.withColumn("class", F.lit("pattern")))
+    base = results.select(F.col("r.ruleId").alias("rule"), text.cwe_of(F.col("r.ruleId"), tags).alias("cwe"), F.col("r.locations").alias("locations"), F.flatten(F.transform(F.coalesce("r.codeFlows", F.array()), lambda c: F.coalesce(c["threadFlows"], F.array()))).alias("threads"))
+    #: Both kinds of results in one pass, since each pass would read the documents again.
+    traced = F.transform("threads", lambda t: F.struct(F.transform(t["locations"], lambda x: _place(x["location"]["physicalLocation"], root)).alias("steps"), F.col("rule").alias("class")))
+    alone = F.when(F.size("locations") > 0, F.array(F.struct(F.array(_place(F.try_element_at("locations", F.lit(1))["physicalLocation"], root)).alias("steps"), F.lit("pattern").alias("class"))))
+    found = F.when(F.size(F.coalesce("threads", F.array())) == 0, alone).otherwise(traced)
+    rows = base.select("rule", "cwe", F.explode(found).alias("f")).select("rule", "cwe", "f.steps", "f.class").where("size(steps) > 0")
     first, last = F.element_at("steps", 1), F.element_at("steps", -1)
     tid = ids.stable_id("src", F.lit(project), first["file"], first["start"], "rule")
     sid = ids.stable_id("sink", F.lit(project), last["file"], last["start"], "rule")
@@ -56,7 +61,7 @@ def sarif_rows(documents: DataFrame, project: str, root: str, engine: str, ref:
     flows = rows.select(ids.stable_id("flow", F.lit(project), "tid", "sid", "rule").alias("fid"), "tid", "sid", "cwe", F.lit(engine).alias("engine"), "steps", F.lit(ref).alias("sarif_ref"), F.lit(confidence).alias("confidence"))
     sources = rows.select("tid", null.alias("symbol_id"), "class", F.lit("").alias("key"), F.concat_ws(":", first["file"], first["start"]).alias("evidence_loc"))
     sinks = rows.select("sid", null.alias("symbol_id"), "class", F.lit("").alias("lib"), F.lit("").alias("parameterization"), F.array().cast("array<string>").alias("tainted_slots"))
-    return {"taint_sources": sources.dropDuplicates(["tid"]), "taint_sinks": sinks.dropDuplicates(["sid"]), "flows": flows.dropDuplicates(["fid"])}
+    return {"taint_sources": once(sources, "tid"), "taint_sinks": once(sinks, "sid"), "flows": once(flows, "fid")}
 
 
 def graph_flow_rows(rows: DataFrame, root: str, distinct: bool = True) -> dict[str, DataFrame]:

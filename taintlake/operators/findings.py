@@ -96,8 +96,11 @@ def sinks_without_flow(sinks: DataFrame, flows: DataFrame) -> DataFrame:
 
 
 def nomination_queue(flows: DataFrame, sources: DataFrame, sinks: DataFrame, symbols: DataFrame, cwes: DataFrame | None = None) -> DataFrame:
-    """Stream A: flows of the wanted CWEs; stream B: sinks without a flow, then symbols that decide on access."""
-    wanted = flows.join(cwes, "cwe", "left_semi") if cwes is not None else flows
+    """Stream A: flows of the wanted CWEs; stream B: sinks without a flow, then symbols that decide on access.
+
+    The distinct CWEs, some thousand at most, are broadcast: a shuffle by CWE would put all flows into a few tasks.
+    """
+    wanted = flows.join(F.broadcast(cwes.select("cwe").distinct()), "cwe", "left_semi") if cwes is not None else flows
     a = paths(wanted, sources, sinks).select(
         F.lit("A").alias("stream"), F.lit(0).alias("part"), F.col("fid").alias("id"), "cwe", "engine", F.col("evidence_loc").alias("source_loc"), "sink_class", "lib", F.lit(None).cast("string").alias("concern")
     )

@@ -238,6 +238,13 @@ def test_sarif(spark, tmp_path):
     assert twice.count() == 2
 
 
+def test_queue_does_not_gather_flows_by_cwe(spark):
+    from taintlake.plans import catalog
+
+    plan = catalog.QUERIES["nomination_queue"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [cwe" not in plan and "BroadcastHashJoin [cwe" in plan
+
+
 @pytest.mark.parametrize("name", ["sarif_flows", "sarif_sources"])
 def test_sarif_documents_are_read_once(spark, name):
     from taintlake.plans import catalog

@@ -28,7 +28,8 @@ def sarif(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _place(p: Column, root: str) -> Column:
-    uri = F.regexp_replace(F.coalesce(p["artifactLocation"]["uri"], F.lit("")), "^file://", "")
+    given = F.coalesce(p["artifactLocation"]["uri"], F.lit(""))
+    uri = F.when(F.startswith(given, F.lit("file://")), F.substring(given, 8, 2**31 - 1)).otherwise(given)
     file = F.when((uri == "") | F.startswith(uri, F.lit("/")), uri).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), uri))
     start = F.coalesce(p["region"]["startLine"], F.lit(0))
     return F.struct(file.alias("file"), start.alias("start"), F.coalesce(p["region"]["endLine"], start).alias("end"), F.lit(None).cast("string").alias("snippet"))
